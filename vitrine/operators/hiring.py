@@ -30,13 +30,14 @@ POST_KEY = ["board", "company_slug", "external_id"]
 
 def board_slugs(html: Column) -> Column:
     """Array of struct(board, slug) named anywhere in a page, distinct, without reserved words."""
-    found = []
-    for board, pattern in SLUG_PATTERNS.items():
+
+    def on(board: str, pattern: str) -> Column:
         slugs = F.filter(
             F.regexp_extract_all(html, F.lit(f"(?i){pattern}"), F.lit(1)), lambda s: ~F.lower(s).isin(NOT_SLUGS)
         )
-        found.append(F.transform(slugs, lambda s, b=board: F.struct(F.lit(b).alias("board"), s.alias("slug"))))
-    return F.array_distinct(F.concat(*found))
+        return F.transform(slugs, lambda s: F.struct(F.lit(board).alias("board"), s.alias("slug")))
+
+    return F.array_distinct(F.concat(*[on(b, p) for b, p in SLUG_PATTERNS.items()]))
 
 
 def discover_boards(pages: DataFrame) -> DataFrame:

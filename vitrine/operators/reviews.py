@@ -21,10 +21,12 @@ def count_in(text: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def _detected(vendor: ReviewVendor, hosts: Column, html: Column) -> Column:
-    tests = [F.exists(hosts, lambda h, p=p: h.rlike(f"(?i){p}")) | html.rlike(f"(?i){p}") for p in vendor.detect]
+    def seen(pattern: str) -> Column:
+        return F.exists(hosts, lambda h: h.rlike(pattern)) | html.rlike(pattern)
+
     out = F.lit(False)
-    for t in tests:
-        out = out | F.coalesce(t, F.lit(False))
+    for p in vendor.detect:
+        out = out | F.coalesce(seen(f"(?i){p}"), F.lit(False))
     return out
 
 

@@ -18,22 +18,21 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_files(spark: SparkSession, root: str) -> DataFrame:
-    """Loose archive files `{host}/{date}/{sha256}.html|json` with their `.meta.json` sidecars.
+    """Loose archive files `{host}/{date}/{sha256}.html`, each with a JSON sidecar of the same name.
 
     Bodies are read as bytes and joined to their sidecar on (folder, content hash); text is UTF-8 with
     invalid bytes replaced. A body whose hash differs from its name is dropped.
     """
     options = {"recursiveFileLookup": "true"}
-    bodies = spark.read.format("binaryFile").options(**options, pathGlobFilter="*.{html,json,txt}").load(root)
-    parts = F.regexp_extract("path", r"([^/]+)/([^/]+)/([0-9a-f]{64})\.(?:html|json|txt)$", 3)
+    bodies = spark.read.format("binaryFile").options(**options, pathGlobFilter="*.html").load(root)
     named = bodies.select(
         F.regexp_extract("path", r"([^/]+)/([^/]+)/[0-9a-f]{64}\.", 1).alias("host"),
         F.regexp_extract("path", r"([^/]+)/([^/]+)/[0-9a-f]{64}\.", 2).alias("day"),
-        parts.alias("sha256"),
+        F.regexp_extract("path", r"([0-9a-f]{64})\.html$", 1).alias("sha256"),
         "content",
     )
     intact = named.where((F.col("sha256") != "") & (F.sha2("content", 256) == F.col("sha256")))
-    sidecars = spark.read.options(**options, pathGlobFilter="*.meta.json", multiLine="true").schema(_SIDECAR).json(root)
+    sidecars = spark.read.options(**options, pathGlobFilter="*.json", multiLine="true").schema(_SIDECAR).json(root)
     facts = sidecars.withColumn("_path", F.input_file_name()).select(
         F.regexp_extract("_path", r"([^/]+)/([^/]+)/[0-9a-f]{64}\.", 1).alias("host"),
         F.regexp_extract("_path", r"([^/]+)/([^/]+)/[0-9a-f]{64}\.", 2).alias("day"),
