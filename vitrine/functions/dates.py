@@ -48,7 +48,7 @@ def quarter_of(day: Column) -> Column:
 def archive_day(timestamp: Column) -> Column:
     """Date of a 14-digit archive timestamp, NULL unless the first eight characters are a real day."""
     head = F.substring(timestamp, 1, 8)
-    return F.when(head.rlike(r"^[0-9]{8}$"), F.try_to_date(head, F.lit("yyyyMMdd")))
+    return F.when(head.rlike(r"^[0-9]{8}$"), F.try_to_date(head, "yyyyMMdd"))
 
 
 def iso_day(text: Column) -> Column:

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from workload import pages_queries  # noqa: F401
+from workload import pages_queries, store_queries  # noqa: F401
 from workload.base import ORACLE, QUERIES  # noqa: F401
