@@ -6,8 +6,6 @@ quoted inside them is never reported. Possessive quantifiers keep Java's matcher
 any length.
 """
 
-from __future__ import annotations
-
 from pyspark.sql import Column, functions as F
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
