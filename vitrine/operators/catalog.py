@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import dates, values
 from vitrine.operators import ordering
+from vitrine.session import materialize
 
 UNAVAILABLE = "not_available"
 
 
 def parse_feed(pages: DataFrame) -> DataFrame:
-    """Read feed bodies without failing: adds `products`, an array of product values or NULL for a bad page.
+    """Read feed bodies without failing: adds `products`, an array of product values or NULL for a bad page, and its length `listed`.
 
     Bad is a skipped page, any status but 200, text that is no JSON, or JSON without a product list.
     """
     payload = F.try_parse_json("body")
     ok = (F.col("status") == 200) & F.col("skip_reason").isNull() & F.col("body").isNotNull()
     listed = F.try_variant_get(F.when(ok, payload), "$.products", "array<variant>")
-    return pages.withColumn("products", listed)
+    return pages.withColumn("products", listed).withColumn("listed", F.size("products"))
 
 
 def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -29,7 +30,7 @@ def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataF
     it; an empty page ends it and counts as fetched. A missing page number counts as a bad page.
     """
     numbered = parsed.where((F.col("page") >= 1) & (F.col("page") <= max_pages)).select(
-        *keys, F.col("page").cast("long").alias("page"), "skip_reason", "products", F.coalesce(F.size("products"), F.lit(-1)).alias("listed")
+        *keys, F.col("page").cast("long").alias("page"), "skip_reason", "products", F.coalesce("listed", F.lit(-1)).alias("listed")
     )
     page = F.col("page")
     ends = numbered.groupBy(*keys).agg(
@@ -69,13 +70,8 @@ def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataF
     return shaped.drop("stop_at"), kept.select(*keys, "page", "products")
 
 
-def products_of(kept_pages: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per product object: keys, created_at, vendor, variants (price text, available)."""
-    items = kept_pages.select(*keys, F.explode("products").alias("p")).where(F.schema_of_variant("p").startswith("OBJECT"))
-    raw = F.filter(
-        F.coalesce(F.try_variant_get("p", "$.variants", "array<variant>"), F.array().cast("array<variant>")),
-        lambda v: F.schema_of_variant(v).startswith("OBJECT"),
-    )
+def product_values(products: Column) -> Column:
+    """The product objects of a page as structs: created_at, vendor, variants (price text, available)."""
 
     def flag(v: Column) -> Column:
         """A present key with JSON null is false; an absent key is skipped."""
@@ -83,17 +79,31 @@ def products_of(kept_pages: DataFrame, keys: list[str]) -> DataFrame:
         truth = F.coalesce(F.try_variant_get(v, "$.available", "boolean"), ~F.is_variant_null(stated))
         return F.when(stated.isNotNull(), truth)
 
-    return items.select(
-        *keys,
-        F.try_variant_get("p", "$.created_at", "string").alias("created_at"),
-        F.try_variant_get("p", "$.vendor", "string").alias("vendor"),
-        F.transform(
-            raw,
+    def objects(values: Column) -> Column:
+        return F.filter(values, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+
+    def variants_of(p: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(p, "$.variants", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(
+            objects(listed),
             lambda v: F.struct(F.try_variant_get(v, "$.price", "string").alias("price"), flag(v).alias("available")),
-        ).alias("variants"),
+        )
+
+    return F.transform(
+        objects(products),
+        lambda p: F.struct(
+            F.try_variant_get(p, "$.created_at", "string").alias("created_at"),
+            F.try_variant_get(p, "$.vendor", "string").alias("vendor"),
+            variants_of(p).alias("variants"),
+        ),
     )
 
 
+def products_of(kept_pages: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per product: keys, created_at, vendor, variants."""
+    return kept_pages.select(*keys, F.explode("products").alias("p")).select(*keys, "p.*")
+
+
 def windows(created: Column, scan_date: Column) -> list[Column]:
     """Counts of products created in the last 90 and 365 days and in the 365 days before; no upper bound on dates."""
     d90, d365, d730 = (F.date_sub(scan_date, n) for n in (90, 365, 730))
@@ -142,12 +152,15 @@ CATALOG_FIELDS = (
 
 
 def catalog_snapshots(feed_pages: DataFrame, keys: list[str], scan_date: str = "scan_date", max_pages: int = 40) -> DataFrame:
-    """Feed pages to one catalog row per store and scan.
+    """Feed pages to one catalog row per store and scan. Bodies are parsed once, into a table in the shared folder.
 
     Every aggregate is NULL when the feed is unavailable; an available feed without products counts 0.
     The currency is never stated by the feed and stays NULL.
     """
-    summary, kept = walk(parse_feed(feed_pages), keys, max_pages)
+    parsed = parse_feed(feed_pages)
+    listed = F.when(F.col("products").isNotNull(), product_values(F.col("products")))
+    slim = parsed.select(*keys, "page", "skip_reason", "listed", listed.alias("products"))
+    summary, kept = walk(materialize(slim, "feed_pages"), keys, max_pages)
     products = products_of(kept, keys)
     by_product = product_aggregates(products, keys, F.col(scan_date))
     variants = products.select(*keys, F.explode("variants").alias("v")).select(*keys, "v.price", "v.available")

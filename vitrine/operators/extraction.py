@@ -229,10 +229,13 @@ def asset_rows(extracted: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def url_rows(extracted: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per asset address that names a host, scripts before links: (keys, url_ord, url, host)."""
-    listed = extracted.select(*keys, F.posexplode(F.concat("script_srcs", "link_hrefs")).alias("url_ord", "url"))
-    return listed.where(F.col("url").contains("//")).withColumn("host", urls.host_of(F.col("url")))
+def asset_urls(script_srcs: Column, link_hrefs: Column) -> Column:
+    """The asset addresses of a page that can name a host, scripts before links: array of struct(url_ord, url, host)."""
+    numbered = F.transform(
+        F.concat(script_srcs, link_hrefs),
+        lambda u, i: F.struct(i.alias("url_ord"), u.alias("url"), urls.asset_host(u).alias("host")),
+    )
+    return F.filter(numbered, lambda a: a["host"].isNotNull())
 
 
 def collection_link(anchors: Column, base: Column) -> Column:
@@ -256,11 +259,10 @@ def product_link(anchors: Column, base: Column) -> Column:
     return urls.resolve_url(base, F.get(F.filter(anchors, lambda h: h.rlike(r"/products/[^/?#]+")), F.lit(0)))
 
 
-def external_hosts(extracted: DataFrame, keys: list[str], domain: str = "domain", dot_boundary: bool = False) -> DataFrame:
-    """Distinct external hosts among a page's hreflang alternates: (keys, host)."""
-    listed = extracted.select(*keys, F.explode("hreflang_alternates.href").alias("href"))
-    hosts = listed.withColumn("host", urls.asset_host(F.col("href")))
-    return hosts.where(urls.is_external(F.col("host"), F.col(domain), dot_boundary)).select(*keys, "host").distinct()
+def external_hosts(alternates: Column, domain: Column, dot_boundary: bool = False) -> Column:
+    """Distinct external hosts among a page's hreflang alternates."""
+    hosts = F.transform(alternates, lambda a: urls.asset_host(a["href"]))
+    return F.array_distinct(F.filter(hosts, lambda h: h.isNotNull() & urls.is_external(h, domain, dot_boundary)))
 
 
 def candidate_domains(listing_pages: DataFrame, platform_domains: DataFrame, limit: int = 200) -> DataFrame:

@@ -1,9 +1,9 @@
 """Signature matching: every dictionary pattern against every asset address and page text, first match wins.
 
 The dictionary is compiled into the projection: each pattern is a literal regular expression tested by the
-JVM in the same pass that reads the row, and only hits leave the row. There is no pattern join. The first
-match per signature is then a `min_by`, which aggregates before the shuffle, so a store with any number of
-pages costs no more than its hits per task.
+JVM in the same pass that reads the page, and only hits leave it. There is no pattern join. The first match
+per signature is then a `min_by`, which aggregates before the shuffle, so a store with any number of pages
+costs no more than its hits per task.
 """
 
 from __future__ import annotations
@@ -18,89 +18,106 @@ HREFLANG_KEY = "expansion_store_hreflang"
 HREFLANG_MIN_HOSTS = 2
 
 
-def _hit(entry: Signature, kind_ord: int, pattern_ord: int, pattern: str, matched: Column) -> Column:
+def _hit(entry: Signature, stage: int, kind_ord: int, pattern_ord: int, pattern: str, url_ord: Column, matched: Column) -> Column:
+    """A hit; its first five fields are the order in which hits of one page are preferred."""
     return F.struct(
+        F.lit(stage).alias("stage"),
+        url_ord.cast("int").alias("url_ord"),
+        F.lit(kind_ord).alias("kind_ord"),
+        F.lit(pattern_ord).alias("pattern_ord"),
         F.lit(entry.key).alias("key"),
         F.lit(entry.capability).cast("string").alias("capability"),
         F.lit(entry.verified).alias("verified"),
-        F.lit(kind_ord).alias("kind_ord"),
-        F.lit(pattern_ord).alias("pattern_ord"),
         F.lit(pattern).alias("pattern"),
         F.substr(matched, F.lit(1), F.lit(MATCHED_TEXT_CAP)).alias("matched_on"),
     )
 
 
-def _hits(tests: list[Column]) -> Column:
-    return F.array_compact(F.array(*tests))
+HIT = (
+    "array<struct<stage:int,url_ord:int,kind_ord:int,pattern_ord:int,key:string,capability:string,"
+    "verified:boolean,pattern:string,matched_on:string>>"
+)
 
 
-def url_hits(url: Column, host: Column, entries: list[Signature]) -> Column:
-    """Array of the patterns an asset address hits: host patterns on its host, source patterns on all of it."""
-    tests = []
-    for e in entries:
-        for j, p in enumerate(e.script_host):
-            tests.append(F.when(host.rlike(f"(?i){p}"), _hit(e, 0, j, p, url)))
-        for j, p in enumerate(e.script_src):
-            tests.append(F.when(url.rlike(f"(?i){p}"), _hit(e, 1, j, p, url)))
-    return _hits(tests) if tests else F.array()
+def _any_of(patterns: list[str]) -> str:
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def text_hits(html: Column, entries: list[Signature]) -> Column:
-    """Array of the text patterns a page hits, with the text that matched."""
-    tests = []
-    for e in entries:
-        for j, p in enumerate(e.dom_marker):
-            found = F.regexp_extract(html, f"(?i){p}", 0)
-            tests.append(F.when(html.rlike(f"(?i){p}"), _hit(e, 0, j, p, found)))
-    return _hits(tests) if tests else F.array()
+def _address_hits(asset_urls: Column, entries: list[Signature]) -> Column:
+    """Hits of host patterns on an address's host and of source patterns on all of it, over a page's addresses."""
+    hosts = [(e, j, p) for e in entries for j, p in enumerate(e.script_host)]
+    sources = [(e, j, p) for e in entries for j, p in enumerate(e.script_src)]
+    if not hosts and not sources:
+        return F.array().cast(HIT)
 
+    def on(address: Column) -> Column:
+        url, at, host = address["url"], address["url_ord"], address["host"]
+        tests = [F.when(host.rlike(f"(?i){p}"), _hit(e, 0, 0, j, p, at, url)) for e, j, p in hosts]
+        tests += [F.when(url.rlike(f"(?i){p}"), _hit(e, 0, 1, j, p, at, url)) for e, j, p in sources]
+        return F.array_compact(F.array(*tests))
+
+    # Most addresses hit nothing: one alternation each for hosts and addresses drops them first.
+    maybe = F.filter(
+        asset_urls,
+        lambda a: (a["host"].rlike(_any_of([p for _, _, p in hosts])) if hosts else F.lit(False))
+        | (a["url"].rlike(_any_of([p for _, _, p in sources])) if sources else F.lit(False)),
+    )
+    return F.flatten(F.transform(maybe, on))
+
+
+def _text_hits(html: Column, entries: list[Signature]) -> Column:
+    """Hits of text patterns on the page, with the text that matched."""
+    tests = [
+        F.when(html.rlike(f"(?i){p}"), _hit(e, 1, 0, j, p, F.lit(0), F.regexp_extract(html, f"(?i){p}", 0)))
+        for e in entries
+        for j, p in enumerate(e.dom_marker)
+    ]
+    return F.array_compact(F.array(*tests)) if tests else F.array().cast(HIT)
 
-def match_signatures(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
-    """First match per (keys, signature): addresses of all pages before texts of all pages.
 
-    Within a stage the order is page, address (scripts before links), host patterns before source
-    patterns, then pattern order. Columns: keys, key, capability, matched_on, pattern, verified.
+def page_hits(entries: list[Signature]) -> Column:
+    """All hits of a dictionary on one extracted page."""
+    found = F.concat(
+        _address_hits(extraction.asset_urls(F.col("script_srcs"), F.col("link_hrefs")), entries),
+        _text_hits(F.col("html"), entries),
+    )
+    return found.cast(HIT)
+
+
+def first_matches(pages: DataFrame, hits: str, keys: list[str], page_ord: str = "page_ord") -> DataFrame:
+    """The preferred hit per (keys, signature): keys, key, capability, matched_on, pattern, verified.
+
+    Addresses of all pages come before texts of all pages. Within a stage the order is page, address
+    (scripts before links), host patterns before source patterns, then pattern order.
     """
-    with_urls = [e for e in entries if e.script_host or e.script_src]
-    with_text = [e for e in entries if e.dom_marker]
-    stages = []
-    if with_urls:
-        addresses = extraction.url_rows(extracted, [*keys, page_ord])
-        hits = addresses.select(*keys, page_ord, "url_ord", F.explode(url_hits(F.col("url"), F.col("host"), with_urls)).alias("hit"))
-        stages.append(hits.withColumn("stage", F.lit(0)))
-    if with_text:
-        hits = extracted.select(*keys, page_ord, F.lit(0).alias("url_ord"), F.explode(text_hits(F.col("html"), with_text)).alias("hit"))
-        stages.append(hits.withColumn("stage", F.lit(1)))
-    if not stages:
-        spark = extracted.sparkSession
-        shape = ", ".join([f"`{k}` {extracted.schema[k].dataType.simpleString()}" for k in keys])
-        return spark.createDataFrame(
-            [], f"{shape}, key string, capability string, matched_on string, pattern string, verified boolean"
-        )
-    found = stages[0] if len(stages) == 1 else stages[0].unionByName(stages[1])
-    order = F.struct("stage", page_ord, "url_ord", "hit.kind_ord", "hit.pattern_ord")
+    found = pages.select(*keys, page_ord, F.explode(hits).alias("hit"))
+    order = F.struct("hit.stage", page_ord, "hit.url_ord", "hit.kind_ord", "hit.pattern_ord")
     first = found.groupBy(*keys, F.col("hit.key").alias("key")).agg(F.min_by("hit", order).alias("hit"))
     return first.select(*keys, "key", "hit.capability", "hit.matched_on", "hit.pattern", "hit.verified")
 
 
+def match_signatures(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
+    """First match per (keys, signature) over extracted pages."""
+    return first_matches(extracted.withColumn("_hits", page_hits(entries)), "_hits", keys, page_ord)
+
+
 def hreflang_matches(
-    extracted: DataFrame,
+    pages: DataFrame,
     keys: list[str],
+    hosts: str = "external_hosts",
     verified: bool = False,
     min_hosts: int = HREFLANG_MIN_HOSTS,
-    dot_boundary: bool = False,
 ) -> DataFrame:
     """Stores whose pages name at least `min_hosts` distinct external hosts as language alternates.
 
-    The reported text is the sorted host list cut at 500 characters, so no more than the first 251 hosts
-    can show; only those are gathered, the count uses all.
+    `hosts` is the page's array of external hosts. The reported text is the sorted host list cut at 500
+    characters, so no more than the first 251 hosts can show; only those are gathered, the count uses all.
     """
-    domain = "domain"
-    hosts = extraction.external_hosts(extracted, keys, domain, dot_boundary)
-    counts = hosts.groupBy(*keys).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
+    distinct = pages.select(*keys, F.explode(hosts).alias("host")).distinct()
+    counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("host"))
     shown = (
-        hosts.withColumn("place", place)
+        distinct.withColumn("place", place)
         .where(F.col("place") <= MATCHED_TEXT_CAP // 2 + 1)
         .groupBy(*keys)
         .agg(F.array_join(F.array_sort(F.collect_list("host")), ";").alias("listed"))
@@ -115,11 +132,17 @@ def hreflang_matches(
     )
 
 
-def match_fingerprints(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
-    """Fingerprint matches: dictionary patterns, plus the computed hreflang rule when its entry is present."""
-    regex = [e for e in entries if e.key != HREFLANG_KEY]
-    out = match_signatures(extracted, regex, keys, page_ord)
+def fingerprint_matches(pages: DataFrame, hits: str, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
+    """First matches of the fingerprint patterns, plus the computed hreflang rule when its entry is present."""
+    out = first_matches(pages, hits, keys, page_ord)
     for e in entries:
         if e.key == HREFLANG_KEY:
-            out = out.unionByName(hreflang_matches(extracted, keys, e.verified))
+            out = out.unionByName(hreflang_matches(pages, keys, verified=e.verified))
     return out
+
+
+def match_fingerprints(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
+    """Fingerprint matches over extracted pages."""
+    hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
+    shaped = extracted.withColumn("_hits", page_hits(entries)).withColumn("external_hosts", hosts)
+    return fingerprint_matches(shaped, "_hits", entries, keys, page_ord)

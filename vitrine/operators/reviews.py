@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.functions import urls, values
+from vitrine.functions import values
+from vitrine.operators import extraction
 from vitrine.sources.dictionaries import ReviewVendor
 
 # How a count was read.
@@ -38,26 +39,16 @@ def _endpoint(vendor: ReviewVendor, html: Column) -> Column:
     return F.when(found.startswith("http"), found)
 
 
-def read_reviews(
-    extracted: DataFrame,
-    vendors: list[ReviewVendor],
-    keys: list[str],
-    responses: DataFrame | None = None,
-    page_ord: str = "page_ord",
-) -> DataFrame:
-    """One reading per detected vendor and store, or a single `none` reading: keys, vendor, review_count, source_url, method.
+READING = "array<struct<vendor:string,detected:boolean,review_count:bigint,endpoint:string>>"
 
-    The count is the first one found in page order. Where pages show none, the first literal endpoint
-    address is looked up in `responses` (url, status, body), the archived answers; nothing is fetched.
-    """
-    hosts = F.filter(
-        F.transform(F.concat("script_srcs", "link_hrefs"), lambda u: urls.asset_host(u)), lambda h: h.isNotNull()
-    )
-    per_page = extracted.select(*keys, page_ord, "url", "html", hosts.alias("_hosts"))
+
+def page_readings(vendors: list[ReviewVendor]) -> Column:
+    """What one extracted page says about each vendor; vendors it says nothing about are left out."""
+    hosts = F.transform(extraction.asset_urls(F.col("script_srcs"), F.col("link_hrefs")), lambda a: a["host"])
     readings = [
         F.struct(
             F.lit(v.vendor).alias("vendor"),
-            _detected(v, F.col("_hosts"), F.col("html")).alias("detected"),
+            _detected(v, hosts, F.col("html")).alias("detected"),
             count_in(F.col("html"), v.count).alias("review_count"),
             _endpoint(v, F.col("html")).alias("endpoint"),
         )
@@ -66,7 +57,35 @@ def read_reviews(
     useful = F.filter(
         F.array(*readings), lambda r: r["detected"] | r["review_count"].isNotNull() | r["endpoint"].isNotNull()
     )
-    rows = per_page.select(*keys, page_ord, "url", F.explode_outer(useful).alias("r"))
+    return useful.cast(READING)
+
+
+def read_reviews(
+    extracted: DataFrame,
+    vendors: list[ReviewVendor],
+    keys: list[str],
+    responses: DataFrame | None = None,
+    page_ord: str = "page_ord",
+) -> DataFrame:
+    """Readings per store over extracted pages; see `store_readings`."""
+    shaped = extracted.withColumn("_readings", page_readings(vendors))
+    return store_readings(shaped, "_readings", vendors, keys, responses, page_ord)
+
+
+def store_readings(
+    pages: DataFrame,
+    readings: str,
+    vendors: list[ReviewVendor],
+    keys: list[str],
+    responses: DataFrame | None = None,
+    page_ord: str = "page_ord",
+) -> DataFrame:
+    """One reading per detected vendor and store, or a single `none` reading: keys, vendor, review_count, source_url, method.
+
+    The count is the first one found in page order. Where pages show none, the first literal endpoint
+    address is looked up in `responses` (url, status, body), the archived answers; nothing is fetched.
+    """
+    rows = pages.select(*keys, page_ord, "url", F.explode_outer(readings).alias("r"))
     grouped = rows.groupBy(*keys, F.col("r.vendor").alias("vendor")).agg(
         F.bool_or(F.coalesce("r.detected", F.lit(False))).alias("detected"),
         F.min_by(

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators import controls, extraction, matching
+from vitrine.session import materialize
 from vitrine.sources.dictionaries import Dictionaries, load_all
 
 SNAPSHOT = ["domain", "timestamp"]
@@ -24,9 +25,17 @@ def replay(snapshots: DataFrame, dictionaries: Dictionaries | None = None) -> Da
     """Match archived snapshots (domain, timestamp, status, html) with the same dictionaries as live pages."""
     known = dictionaries or load_all()
     readable = snapshots.where((F.col("status") == 200) & F.col("html").isNotNull()).withColumn("page_ord", F.lit(0))
-    seen = extraction.extract(readable)
-    apps = matching.match_signatures(seen, known.apps, SNAPSHOT)
-    marks = matching.match_fingerprints(seen, known.fingerprints, SNAPSHOT)
+    hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
+    facts = extraction.extract(readable).select(
+        *SNAPSHOT,
+        "page_ord",
+        matching.page_hits(known.apps).alias("app_hits"),
+        matching.page_hits(known.fingerprints).alias("fingerprint_hits"),
+        hosts.alias("external_hosts"),
+    )
+    seen = materialize(facts, "snapshot_facts")
+    apps = matching.first_matches(seen, "app_hits", SNAPSHOT)
+    marks = matching.fingerprint_matches(seen, "fingerprint_hits", known.fingerprints, SNAPSHOT)
     return controls.snapshot_hits(snapshots, apps, marks)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings only: every one of them can be applied to a session somebody else built.
 RUNTIME_CONF = {
@@ -50,3 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="vitrine-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate that several steps read to the shared folder, once, and read it back.
+
+    Unlike a cache it survives lost executors, and readers prune its columns.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -342,7 +342,8 @@ def fingerprint_match(spark, sf):
 
 @query("hreflang_external", f"{_TAG_CTES}, {HREFLANG} SELECT domain, host FROM ext")
 def hreflang_external(spark, sf):
-    return extraction.external_hosts(extracted(spark, sf), ["domain"])
+    hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
+    return extracted(spark, sf).select("domain", F.explode(hosts).alias("host")).distinct()
 
 
 @query(
