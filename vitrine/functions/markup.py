@@ -25,7 +25,7 @@ _CORE_REFERENCES = {
     "&apos;": "'",
     "&#39;": "'",
     "&#x27;": "'",
-    "&nbsp;": " ",
+    "&nbsp;": "\u00a0",
     "&amp;": "&",
 }
 
@@ -70,14 +70,18 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^[\s\x{a0}]+|[\s\x{a0}]+$", "")
 
 
-def visible_text(html: Column) -> Column:
-    """Text nodes of a fragment, each trimmed, joined by one space; scripts, styles and comments are left out."""
+def text_nodes(html: Column) -> Column:
+    """The text between tags, as written, in order; scripts, styles and comments are left out."""
     shown = F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)[\s>].*?(?:</\1\s*>|\z)", "<x>")
-    nodes = F.split(shown, r"(?s)<[/!?A-Za-z][^>]*>")
-    texts = F.transform(nodes, lambda n: trimmed(decode_references(n)))
+    return F.split(shown, r"(?s)<[/!?A-Za-z][^>]*>")
+
+
+def visible_text(html: Column) -> Column:
+    """Text nodes with core references decoded, each trimmed, joined by one space."""
+    texts = F.transform(text_nodes(html), lambda n: trimmed(decode_references(n)))
     return F.array_join(F.filter(texts, lambda n: n != ""), " ")
 
 
@@ -93,3 +97,17 @@ def unescape_udf():
         return text.map(decode, na_action="ignore")
 
     return unescape
+
+
+def joined_text_udf():
+    """Arrow-batched `visible_text` over text nodes, with every HTML5 character reference decoded."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def join(nodes: pd.Series) -> pd.Series:
+        from html import unescape as decode
+
+        return nodes.map(lambda found: " ".join(t for t in (decode(n).strip() for n in found) if t), na_action="ignore")
+
+    return join

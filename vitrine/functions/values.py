@@ -46,3 +46,41 @@ def matching_terms(text: Column, terms: list[str]) -> Column:
     """The terms that occur in the text, ignoring case, in the order given."""
     low = F.lower(text)
     return F.array_compact(F.array(*[F.when(low.contains(t.lower()), F.lit(t)) for t in terms]))
+
+
+def required_literal(pattern: str) -> str | None:
+    """The longest run of plain characters every match of a pattern must contain, lower-cased; None when unsure.
+
+    Groups, classes and optional characters are stepped over; an alternation at the top or an escape that
+    is not one of the plain classes gives no answer.
+    """
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "[":
+            i += 1 + (pattern[i + 1] == "^")
+            i += pattern[i] == "]"
+            while pattern[i] != "]":
+                i += 1 + (pattern[i] == "\\")
+        if c == "\\" and pattern[i + 1].isalnum() and pattern[i + 1] not in "dswDSWbB":
+            return None
+        plain = c == "\\" and not pattern[i + 1].isalnum()
+        i += c == "\\"
+        if c == "|" and depth == 0:
+            return None
+        depth += (c == "(") - (c == ")")
+        if c in "*?{":
+            run = run[:-1]
+            i = pattern.index("}", i) if c == "{" else i
+        if depth == 0 and (plain or (c.isascii() and c not in "[()*?{+.^$|\\")):
+            run += pattern[i]
+        else:
+            runs, run = [*runs, run], ""
+        i += 1
+    return max([*runs, run], key=len).lower() or None
+
+
+def may_match(lowered: Column, pattern: str) -> Column:
+    """Cheap necessary condition for an ignore-case match, tested on text lower-cased once."""
+    literal = required_literal(pattern)
+    return lowered.contains(literal) if literal else F.lit(True)

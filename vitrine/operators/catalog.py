@@ -11,15 +11,35 @@ from vitrine.session import materialize
 UNAVAILABLE = "not_available"
 
 
+PRODUCTS = "array<struct<created_at:string,vendor:string,variants:array<struct<price:string,available:variant>>>>"
+
+
 def parse_feed(pages: DataFrame) -> DataFrame:
-    """Read feed bodies without failing: adds `products`, an array of product values or NULL for a bad page, and its length `listed`.
+    """Read feed bodies without failing: adds `listed`, the page's product entries (NULL for a bad page), and `products`.
 
-    Bad is a skipped page, any status but 200, text that is no JSON, or JSON without a product list.
+    Bad is a skipped page, any status but 200, text that is no JSON, or JSON without a product list. Entries
+    that are no objects count as listed but carry no product.
     """
-    payload = F.try_parse_json("body")
     ok = (F.col("status") == 200) & F.col("skip_reason").isNull() & F.col("body").isNotNull()
-    listed = F.try_variant_get(F.when(ok, payload), "$.products", "array<variant>")
-    return pages.withColumn("products", listed).withColumn("listed", F.size("products"))
+    parsed = pages.withColumn("_payload", F.when(ok, F.try_parse_json("body")))
+    typed = F.try_variant_get("_payload", "$.products", PRODUCTS)
+
+    def variant(v: Column) -> Column:
+        """A present `available` with JSON null is false; an absent one is skipped."""
+        stated = v["available"]
+        truth = F.coalesce(F.try_variant_get(stated, "$", "boolean"), ~F.is_variant_null(stated))
+        return F.struct(v["price"].alias("price"), F.when(stated.isNotNull(), truth).alias("available"))
+
+    def product(p: Column) -> Column:
+        variants = F.transform(F.filter(p["variants"], lambda v: v.isNotNull()), variant)
+        return F.struct(p["created_at"].alias("created_at"), p["vendor"].alias("vendor"), variants.alias("variants"))
+
+    return (
+        parsed.withColumn("_typed", typed)
+        .withColumn("listed", F.when(F.col("_typed").isNotNull(), F.size("_typed")))
+        .withColumn("products", F.transform(F.filter("_typed", lambda p: p.isNotNull()), product))
+        .drop("_payload", "_typed")
+    )
 
 
 def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataFrame, DataFrame]:
@@ -70,35 +90,6 @@ def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataF
     return shaped.drop("stop_at"), kept.select(*keys, "page", "products")
 
 
-def product_values(products: Column) -> Column:
-    """The product objects of a page as structs: created_at, vendor, variants (price text, available)."""
-
-    def flag(v: Column) -> Column:
-        """A present key with JSON null is false; an absent key is skipped."""
-        stated = F.try_variant_get(v, "$.available", "variant")
-        truth = F.coalesce(F.try_variant_get(v, "$.available", "boolean"), ~F.is_variant_null(stated))
-        return F.when(stated.isNotNull(), truth)
-
-    def objects(values: Column) -> Column:
-        return F.filter(values, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-
-    def variants_of(p: Column) -> Column:
-        listed = F.coalesce(F.try_variant_get(p, "$.variants", "array<variant>"), F.array().cast("array<variant>"))
-        return F.transform(
-            objects(listed),
-            lambda v: F.struct(F.try_variant_get(v, "$.price", "string").alias("price"), flag(v).alias("available")),
-        )
-
-    return F.transform(
-        objects(products),
-        lambda p: F.struct(
-            F.try_variant_get(p, "$.created_at", "string").alias("created_at"),
-            F.try_variant_get(p, "$.vendor", "string").alias("vendor"),
-            variants_of(p).alias("variants"),
-        ),
-    )
-
-
 def products_of(kept_pages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per product: keys, created_at, vendor, variants."""
     return kept_pages.select(*keys, F.explode("products").alias("p")).select(*keys, "p.*")
@@ -157,9 +148,7 @@ def catalog_snapshots(feed_pages: DataFrame, keys: list[str], scan_date: str = "
     Every aggregate is NULL when the feed is unavailable; an available feed without products counts 0.
     The currency is never stated by the feed and stays NULL.
     """
-    parsed = parse_feed(feed_pages)
-    listed = F.when(F.col("products").isNotNull(), product_values(F.col("products")))
-    slim = parsed.select(*keys, "page", "skip_reason", "listed", listed.alias("products"))
+    slim = parse_feed(feed_pages).select(*keys, "page", "skip_reason", "listed", "products")
     summary, kept = walk(materialize(slim, "feed_pages"), keys, max_pages)
     products = products_of(kept, keys)
     by_product = product_aggregates(products, keys, F.col(scan_date))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import values
 from vitrine.operators import ordering
@@ -42,13 +42,11 @@ def scored_labels(positives: DataFrame, negatives: DataFrame, scored: DataFrame)
     return labelled.join(scored.where(F.col("score").isNotNull()), "domain")
 
 
-def _score_counts(df: DataFrame, score: str, y: str, group: Sequence[str], weight: Column | None = None) -> DataFrame:
-    w = F.lit(1) if weight is None else weight
-    one, zero = F.when(F.col(y) == 1, w), F.when(F.col(y) == 0, w)
+def _score_counts(df: DataFrame, score: str, y: str, group: Sequence[str]) -> DataFrame:
     return (
         df.where(F.col(score).isNotNull() & F.col(y).isNotNull())
         .groupBy(*group, score)
-        .agg(F.coalesce(F.sum(one), F.lit(0)).alias("p"), F.coalesce(F.sum(zero), F.lit(0)).alias("n"))
+        .agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
     )
 
 
@@ -57,7 +55,6 @@ def auc(
     score: str = "score",
     y: str = "y",
     group: Sequence[str] = (),
-    weight: Column | None = None,
     slice_rows: int = ordering.SLICE_ROWS,
     largest: int | None = None,
 ) -> DataFrame:
@@ -66,7 +63,7 @@ def auc(
     Each positive counts the negatives below it plus half of those it ties with: with p and n per score
     value, sum(p * (negatives below + n / 2)) / (P * N).
     """
-    counts = _score_counts(df, score, y, group, weight)
+    counts = _score_counts(df, score, y, group)
     upto = ordering.running_totals(counts, score, ["n"], group, slice_rows, largest)
     won = F.col("p") * ((F.col("n_upto") - F.col("n")).cast("double") + F.col("n") / 2)
     pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
@@ -87,8 +84,8 @@ def bootstrap_interval(
     """95 % percentile interval of the AUC over `resamples` draws of n rows with replacement.
 
     Draw i of resample b picks row hash(seed, b, i) mod n of the rows in hashed key order, so the result is
-    a function of the data and the seed alone. The draws are spread evenly by the hash and are counted per
-    picked row before they meet the row's score. One-class resamples are left out; both ends are NULL when
+    a function of the data and the seed alone. The hash spreads the draws evenly over the rows they pick, so
+    the join has no hot key, and counts per (resample, score) are combined before they are shuffled. One-class resamples are left out; both ends are NULL when
     none is left.
     """
     rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(key, score, y)
@@ -98,9 +95,10 @@ def bootstrap_interval(
     draws = indexed.select(F.col("j").alias("i"), size.alias("n")).select("i", "n", every.alias("b"))
     hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")))
     picked = draws.select("b", F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.col("n")).alias("j"))
-    times = picked.groupBy("b", "j").agg(F.count(F.lit(1)).alias("w"))
-    resampled = times.join(indexed.select("j", score, y), "j")
-    aucs = auc(resampled, score, y, ["b"], F.col("w"), slice_rows).where(F.col("auc").isNotNull())
+    resampled = picked.join(indexed.select("j", score, y), "j")
+    # A resample has no more distinct scores than the table has.
+    distinct = rows.agg(F.count_distinct(score)).first()[0]
+    aucs = auc(resampled, score, y, ["b"], slice_rows=slice_rows, largest=distinct).where(F.col("auc").isNotNull())
     # One value per resample from here on.
     return aucs.agg(
         F.count(F.lit(1)).alias("used"),

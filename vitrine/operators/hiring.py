@@ -62,7 +62,7 @@ def parse_boards(payloads: DataFrame) -> DataFrame:
     The three layouts differ in where jobs sit, in field names, and in how the posting time is given; the
     first one carries its description as escaped HTML.
     """
-    unescape = markup.unescape_udf()
+    unescape, joined = markup.unescape_udf(), markup.joined_text_udf()
     body = F.try_parse_json("body")
     in_object = F.try_variant_get(body, "$.jobs", "array<variant>")
     top_level = F.try_variant_get(body, "$", "array<variant>")
@@ -94,13 +94,15 @@ def parse_boards(payloads: DataFrame) -> DataFrame:
         .alias("posted_at"),
         _text(F.when(greenhouse, field("absolute_url")).when(lever, field("hostedUrl")).otherwise(field("jobUrl"))).alias("url"),
     )
-    decoded = flat.withColumn("_markup", F.when(greenhouse, unescape("_markup")).otherwise(F.col("_markup")))
-    return decoded.select(
+    # Only text that holds references travels to the decoder; the rest passes by as NULL.
+    written = F.col("_markup")
+    decoded = F.coalesce(unescape(F.when(F.col("board").eqNullSafe("greenhouse") & written.contains("&"), written)), written)
+    return flat.withColumn("_markup", decoded).select(
         "board",
         "company_slug",
         "external_id",
         "title",
-        unescape(markup.visible_text(F.col("_markup"))).alias("description_text"),
+        joined(markup.text_nodes(F.col("_markup"))).alias("description_text"),
         "posted_at",
         "url",
     )

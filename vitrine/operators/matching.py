@@ -1,7 +1,8 @@
 """Signature matching: every dictionary pattern against every asset address and page text, first match wins.
 
 The dictionary is compiled into the projection: each pattern is a literal regular expression tested by the
-JVM in the same pass that reads the page, and only hits leave it. There is no pattern join. The first match
+JVM in the same pass that reads the page, behind a plain substring test for the characters any match needs,
+and only hits leave it. There is no pattern join. The first match
 per signature is then a `min_by`, which aggregates before the shuffle, so a store with any number of pages
 costs no more than its hits per task.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitrine.functions import values
 from vitrine.operators import extraction
 from vitrine.sources.dictionaries import Signature
 
@@ -65,25 +67,33 @@ def _address_hits(asset_urls: Column, entries: list[Signature]) -> Column:
     return F.flatten(F.transform(maybe, on))
 
 
-def _text_hits(html: Column, entries: list[Signature]) -> Column:
+def _text_hits(html: Column, lowered: Column, entries: list[Signature]) -> Column:
     """Hits of text patterns on the page, with the text that matched."""
     tests = [
-        F.when(html.rlike(f"(?i){p}"), _hit(e, 1, 0, j, p, F.lit(0), F.regexp_extract(html, f"(?i){p}", 0)))
+        F.when(
+            values.may_match(lowered, p) & html.rlike(f"(?i){p}"),
+            _hit(e, 1, 0, j, p, F.lit(0), F.regexp_extract(html, f"(?i){p}", 0)),
+        )
         for e in entries
         for j, p in enumerate(e.dom_marker)
     ]
     return F.array_compact(F.array(*tests)) if tests else F.array().cast(HIT)
 
 
-def page_hits(entries: list[Signature]) -> Column:
-    """All hits of a dictionary on one extracted page."""
+def page_hits(entries: list[Signature], lowered: str = "html_lower") -> Column:
+    """All hits of a dictionary on one extracted page that carries its lower-cased text."""
     found = F.concat(
         _address_hits(extraction.asset_urls(F.col("script_srcs"), F.col("link_hrefs")), entries),
-        _text_hits(F.col("html"), entries),
+        _text_hits(F.col("html"), F.col(lowered), entries),
     )
     return found.cast(HIT)
 
 
+def with_lower(extracted: DataFrame) -> DataFrame:
+    """Add `html_lower`, the text the cheap pre-tests look at."""
+    return extracted.withColumn("html_lower", F.lower("html"))
+
+
 def first_matches(pages: DataFrame, hits: str, keys: list[str], page_ord: str = "page_ord") -> DataFrame:
     """The preferred hit per (keys, signature): keys, key, capability, matched_on, pattern, verified.
 
@@ -98,7 +108,7 @@ def first_matches(pages: DataFrame, hits: str, keys: list[str], page_ord: str =
 
 def match_signatures(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
     """First match per (keys, signature) over extracted pages."""
-    return first_matches(extracted.withColumn("_hits", page_hits(entries)), "_hits", keys, page_ord)
+    return first_matches(with_lower(extracted).withColumn("_hits", page_hits(entries)), "_hits", keys, page_ord)
 
 
 def hreflang_matches(
@@ -144,5 +154,5 @@ def fingerprint_matches(pages: DataFrame, hits: str, entries: list[Signature], k
 def match_fingerprints(extracted: DataFrame, entries: list[Signature], keys: list[str], page_ord: str = "page_ord") -> DataFrame:
     """Fingerprint matches over extracted pages."""
     hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
-    shaped = extracted.withColumn("_hits", page_hits(entries)).withColumn("external_hosts", hosts)
+    shaped = with_lower(extracted).withColumn("_hits", page_hits(entries)).withColumn("external_hosts", hosts)
     return fingerprint_matches(shaped, "_hits", entries, keys, page_ord)

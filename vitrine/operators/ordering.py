@@ -123,9 +123,9 @@ def exact_percentiles(
     picked from sliced running totals instead.
     """
     group = list(group)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("rows"))
-    if largest_group(distinct, group) <= slice_rows:
-        known = df.where(F.col(value).isNotNull())
+    known = df.where(F.col(value).isNotNull())
+    # The row count bounds the distinct values; only when it is too large are the values themselves counted.
+    if largest_group(known, group) <= slice_rows or largest_group(known.select(*group, value).distinct(), group) <= slice_rows:
         return known.groupBy(*group).agg(*[F.percentile(value, p).alias(name) for name, p in percents.items()])
     positions = {}
     for name, p in percents.items():

@@ -15,19 +15,23 @@ METHOD_NONE = "not_available"
 NO_VENDOR = "none"
 
 
-def count_in(text: Column, patterns: tuple[str, ...]) -> Column:
+def count_in(text: Column, patterns: tuple[str, ...], lowered: Column | None = None) -> Column:
     """First pattern that yields a number, in pattern order; NULL when none does."""
-    tries = [values.digit_count(F.regexp_extract(text, f"(?i){p}", 1)) for p in patterns]
+    low = F.lower(text) if lowered is None else lowered
+    tries = [
+        F.when(values.may_match(low, p), values.digit_count(F.regexp_extract(text, f"(?i){p}", 1))) for p in patterns
+    ]
     return F.coalesce(*tries) if tries else F.lit(None).cast("bigint")
 
 
-def _detected(vendor: ReviewVendor, hosts: Column, html: Column) -> Column:
+def _detected(vendor: ReviewVendor, hosts: Column, html: Column, lowered: Column) -> Column:
     def seen(pattern: str) -> Column:
-        return F.exists(hosts, lambda h: h.rlike(pattern)) | html.rlike(pattern)
+        on_host = F.exists(hosts, lambda h: h.rlike(f"(?i){pattern}"))
+        return (values.may_match(lowered, pattern) & html.rlike(f"(?i){pattern}")) | on_host
 
     out = F.lit(False)
     for p in vendor.detect:
-        out = out | F.coalesce(seen(f"(?i){p}"), F.lit(False))
+        out = out | F.coalesce(seen(p), F.lit(False))
     return out
 
 
@@ -42,14 +46,15 @@ def _endpoint(vendor: ReviewVendor, html: Column) -> Column:
 READING = "array<struct<vendor:string,detected:boolean,review_count:bigint,endpoint:string>>"
 
 
-def page_readings(vendors: list[ReviewVendor]) -> Column:
-    """What one extracted page says about each vendor; vendors it says nothing about are left out."""
+def page_readings(vendors: list[ReviewVendor], lowered: str = "html_lower") -> Column:
+    """What one extracted page, carrying its lower-cased text, says about each vendor; silent vendors are left out."""
+    low = F.col(lowered)
     hosts = F.transform(extraction.asset_urls(F.col("script_srcs"), F.col("link_hrefs")), lambda a: a["host"])
     readings = [
         F.struct(
             F.lit(v.vendor).alias("vendor"),
-            _detected(v, hosts, F.col("html")).alias("detected"),
-            count_in(F.col("html"), v.count).alias("review_count"),
+            _detected(v, hosts, F.col("html"), low).alias("detected"),
+            count_in(F.col("html"), v.count, low).alias("review_count"),
             _endpoint(v, F.col("html")).alias("endpoint"),
         )
         for v in vendors
@@ -68,7 +73,7 @@ def read_reviews(
     page_ord: str = "page_ord",
 ) -> DataFrame:
     """Readings per store over extracted pages; see `store_readings`."""
-    shaped = extracted.withColumn("_readings", page_readings(vendors))
+    shaped = extracted.withColumn("html_lower", F.lower("html")).withColumn("_readings", page_readings(vendors))
     return store_readings(shaped, "_readings", vendors, keys, responses, page_ord)
 
 

@@ -26,7 +26,7 @@ def replay(snapshots: DataFrame, dictionaries: Dictionaries | None = None) -> Da
     known = dictionaries or load_all()
     readable = snapshots.where((F.col("status") == 200) & F.col("html").isNotNull()).withColumn("page_ord", F.lit(0))
     hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
-    facts = extraction.extract(readable).select(
+    facts = matching.with_lower(extraction.extract(readable)).select(
         *SNAPSHOT,
         "page_ord",
         matching.page_hits(known.apps).alias("app_hits"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators import evaluation, score
+from vitrine.session import materialize
 
 
 def scan_of(features: DataFrame, scan_date: str | None = None) -> DataFrame:
@@ -22,8 +23,13 @@ def run_crosssection(
     scan_date: str | None = None,
     resamples: int = evaluation.BOOTSTRAP_RESAMPLES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(score table, metric rows). With no scan or one class missing, the metrics are the class counts alone."""
-    rows = evaluation.scored_labels(positives, negatives, scan_of(features, scan_date))
+    """(score table, metric rows). With no scan or one class missing, the metrics are the class counts alone.
+
+    The labelled rows are written to the shared folder once; every metric reads that narrow table.
+    """
+    labelled = evaluation.scored_labels(positives, negatives, scan_of(features, scan_date))
+    inputs = [c for c in evaluation.NUMERIC_FEATURES if c in labelled.columns]
+    rows = materialize(labelled.select("domain", "y", "score", *inputs), "scored_labels")
     spark = features.sparkSession
     table = evaluation.score_table(rows)
     classes = evaluation.base_rate(rows).first()

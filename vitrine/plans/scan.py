@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators import catalog, extraction, features, intake, matching, reviews, score
-from vitrine.session import materialize
+from vitrine.session import materialize, spread
 from vitrine.sinks import tables
 from vitrine.sources.dictionaries import Dictionaries, load_all
 
@@ -31,7 +31,7 @@ class ScanTables:
 def page_facts(pages: DataFrame, known: Dictionaries) -> DataFrame:
     """Everything the scan needs from a page, read in one pass over its HTML; the HTML itself is left behind."""
     good = pages.where(intake.usable(F.col("status"), F.col("html")) & F.col("skip_reason").isNull())
-    seen = extraction.with_verdict(extraction.extract(good))
+    seen = matching.with_lower(extraction.with_verdict(extraction.extract(spread(good))))
     link = extraction.collection_link(F.col("anchors"), F.col("url"))
     return seen.select(
         *KEYS,

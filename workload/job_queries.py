@@ -148,8 +148,8 @@ def _folder(spark, name: str) -> str:
 
 
 def _stream(spark, sf, name: str):
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).format("parquet").load(path)
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 @query("stream_page_intake", "SELECT DISTINCT 'https://h' || user_id || '.example/' || event_type AS url, CAST(ts AS DATE) AS scan_day FROM events")

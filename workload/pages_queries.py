@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import markup, urls
 from vitrine.operators import extraction, features, hiring, intake, keyed, matching, reviews
+from vitrine.session import spread
 from vitrine.sources import dictionaries
 from workload.base import (
     DOMAIN_SQL,
@@ -23,7 +24,7 @@ KEYS = ["domain", "scan_date"]
 
 
 def extracted(spark, sf):
-    return extraction.extract(storefront_pages(spark, sf))
+    return extraction.extract(spread(storefront_pages(spark, sf)))
 
 
 # ---- URL functions ----------------------------------------------------------------------------------
