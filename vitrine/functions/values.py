@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def price(text: Column) -> Column:
@@ -84,3 +84,13 @@ def may_match(lowered: Column, pattern: str) -> Column:
     """Cheap necessary condition for an ignore-case match, tested on text lower-cased once."""
     literal = required_literal(pattern)
     return lowered.contains(literal) if literal else F.lit(True)
+
+
+def exploded(df: DataFrame, keep: list, array: Column | str, name: str, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array, with its 0-based position when asked for.
+
+    For a plain explode the optimizer adds a size filter that computes the array again; the outer form with
+    a null filter behind it computes it once. Elements are never NULL in the arrays this is used for.
+    """
+    made = F.posexplode_outer(array).alias(position, name) if position else F.explode_outer(array).alias(name)
+    return df.select(*keep, made).where(F.col(name).isNotNull())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.functions import markup, urls
+from vitrine.functions import markup, urls, values
 
 INLINE_CAP = 2 * 1024 * 1024
 MATCHED_TEXT_CAP = 500
@@ -224,7 +224,7 @@ def asset_rows(extracted: DataFrame, keys: list[str]) -> DataFrame:
         assets(F.array_compact(F.array("platform_domain")), "inline_script_marker", False),
         assets(meta_text, "meta", False),
     )
-    return extracted.select(*keys, F.posexplode(everything).alias("asset_ord", "_asset")).select(
+    return values.exploded(extracted, keys, everything, "_asset", "asset_ord").select(
         *keys, "asset_ord", "_asset.asset_type", "_asset.value", "_asset.host"
     )
 
@@ -274,7 +274,7 @@ def candidate_domains(listing_pages: DataFrame, platform_domains: DataFrame, lim
     """
     from pyspark.sql import Window
 
-    found = listing_pages.select("page_url", F.posexplode("anchors").alias("pos", "href"))
+    found = values.exploded(listing_pages, ["page_url"], "anchors", "href", "pos")
     absolute = found.withColumn("absolute", urls.resolve_url(F.col("page_url"), markup.trimmed(F.col("href"))))
     named = absolute.where(F.col("absolute").startswith("http")).withColumn("domain", urls.normalize_domain(F.col("absolute")))
     own = urls.normalize_domain(F.col("page_url"))

@@ -44,7 +44,7 @@ def discover_boards(pages: DataFrame) -> DataFrame:
     """Boards linked from a store's home page or its career pages, each with the first page that named it."""
     home_or_career = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1).isin("", "/", *CAREER_PATHS)
     usable = pages.where(home_or_career & (F.col("status") == 200) & F.col("html").isNotNull())
-    named = usable.select("domain", "page_ord", "url", F.explode(board_slugs(F.col("html"))).alias("b"))
+    named = values.exploded(usable, ["domain", "page_ord", "url"], board_slugs(F.col("html")), "b")
     first = F.struct("page_ord", "domain", "url")
     return named.groupBy(F.col("b.board").alias("board"), F.col("b.slug").alias("company_slug")).agg(
         F.min_by(F.struct("domain", "url"), first).alias("_f")
@@ -66,9 +66,10 @@ def parse_boards(payloads: DataFrame) -> DataFrame:
     body = F.try_parse_json("body")
     in_object = F.try_variant_get(body, "$.jobs", "array<variant>")
     top_level = F.try_variant_get(body, "$", "array<variant>")
-    jobs = payloads.select(
-        "board", "company_slug", F.explode(F.when(F.col("board") == "lever", top_level).otherwise(in_object)).alias("job")
-    ).where(F.schema_of_variant("job").startswith("OBJECT"))
+    listed = F.when(F.col("board") == "lever", top_level).otherwise(in_object)
+    jobs = values.exploded(payloads, ["board", "company_slug"], listed, "job").where(
+        F.schema_of_variant("job").startswith("OBJECT")
+    )
 
     def field(name: str, kind: str = "string") -> Column:
         return F.try_variant_get("job", f"$.{name}", kind)

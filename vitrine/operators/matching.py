@@ -100,7 +100,7 @@ def first_matches(pages: DataFrame, hits: str, keys: list[str], page_ord: str =
     Addresses of all pages come before texts of all pages. Within a stage the order is page, address
     (scripts before links), host patterns before source patterns, then pattern order.
     """
-    found = pages.select(*keys, page_ord, F.explode(hits).alias("hit"))
+    found = values.exploded(pages, [*keys, page_ord], hits, "hit")
     order = F.struct("hit.stage", page_ord, "hit.url_ord", "hit.kind_ord", "hit.pattern_ord")
     first = found.groupBy(*keys, F.col("hit.key").alias("key")).agg(F.min_by("hit", order).alias("hit"))
     return first.select(*keys, "key", "hit.capability", "hit.matched_on", "hit.pattern", "hit.verified")
@@ -123,7 +123,7 @@ def hreflang_matches(
     `hosts` is the page's array of external hosts. The reported text is the sorted host list cut at 500
     characters, so no more than the first 251 hosts can show; only those are gathered, the count uses all.
     """
-    distinct = pages.select(*keys, F.explode(hosts).alias("host")).distinct()
+    distinct = values.exploded(pages, keys, hosts, "host").distinct()
     counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("host"))
     shown = (

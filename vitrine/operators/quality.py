@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from vitrine.functions import values
+
 NUMBER = r"\d+(?:\.\d+)?"
 
 
@@ -22,7 +24,7 @@ def unverified_keys(entries: DataFrame) -> DataFrame:
 
 def numbers_in(texts: DataFrame, text: str = "text") -> DataFrame:
     """Distinct numbers written in the texts."""
-    found = texts.select(F.explode(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))).alias("number"))
+    found = values.exploded(texts, [], F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), "number")
     return found.distinct()
 
 
@@ -33,7 +35,7 @@ def trace_numbers(numbers: DataFrame, lines: DataFrame, line: str = "line") -> D
     `2.5`), so the containment test becomes an equality join over distinct pieces; no line is skipped.
     """
     wanted = numbers.select("number").distinct()
-    runs = lines.select(F.explode(F.regexp_extract_all(line, F.lit(r"[0-9.]+"), F.lit(0))).alias("run")).distinct()
+    runs = values.exploded(lines, [], F.regexp_extract_all(line, F.lit(r"[0-9.]+"), F.lit(0)), "run").distinct()
     longest = wanted.agg(F.coalesce(F.max(F.length("number")), F.lit(0))).scalar()
     starts = runs.withColumn("_longest", longest).select(
         "run", "_longest", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("at")

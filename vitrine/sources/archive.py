@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine import schemas
-from vitrine.functions import urls
+from vitrine.functions import urls, values
 
 _SIDECAR = (
     "url string, final_url string, http_status int, headers map<string,string>, fetched_at string, sha256 string"
@@ -64,7 +64,7 @@ def parse_archive_index(answers: DataFrame) -> DataFrame:
     the header, yields no rows; short rows are skipped.
     """
     listed = F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>")
-    rows = answers.select("domain", F.posexplode(listed).alias("at", "v")).where(F.col("at") > 0)
+    rows = values.exploded(answers, ["domain"], listed, "v", "at").where(F.col("at") > 0)
     cells = rows.select("domain", F.try_variant_get("v", "$", "array<string>").alias("c")).where(F.size("c") >= 4)
     return cells.select(
         "domain",

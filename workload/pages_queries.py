@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions import markup, urls
+from vitrine.functions import markup, urls, values
 from vitrine.operators import extraction, features, hiring, intake, keyed, matching, reviews
 from vitrine.session import spread
 from vitrine.sources import dictionaries
@@ -105,7 +105,7 @@ _TAG_CTES = f"WITH {SF}, {TAGS}"
 
 
 def _listed(spark, sf, column, *parts):
-    rows = extracted(spark, sf).select("page_ord", F.posexplode(column).alias("ord", "item"))
+    rows = values.exploded(extracted(spark, sf), ["page_ord"], column, "item", "ord")
     return rows.select("page_ord", (F.col("ord") + 1).cast("long").alias("ord"), *parts)
 
 
@@ -274,7 +274,7 @@ def first_anchor(spark, sf):
         WHERE NOT starts_with(href, '.')""",
 )
 def resolve_links(spark, sf):
-    rows = extracted(spark, sf).select("page_ord", "url", F.posexplode("anchors").alias("pos", "href"))
+    rows = values.exploded(extracted(spark, sf), ["page_ord", "url"], "anchors", "href", "pos")
     kept = rows.where(~F.col("href").startswith("."))
     return kept.select("page_ord", (F.col("pos") + 1).cast("long").alias("pos"), urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
 
@@ -344,7 +344,7 @@ def fingerprint_match(spark, sf):
 @query("hreflang_external", f"{_TAG_CTES}, {HREFLANG} SELECT domain, host FROM ext")
 def hreflang_external(spark, sf):
     hosts = extraction.external_hosts(F.col("hreflang_alternates"), F.col("domain"))
-    return extracted(spark, sf).select("domain", F.explode(hosts).alias("host")).distinct()
+    return values.exploded(extracted(spark, sf), ["domain"], hosts, "host").distinct()
 
 
 @query(
@@ -467,7 +467,7 @@ def candidate_domains(spark, sf):
         SELECT DISTINCT page_ord, board, slug FROM s WHERE lower(slug) NOT IN ('embed', 'job', 'jobs')""",
 )
 def board_links(spark, sf):
-    found = storefront_pages(spark, sf).select("page_ord", F.explode(hiring.board_slugs(F.col("html"))).alias("b"))
+    found = values.exploded(storefront_pages(spark, sf), ["page_ord"], hiring.board_slugs(F.col("html")), "b")
     return found.select("page_ord", "b.board", "b.slug")
 
 

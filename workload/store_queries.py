@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import catalog, controls, features, panel, score, series
+from vitrine.operators import catalog, controls, features, keyed, panel, score, series
 from vitrine.functions import dates, values
 from workload.base import SCAN_DAY, products, query, r6, table, variants
 
@@ -42,8 +42,12 @@ def catalog_variants(spark, sf):
 
 
 def feed_pages(spark, sf):
-    """Every line item as one feed page of its order's store: page number, status, JSON body."""
-    lines = table(spark, sf, "lineitem")
+    """Every line item as one feed page of its order's store: page number, status, JSON body.
+
+    One page per (store, page number): of repeated line numbers of an order the smallest price stays.
+    """
+    wide = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_suppkey", "l_returnflag", "l_quantity")
+    lines = keyed.keep_first(wide, ["l_orderkey", "l_linenumber"], ["l_extendedprice", "l_shipdate"])
     item = F.to_json(
         F.struct(
             F.array(
@@ -69,8 +73,6 @@ def feed_pages(spark, sf):
         F.when(F.col("l_quantity") == 50, 503).otherwise(200).alias("status"),
         F.when(F.col("l_quantity") == 47, F.lit("robots_disallow")).alias("skip_reason"),
         F.when(odd, F.lit("<html>blocked</html>")).when(empty, F.lit('{"products": []}')).otherwise(item).alias("body"),
-        "l_shipdate",
-        "l_extendedprice",
     )
 
 
@@ -84,15 +86,6 @@ FEED = """feed AS (SELECT 'o' || l_orderkey AS domain, l_linenumber AS page, max
     FROM stop s JOIN allp a ON a.domain = s.domain AND a.page = s.stop_at)"""
 
 
-def unique_feed(spark, sf):
-    """One page per (store, page number): repeated line numbers of an order are dropped, the smallest price stays."""
-    pages = feed_pages(spark, sf)
-    keys = ["domain", "scan_date", "page"]
-    rest = [c for c in pages.columns if c not in keys]
-    one = pages.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("l_extendedprice", "l_shipdate", "body")).alias("r"))
-    return one.select(*keys, "r.*")
-
-
 _ONE = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_extendedprice, l_shipdate) AS rn FROM lineitem) WHERE rn = 1),"""
 
 
@@ -105,7 +98,7 @@ _ONE = """one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_ord
           CASE WHEN stop_at > 1 OR by_empty = 1 THEN by_empty = 0 END AS truncated FROM walk""",
 )
 def take_while_pages(spark, sf):
-    parsed = catalog.parse_feed(unique_feed(spark, sf))
+    parsed = catalog.parse_feed(feed_pages(spark, sf))
     summary, _ = catalog.walk(parsed, ["domain"], max_pages=7)
     return summary
 
@@ -124,7 +117,7 @@ def take_while_pages(spark, sf):
         FROM walk w LEFT JOIN agg a ON a.domain = w.domain""",
 )
 def catalog_feed(spark, sf):
-    out = catalog.catalog_snapshots(unique_feed(spark, sf), ["domain", "scan_date"], max_pages=7)
+    out = catalog.catalog_snapshots(feed_pages(spark, sf), ["domain", "scan_date"], max_pages=7)
     return out.select(
         "domain",
         "product_count",
