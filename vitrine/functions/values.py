@@ -34,7 +34,7 @@ def growth(last: Column, prior: Column) -> Column:
 
 def three_decimals(value: Column) -> Column:
     """`0.494` style text, `n/a` for a missing value."""
-    return F.coalesce(F.format_string("%.3f", value.cast("double")), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value.cast("double")))
 
 
 def seeded_order(seed: int | str, *keys: Column) -> Column:
