@@ -17,6 +17,12 @@ def with_prior_scan(scans: DataFrame) -> DataFrame:
     return one.withColumn("prior_scan_date", before)
 
 
+def fingerprint_stores(fingerprints: DataFrame, verified_only: bool = False) -> DataFrame:
+    """Stores with any fingerprint per scan, or with a verified one."""
+    picked = fingerprints.where("verified") if verified_only else fingerprints
+    return picked.select("domain", *SCAN).distinct()
+
+
 def transitions(scans: DataFrame, features: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """Stores that were self-serve at the prior scan, one row per scan and store, with `present` and `converted`.
 
@@ -25,7 +31,7 @@ def transitions(scans: DataFrame, features: DataFrame, fingerprints: DataFrame)
     """
     steps = with_prior_scan(scans).where(F.col("prior_scan_date").isNotNull())
     rows = features.select("domain", *SCAN)
-    verified = fingerprints.where("verified").select("domain", *SCAN).distinct()
+    verified = fingerprint_stores(fingerprints, verified_only=True)
     prior = rows.join(verified, ["domain", *SCAN], "left_anti").withColumnRenamed("scan_date", "prior_scan_date")
     moved = prior.join(steps, ["panel_version", "prior_scan_date"])
     now = rows.withColumn("present", F.lit(True))
@@ -74,7 +80,7 @@ def index_series(
         tagged = features.join(listed.withColumn("_member", F.lit(True)), "domain", "left")
         members = tagged.where(F.col("_member").isNotNull() | (size == 0)).drop("_member")
         panel_n = listed.agg(F.count(F.lit(1)).alias("n")).scalar()
-    marked = fingerprints.select("domain", *SCAN).distinct().withColumn("_marked", F.lit(True))
+    marked = fingerprint_stores(fingerprints).withColumn("_marked", F.lit(True))
     flagged = members.join(marked, ["domain", *SCAN], "left")
     self_serve = F.col("_marked").isNull()
 

@@ -120,5 +120,6 @@ def build_scan(
 
 def write_scan(built: ScanTables, warehouse: str) -> None:
     """Write every table of the scan, replacing the scan's own partitions only."""
+    scans = [tuple(r) for r in built.outcomes.select("scan_date", "panel_version").distinct().collect()]
     for name, df in vars(built).items():
-        tables.replace_scan(df, f"{warehouse.rstrip('/')}/{name}")
+        tables.replace_scan(df, f"{warehouse.rstrip('/')}/{name}", scans=scans)

@@ -17,8 +17,6 @@ FEATURES = (
     "has_reviews_vendor int, hreflang_alt_count long, theme_name string, products_json_available int"
 )
 
-PRODUCT_PAYLOAD = "struct<products:variant>"
-
 ARCHIVE_INDEX = "domain string, timestamp string, status string, mimetype string, digest string"
 
 POSTINGS = (
@@ -39,3 +37,44 @@ LABELS = (
 )
 
 PANEL = "domain string, added_at timestamp, panel_version string"
+
+_SCAN = "scan_date date, panel_version string"
+_COMPONENT = "struct<contribution:double,weight:double,active:boolean,verified:boolean,note:string>"
+_COMPONENTS = ",".join(
+    f"{name}:{_COMPONENT}"
+    for name in (
+        "workaround_b2b",
+        "workaround_multistore",
+        "workaround_launch",
+        "workaround_discount",
+        "workaround_sso",
+        "workaround_intl",
+        "high_growth",
+        "large_catalog",
+        "review_scale",
+    )
+)
+_MATCH = "domain string, key string, capability string, matched_on string, pattern string, verified boolean"
+
+# The tables a scan writes, partitioned by scan_date and panel_version.
+SCAN_TABLES = {
+    "stores": (
+        "domain string, is_platform boolean, platform_domain string, evidence string, theme_name string, "
+        f"hreflang_alt_count long, collection_branch string, {_SCAN}"
+    ),
+    "outcomes": f"domain string, outcome string, {_SCAN}",
+    "assets": f"domain string, url string, asset_ord int, asset_type string, value string, host string, {_SCAN}",
+    "app_matches": f"{_MATCH}, {_SCAN}",
+    "fingerprint_matches": f"{_MATCH}, {_SCAN}",
+    "catalog_snapshots": (
+        "domain string, products_json_available boolean, skip_reason string, pages_fetched long, truncated boolean, "
+        "product_count long, earliest_created_at date, latest_created_at date, products_created_last_90d long, "
+        "products_created_last_365d long, products_created_prior_365d long, variant_count long, vendor_count long, "
+        f"available_share double, median_price double, currency string, {_SCAN}"
+    ),
+    "review_snapshots": f"domain string, vendor string, review_count long, source_url string, method string, {_SCAN}",
+    "features": (
+        f"domain string, {FEATURES}, components struct<{_COMPONENTS}>, score double, fingerprint_any boolean, "
+        f"collection_branch string, {_SCAN}"
+    ),
+}

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vitrine import schemas
 from vitrine.operators import keyed
 
 SCAN_PARTITION = ["scan_date", "panel_version"]
@@ -31,12 +32,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def replace_scan(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Replace the partitions the batch touches; others stay. Running it twice changes nothing."""
+def replace_scan(df: DataFrame, path: str, partition: list[str] | None = None, scans: list | None = None) -> None:
+    """Replace the partitions the batch touches; others stay. Running it twice changes nothing.
+
+    `scans` lists the (scan_date, panel_version) the batch stands for, so that a scan without any row now
+    loses the rows an earlier run left.
+    """
+    spark = df.sparkSession
+    for scan_date, version in scans or []:
+        fs, folder = _fs(spark, f"{path}/scan_date={scan_date}/panel_version={version}")
+        fs.delete(folder, True)
     by = partition or SCAN_PARTITION
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def read_scan_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
+    """A table of the scan warehouse with its declared schema; empty when no scan has rows in it."""
+    return spark.read.schema(schemas.SCAN_TABLES[name]).parquet(f"{warehouse.rstrip('/')}/{name}")
+
+
 def append_facts(df: DataFrame, path: str, keys: list[str], partition: list[str] | None = None) -> None:
     """Append rows of keys that are not in the table yet; all rows of a new key are kept."""
     spark = df.sparkSession
@@ -107,3 +121,50 @@ def export_csv(df: DataFrame, path: str, columns: list[str], order: list | None
     (plain.orderBy(*order) if order else plain).write.mode("overwrite").option("header", "true").option(
         "emptyValue", ""
     ).option("nullValue", "").csv(path)
+
+
+# Column order of the exports.
+EXPORTS = {
+    "scores": ["domain", "label", "score"],
+    "top_negatives": ["domain", "score", "components", "product_count", "review_count_max", "matched_app_keys", "reviewer_category"],
+    "index_timeseries": [
+        "scan_date",
+        "panel_version",
+        "panel_n",
+        "panel_n_scanned",
+        "share_at_threshold",
+        "share_workaround_any",
+        "share_high_growth",
+        "share_converted_since_prior",
+        "n_converted",
+        "n_prior_selfserve",
+        "hiring_posts_month",
+        "computed_at",
+    ],
+    "backtest": ["domain", "group", "migration_month", "offset", "snapshot_found", "workaround_any", "workaround_capabilities", "fingerprint_any"],
+    "candidates": ["domain", "source_url", "source_type", "added_by", "added_at", "evidence"],
+}
+
+
+def export(df: DataFrame, name: str, folder: str, order: list | None = None) -> None:
+    """Write one of the named exports; nested columns become JSON text."""
+    nested = [c for c, t in df.dtypes if t.startswith(("struct", "array", "map"))]
+    plain = df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns])
+    export_csv(plain, f"{folder}/{name}", EXPORTS[name], order)
+
+
+def open_scan(spark: SparkSession, path: str, scan_date: str, version: str, started_at: str, git_sha: str, config_sha: str) -> None:
+    """Record a scan unless (scan_date, panel_version) is recorded already."""
+    row = spark.createDataFrame(
+        [(scan_date, version, started_at, None, git_sha, config_sha)],
+        "scan_date string, panel_version string, started_at string, finished_at string, git_sha string, config_sha string",
+    ).withColumn("scan_date", F.col("scan_date").cast("date"))
+    old = current(spark, path)
+    fresh = row if old is None else keyed.upsert_keep_first(old, row, SCAN_PARTITION, ["started_at"])
+    publish(fresh if old is None else old.unionByName(fresh), path)
+
+
+def close_scan(spark: SparkSession, path: str, scan_date: str, version: str, finished_at: str) -> None:
+    """Set the closing time of a recorded scan."""
+    done = spark.createDataFrame([(scan_date, version, finished_at)], "scan_date string, panel_version string, finished_at string")
+    update_fields(done.withColumn("scan_date", F.col("scan_date").cast("date")), path, SCAN_PARTITION)

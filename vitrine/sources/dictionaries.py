@@ -158,3 +158,16 @@ def entry_rows(spark: SparkSession, name: str, entries: list[Signature]) -> Data
         [(name, e.key, e.capability, e.verified) for e in entries],
         "dict string, key string, capability string, verified boolean",
     )
+
+
+def config_hash(paths: list[str | Path]) -> str:
+    """SHA-256 over the contents of the configuration files, in the order given; recorded with every scan."""
+    import hashlib
+
+    digest = hashlib.sha256()
+    for path in paths:
+        digest.update(Path(path).read_bytes())
+    return digest.hexdigest()
+
+
+SHIPPED_FILES = [SHIPPED / n for n in ("app_signatures.yaml", "plan_fingerprints.yaml", "review_vendors.yaml")]

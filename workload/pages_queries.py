@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import markup, urls, values
-from vitrine.operators import extraction, features, hiring, intake, keyed, matching, reviews
+from vitrine.operators import extraction, features, hiring, intake, keyed, matching, reviews, series
 from vitrine.session import spread
 from vitrine.sources import dictionaries
 from workload.base import (
@@ -352,8 +352,8 @@ def hreflang_external(spark, sf):
     f"""{PAGE_CTES}, {match_cte('marks', _MARKS)} SELECT DISTINCT domain FROM marks WHERE verified""",
 )
 def fingerprint_stores(spark, sf):
-    marks = matching.match_fingerprints(extracted(spark, sf), _MARKS, KEYS)
-    return marks.where("verified").select("domain").distinct()
+    marks = matching.match_fingerprints(extracted(spark, sf), _MARKS, KEYS).withColumn("panel_version", F.lit("v1"))
+    return series.fingerprint_stores(marks, verified_only=True).select("domain")
 
 
 def _review_sql(pages: str) -> str:
