@@ -34,11 +34,11 @@ def inputs(spark):
 
 def test_scan_end_to_end_and_rerun(spark, tmp_path):
     pages, feed = inputs(spark)
+    result = scan.build_scan(pages, feed)
     for _ in range(2):
-        scan.write_scan(scan.build_scan(pages, feed), str(tmp_path))
+        scan.write_scan(result, str(tmp_path))
     read = lambda name: tables.read_scan_table(spark, str(tmp_path), name)
-    built = vars(scan.build_scan(pages, feed))
-    for name, df in built.items():
+    for name, df in vars(result).items():
         assert set(df.dtypes) == set(read(name).dtypes), name
     assert {r.domain: r.outcome for r in read("outcomes").collect()} == {
         "shop.example": "scanned", "blog.example": "not_platform", "down.example": "home_failed",
