@@ -80,11 +80,11 @@ def running_totals(
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be NULL, keeping the left side's copies of the keys."""
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL, keeping the left side's copies of the keys."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, on, "inner").drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def value_at_positions(
@@ -109,6 +109,9 @@ def value_at_positions(
     )
 
 
+FEW_GROUPS = 10_000
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -116,32 +119,40 @@ def exact_percentiles(
     group: Sequence[str] = (),
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """Linear-interpolated percentiles per group, exact at any size.
+    """Linear-interpolated percentiles per group, exact at any size; groups without a value are absent.
 
-    Groups proven small use the built-in `percentile`, whose buffer holds a group's distinct values; when
-    the largest group exceeds `slice_rows` distinct values, the two neighbouring order statistics are
-    picked from sliced running totals instead.
+    Groups of at most `slice_rows` rows use the built-in `percentile`, whose buffer holds a group's distinct
+    values. Larger groups are taken apart from them and their two neighbouring order statistics are picked
+    from sliced running totals.
     """
     group = list(group)
     known = df.where(F.col(value).isNotNull())
-    # The row count bounds the distinct values; only when it is too large are the values themselves counted.
-    if largest_group(known, group) <= slice_rows or largest_group(known.select(*group, value).distinct(), group) <= slice_rows:
-        return known.groupBy(*group).agg(*[F.percentile(value, p).alias(name) for name, p in percents.items()])
-    positions = {}
-    for name, p in percents.items():
-        at = (F.col("n") - 1) * F.lit(float(p))
-        positions[f"_lo_{name}"] = F.floor(at)
-        positions[f"_hi_{name}"] = F.ceil(at)
-    picked = value_at_positions(df, value, positions, group, slice_rows)
+    sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
+    seen = sizes.agg(F.max("rows").alias("largest"), F.count_if(F.col("rows") > slice_rows).alias("large")).first()
+    builtin = [F.percentile(value, p).alias(name) for name, p in percents.items()]
+    if (seen.largest or 0) <= slice_rows:
+        return known.groupBy(*group).agg(*builtin)
+    if not group:
+        return _sliced_percentiles(known, value, percents, group, slice_rows)
+    large = sizes.where(F.col("rows") > slice_rows).select(*group)
+    large = F.broadcast(large) if seen.large <= FEW_GROUPS else large
+    small = _null_safe_join(known, large, group, "left_anti").groupBy(*group).agg(*builtin)
+    big = _null_safe_join(known, large, group, "left_semi")
+    return small.unionByName(_sliced_percentiles(big, value, percents, group, slice_rows))
+
+
+def _sliced_percentiles(known: DataFrame, value: str, percents: dict[str, float], group: list[str], slice_rows: int) -> DataFrame:
     at = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in percents.items()}
+    positions = {}
+    for name, place in at.items():
+        positions[f"_lo_{name}"] = F.floor(place)
+        positions[f"_hi_{name}"] = F.ceil(place)
+    picked = value_at_positions(known, value, positions, group, slice_rows)
     return picked.select(
         *group,
         *[
-            (
-                F.col(f"_lo_{name}")
-                + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at[name] - F.floor(at[name]))
-            ).alias(name)
-            for name in percents
+            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (place - F.floor(place))).alias(n)
+            for n, place in at.items()
         ],
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import dates, values
 
@@ -19,11 +19,18 @@ class ReconcileError(ValueError):
     """Disclosures are empty, unreadable or incomplete."""
 
 
+def _first_listed(disclosures: DataFrame) -> Column:
+    """Order that prefers the row listed first, where the table knows its file lines."""
+    return -F.col("line") if "line" in disclosures.columns else -F.col("value")
+
+
 def latest_by_metric(disclosures: DataFrame) -> DataFrame:
-    """The row of the greatest quarter per metric."""
+    """The row of the greatest quarter per metric; of repeated ones the first listed."""
     rest = ["quarter", "value", "unit", "source_url", "page_ref"]
     present = [c for c in rest if c in disclosures.columns]
-    picked = disclosures.groupBy("metric").agg(F.max_by(F.struct(*present), "quarter").alias("r"))
+    picked = disclosures.groupBy("metric").agg(
+        F.max_by(F.struct(*present), F.struct("quarter", _first_listed(disclosures))).alias("r")
+    )
     return picked.select("metric", "r.*")
 
 
@@ -62,7 +69,9 @@ def reconcile(disclosures: DataFrame, share_at_threshold: float | None = None, a
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in [*REQUIRED, BASE]],
         F.max(F.when(F.col("metric") == TOTAL_MRR, F.col("quarter"))).alias("quarter"),
     )
-    ago = disclosures.where(F.col("metric") == PLUS_SHARE).groupBy("quarter").agg(F.first("value").alias("_share_ago"))
+    ago = disclosures.where(F.col("metric") == PLUS_SHARE).groupBy("quarter").agg(
+        F.max_by("value", _first_listed(disclosures)).alias("_share_ago")
+    )
     dated = wide.withColumn("prior_quarter", dates.prior_year_quarter(F.col("quarter")))
     joined = dated.join(ago.withColumnRenamed("quarter", "prior_quarter"), "prior_quarter", "left")
     total = F.col(TOTAL_MRR) * 1_000_000

@@ -79,7 +79,7 @@ def read_disclosures(spark: SparkSession, path: str) -> DataFrame:
     bad = parsed.where(F.col("_value").isNull()).select("line", "value").orderBy("line").first()
     if bad is not None:
         raise reconcile.ReconcileError(f"{path} line {bad.line}: bad value {bad.value!r}")
-    return parsed.select(*[F.col("_value").alias("value") if c == "value" else F.col(c) for c in present])
+    return parsed.select(*[F.col("_value").alias("value") if c == "value" else F.col(c) for c in present], "line")
 
 
 def read_reviewed(spark: SparkSession, path: str) -> DataFrame:

@@ -576,6 +576,14 @@ def latest_fetch(spark, sf):
     return intake.latest_fetch(_log(spark, sf)).select("scan_date", "url", "fetch_ord", "status")
 
 
+@query(
+    "cached_bodies",
+    f"""WITH {_LOG} SELECT url, scan_date AS fetched_on, max(page_id) AS fetch_ord FROM log WHERE status = 200 AND has_body GROUP BY 1, 2""",
+)
+def cached_bodies(spark, sf):
+    return intake.cached_bodies(_log(spark, sf)).select("url", "fetched_on", "fetch_ord")
+
+
 @query(
     "frontier_admission",
     f"""WITH p AS (SELECT page_id, url, {host_sql('url')} AS host, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), ''), '/') AS path FROM pages),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import catalog, controls, features, keyed, panel, score, series
 from vitrine.functions import dates, values
+from vitrine.sources import archive
 from workload.base import SCAN_DAY, products, query, r6, table, variants
 
 def day():
@@ -425,6 +426,20 @@ def asof_nearest(spark, sf):
     return out.select("domain", "group", "offset", "target_month", "timestamp", "distance")
 
 
+@query(
+    "archive_index",
+    f"""WITH {SNAPS} SELECT domain, timestamp, CASE WHEN value < 3 THEN '404' ELSE '200' END AS status, 'text/html' AS mimetype, event_type AS digest FROM snaps WHERE event_type <> 'signup'""",
+)
+def archive_index(spark, sf):
+    """Each capture as an archive-index answer of its own, with a header and a short row; sign-ups answer no JSON."""
+    snaps = snapshots(spark, sf)
+    status = F.when(F.col("value") < 3, "404").otherwise("200")
+    head = F.array(*[F.lit(x) for x in ("timestamp", "statuscode", "mimetype", "digest")])
+    body = F.to_json(F.array(head, F.array(F.col("timestamp"), status, F.lit("text/html"), F.col("event_type")), F.array(F.lit("short"))))
+    answers = snaps.select("domain", F.when(F.col("event_type") == "signup", "<html>").otherwise(body).alias("body"))
+    return archive.parse_archive_index(answers)
+
+
 def backtest(spark, sf):
     snaps = snapshots(spark, sf)
     picked = controls.pick_snapshots(controls.grid(planned(spark, sf)), snaps)
