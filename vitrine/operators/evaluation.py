@@ -255,10 +255,10 @@ def logistic_diagnostic(
     classes = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
     rows = sum(classes.values())
     if len(classes) < 2 or rows < 10:
-        return {"error": "insufficient labeled rows for the diagnostic model"}
+        return {"error": "too few labelled rows, or only one class"}
     folds = min(max_folds, min(classes.values()))
     if folds < 2:
-        return {"error": "insufficient class balance for cross validation"}
+        return {"error": "too few rows of one class to fold"}
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     filled = df.select(

@@ -17,7 +17,7 @@ def eligible_at_latest_scan(spark: SparkSession, warehouse: str, positives: Data
     stores = tables.read_scan_table(spark, warehouse, "stores")
     newest = stores.agg(F.max("scan_date")).first()[0]
     if newest is None:
-        raise PanelError("no scan exists yet; scan candidate stores first")
+        raise PanelError("the warehouse holds no scan yet")
     at = F.col("scan_date") == F.lit(newest)
     catalog = tables.read_scan_table(spark, warehouse, "catalog_snapshots").where(at)
     marked = tables.read_scan_table(spark, warehouse, "fingerprint_matches").where(at)
@@ -39,7 +39,7 @@ def build_panel(
         raise tables.FrozenPanel(f"panel version {version} exists and panels are frozen; choose a new version")
     candidates = eligible_at_latest_scan(spark, warehouse, positives)
     if candidates.isEmpty():
-        raise PanelError("no eligible stores: need scanned platform stores with a product feed and no fingerprint")
+        raise PanelError("no store at the latest scan is eligible")
     chosen = panel.select_panel(candidates, size, seed).select("domain", F.lit(added_at).cast("timestamp").alias("added_at"))
     tables.freeze_panel(chosen, path, version)
     return spark.read.parquet(path).where(F.col("panel_version") == version)

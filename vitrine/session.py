@@ -63,10 +63,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input that arrives in fewer partitions than there are cores.
+    """Give every core a share of an input the optimizer estimates as small, such as one file of a few megabytes.
 
-    An input of many partitions is left as it is; nothing large is ever shuffled for this.
+    Anything larger already arrives in enough partitions and is left as it is; nothing large is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, 64)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES_PER_CORE else df
