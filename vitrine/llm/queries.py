@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import exact_dedup, license_scan, line_dedup
+from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, packing, quality_rules
 from vitrine.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +94,29 @@ SELECT doc_id, f[1] AS licence, coalesce((SELECT string_agg(u.name, ',' ORDER BY
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the licences that its sentences declare."""
     return license_scan.license_scan(documents(spark, sf_dir))
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and the text they decode to, as digests."""
+    args = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    both = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), *args), *args)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and the place that it has in a sequence."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's figures and verdict; the labelled good, harmless documents are the trusted target."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
+    return quality_rules.quality_rules(documents(spark, sf_dir), trusted)
