@@ -129,7 +129,8 @@ def quality_rules(
     small_batches(spark)
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     good = trusted.select(F.col(trusted.columns[0]).alias("id")).where("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    marked = read.join(good, "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # A merge join at every size: the ids of trusted rows grow with the corpus, so they are never broadcast.
+    marked = read.join(good.hint("merge"), "id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     counts = ngram_counts(marked, n, cells)
     weights = log_ratios(counts) if counts[True].any() else np.zeros(cells)
     shared = spark.sparkContext.broadcast(weights.astype(np.float64))  # `cells` numbers
