@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, packing, quality_rules
+from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_rules
 from vitrine.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's figures and verdict; the labelled good, harmless documents are the trusted target."""
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
     return quality_rules.quality_rules(documents(spark, sf_dir), trusted)
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near copies; one document of each class stays."""
+    return near_dedup.near_groups(documents(spark, sf_dir))
