@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_rules
+from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_rules, substring_dedup
 from vitrine.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near copies; one document of each class stays."""
     return near_dedup.near_groups(documents(spark, sf_dir))
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, how many of them repeat an earlier passage, and a digest of the others."""
+    found = substring_dedup.repeated_spans(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
