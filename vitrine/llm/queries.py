@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_rules, substring_dedup
+from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, preference, quality_rules, substring_dedup, weak_labels
 from vitrine.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,56 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, how many of them repeat an earlier passage, and a digest of the others."""
     found = substring_dedup.repeated_spans(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept_sha")).alias("kept_sha256"))
+
+
+@query("op2_weak_labels")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's votes, posterior, score and verdict."""
+    return weak_labels.classify(documents(spark, sf_dir))
+
+
+def preference_pairs(conversations: DataFrame) -> DataFrame:
+    """A pair for every conversation: it is chosen, and rejected is its twin that goes wrong at its middle assistant turn.
+
+    From that turn on the twin repeats the conversation's first assistant text in place of each one, and it
+    breaks off after the last assistant turn. A conversation without an assistant turn is
+    its own twin.
+    """
+    mine = "conv_id"
+    answers = conversations.where("role = 'assistant'").groupBy(mine).agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("answers"), F.max("turn").alias("last")
+    )
+    facts = answers.select(mine, "last", F.concat(F.lit("As I said: "), F.col("answers")[0]["text"]).alias("stale"), F.get("answers", F.floor(F.col("n") / 2).cast("int"))["turn"].alias("wrong"))
+    chosen = conversations.select(F.col(mine).alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
+    twin = conversations.join(facts, mine, "left").where("last IS NULL OR turn <= last")
+    text = F.when((F.col("role") == "assistant") & (F.col("turn") >= F.col("wrong")), F.col("stale")).otherwise(F.col("text"))
+    return chosen.unionByName(twin.select(F.col(mine).alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", text.alias("text")))
+
+
+PREFERENCE_SQL = """
+WITH answers AS (SELECT conv_id, max(turn) AS last, list({'turn': turn, 'text': text} ORDER BY turn, text) AS a, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+facts AS (SELECT conv_id, last, 'As I said: ' || a[1].text AS stale, a[n // 2 + 1].turn AS wrong FROM answers),
+turns AS (SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION SELECT c.conv_id, 'rejected', turn, role, CASE WHEN role = 'assistant' AND turn >= wrong THEN stale ELSE text END
+  FROM conversations c LEFT JOIN facts f USING (conv_id) WHERE last IS NULL OR turn <= last),
+placed AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS place FROM turns),
+ends AS (SELECT pair_id, coalesce(min(place) FILTER (WHERE n < 2 OR low <> high) - 1, max(place)) AS n_prompt_turns
+  FROM (SELECT pair_id, place, count(*) AS n, min({'r': role, 't': text}) AS low, max({'r': role, 't': text}) AS high FROM placed GROUP BY pair_id, place) GROUP BY pair_id),
+pieces AS (SELECT p.*, n_prompt_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(role) + 5 AS head FROM placed p JOIN ends USING (pair_id)),
+spans AS (SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, side ORDER BY place) AS stop FROM pieces WHERE place > n_prompt_turns),
+masks AS (SELECT pair_id, side, string_agg(shown, '' ORDER BY place) AS completion,
+  coalesce(string_agg(CAST(stop - length(shown) + head AS BIGINT) || ',' || CAST(stop AS BIGINT), ',' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS mask FROM spans GROUP BY pair_id, side)
+SELECT e.pair_id, e.n_prompt_turns, coalesce(p.prompt, '') AS prompt, coalesce(c.completion, '') AS chosen, coalesce(c.mask, '') AS chosen_mask,
+  coalesce(r.completion, '') AS rejected, coalesce(r.mask, '') AS rejected_mask
+FROM ends e LEFT JOIN (SELECT pair_id, string_agg(shown, '' ORDER BY place) AS prompt FROM pieces WHERE side = 'chosen' AND place <= n_prompt_turns GROUP BY pair_id) p USING (pair_id)
+LEFT JOIN masks c ON c.pair_id = e.pair_id AND c.side = 'chosen' LEFT JOIN masks r ON r.pair_id = e.pair_id AND r.side = 'rejected'
+"""
+
+
+@query("op1_preference_format", PREFERENCE_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and its flawed twin as one prompt and two masked completions; masks as text."""
+    turns = preference_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = preference.format_preferences(turns)
+    flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", flat("chosen_mask"), "rejected", flat("rejected_mask"))
