@@ -5,22 +5,49 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import line_dedup
+from vitrine.llm import line_dedup, near_dedup, packing, substring_dedup, weak_labels
 from vitrine.session import configure, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised classifier rejects go."""
+    return weak_labels.keep_good(docs)
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go; every document stays, emptied ones with an empty text."""
     return line_dedup.line_dedup(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("line dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of smallest id; emptied documents are one group."""
+    return near_dedup.near_dedup(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that start earlier too go; every document stays."""
+    return substring_dedup.substring_dedup(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their ids, and the place that each has in a sequence."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("near dedup", near_copies),
+    ("substring dedup", passages),
+    ("packing", sequences),
+]
 
-#: A stage that SQL cannot express is tested against a brute-force version.
+#: SQL cannot express the classifier, the sampling or the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

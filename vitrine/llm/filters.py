@@ -25,3 +25,10 @@ def maybe_in(column: str, known: DataFrame, bits: int = 1 << 20) -> Column:
     table = materialize(packed.select(F.transform("a", lambda x: x["bits"]).alias("a")), "filter").scalar()
     mine = F.xxhash64(column).bitwiseAND(bits - 1)
     return F.get(table, F.shiftright(mine, 6).cast("int")).bitwiseAND(bit(mine)) != 0
+
+
+def join_touched(docs: DataFrame, key: Column, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_row, _k) of the documents that may have a partner in `found`, a table with a column k, and of those that surely have none."""
+    wrapped = docs.select(F.struct("*").alias("_row"), key.alias("_k"))
+    maybe = F.coalesce(maybe_in("_k", found.select("k")), F.lit(False))
+    return wrapped.where(maybe), wrapped.where(~maybe)

@@ -15,41 +15,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.llm.words import id_key, text_or_empty, words_of
+from vitrine.llm.filters import bit, join_touched, maybe_in
+from vitrine.llm.words import id_key, split_blanks, text_or_empty, words_of
 from vitrine.session import materialize
 
 #: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
-CELLS = 1 << 18
+CELLS = 1 << 17
 EPS = 1e-9
 
 
 
 
-def _rarity(sets: DataFrame, cells: int) -> Column:
-    """How often each cell's words occur, as an array that a scalar subquery gives to the tasks."""
-    spark = sets.sparkSession
-    counts = sets.select(F.explode("words").alias("w")).groupBy(F.xxhash64("w").bitwiseAND(cells - 1).alias("cell")).agg(F.count("*").alias("n"))
+def _rarity(words: DataFrame, cells: int) -> Column:
+    """How often the words of each cell occur in (w), as an array that a scalar subquery gives to the tasks."""
+    spark = words.sparkSession
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(cells - 1).alias("cell")).agg(F.count("*").alias("n"))
     filled = spark.range(cells).select(F.col("id").alias("cell")).join(counts, "cell", "left")
     packed = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", F.least(F.coalesce("n", F.lit(0)), F.lit(2**20 - 1)).cast("int").alias("n")))).alias("a"))
-    table = materialize(packed.select(F.transform("a", lambda x: x["n"]).alias("a")), "word-rarity")
-    return table.scalar()
+    return materialize(packed.select(F.transform("a", lambda x: x["n"]).alias("a")), "word-rarity").scalar()
 
 
 def _keys(words: Column, rarity: Column, cells: int) -> Column:
     """Word keys in one order for all lines: 20 bits of rarity over 43 bits of hash."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(cells - 1).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        n = F.get(rarity, h.bitwiseAND(cells - 1).cast("int")).cast("long")
-        return F.shiftleft(n, 43).bitwiseOR(F.shiftrightunsigned(h, 21))
 
-    return F.sort_array(F.transform(words, key))
-
-
-def _signature(keys: Column, half: int) -> Column:
-    """64 bits for one sixth of all words: a bit in which two lines differ stands for a word that one of them lacks."""
-    chosen = F.filter(keys, lambda k: F.shiftrightunsigned(k, 6) % 6 == half)
-    return F.aggregate(chosen, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))))
+def _signature(keys: Column) -> Column:
+    """64 bits for a quarter of all words: a bit in which two lines differ stands for a word that one of them lacks."""
+    chosen = F.filter(keys, lambda k: k.bitwiseAND(0xC0) == 0)
+    return F.aggregate(chosen, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(bit(k)))
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -57,18 +52,19 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * F.lit(t / (1 + t)) - EPS)
 
 
-def _candidates(every: DataFrame, t: float, cells: int) -> DataFrame:
+def _candidates(docs_text: DataFrame, lines: DataFrame, t: float, cells: int) -> DataFrame:
     """Pairs (k, no, k2, no2) of different lines, the first one earlier, that pass every filter."""
-    rated = every.select("k", "no", "h", "words", _rarity(every, cells).alias("rarity"))
-    keyed = rated.select("k", "no", "h", F.size("words").alias("n"), _keys(F.col("words"), F.col("rarity"), cells).alias("keys"))
+    rarity = _rarity(docs_text.select(F.explode(split_blanks(F.col("text"))).alias("w")).where("w <> ''"), cells)
+    words = lines.select("k", "no", F.unhex(F.md5("line")).alias("h"), F.array_distinct(words_of(F.col("line"))).alias("words"), rarity.alias("rarity"))
+    keyed = words.select("k", "no", "h", F.size("words").alias("n"), _keys(F.col("words"), F.col("rarity"), cells).alias("keys"))
     length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - EPS).cast("int") + 1
-    short = keyed.select("h", F.struct("k", "no", "n", _signature(F.col("keys"), 0).alias("bits"), _signature(F.col("keys"), 1).alias("more"), F.slice("keys", F.lit(1), length).alias("prefix")).alias("line"))
+    short = keyed.select("h", F.struct("k", "no", "n", _signature(F.col("keys")).alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix")).alias("line"))
     first = short.groupBy("h").agg(F.min("line").alias("line")).select("line.*")
 
-    index = first.select("k", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
+    index = first.select("k", "no", "n", "bits", F.posexplode("prefix").alias("pos", "key"))
     probe = index.select(*[F.col(c).alias(c + "2") for c in index.columns])
     need = _least_overlap(F.col("n"), F.col("n2"), t)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
     met = (
         (F.col("key") == F.col("key2"))
         & ((F.col("k") < F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("no") < F.col("no2"))))
@@ -79,10 +75,10 @@ def _candidates(every: DataFrame, t: float, cells: int) -> DataFrame:
     return index.join(probe, met).select("k", "no", "k2", "no2").distinct()
 
 
-def _fetch(docs_lines: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, no, words) of the wanted (k, no): documents meet the short list of their wanted lines, not the other way round."""
-    lists = wanted.groupBy("k").agg(F.collect_set("no").alias("nos"))
-    found = docs_lines.join(lists, "k").select("k", F.posexplode("pieces").alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
+    lists = materialize(wanted.groupBy("k").agg(F.collect_set("no").alias("nos")), "line-lists")
+    found = docs_text.where(maybe_in("k", lists.select("k"))).join(lists, "k").select("k", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
     # Rows that repeat an id and its text repeat their lines.
     return found.select("k", "no", F.array_distinct(words_of(F.col("line"))).alias("words"))
 
@@ -97,20 +93,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     neither is later than the other; null ids count as one id after all others.
     """
     t = similarity
-    pieces = docs.select(id_key(id_col).alias("k"), F.split(text_or_empty(text_col), "\n").alias("pieces"))
-    split = pieces.select("k", F.posexplode("pieces").alias("no", "line")).select("k", "no", words_of(F.col("line")).alias("listed")).where(F.size("listed") > 0)
-    every = split.select("k", "no", F.array_distinct("listed").alias("words"), F.unhex(F.md5(F.array_join("listed", " "))).alias("h"))
+    docs_text = docs.select(id_key(id_col).alias("k"), text_or_empty(text_col).alias("text"))
+    lines = docs_text.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
-    pairs = materialize(_candidates(every, t, cells), "line-pairs")
+    pairs = materialize(_candidates(docs_text, lines, t, cells), "line-pairs")
     ends = pairs.select("k", "no").union(pairs.select(F.col("k2").alias("k"), F.col("no2").alias("no")))
-    words = materialize(_fetch(pieces, ends), "line-words")
+    words = materialize(_fetch(docs_text, ends), "line-words")
     common = F.size(F.array_intersect("words", "words2"))
     left = words.dropDuplicates(["k", "no", "words"])
     right = left.select(*[F.col(c).alias(c + "2") for c in ("k", "no", "words")])
     alike = pairs.join(left, ["k", "no"]).join(right, ["k2", "no2"]).where(common >= (F.size("words") + F.size("words2") - common) * t - EPS)
     matched = alike.select(F.struct(F.col("k2").alias("k"), F.col("no2").alias("no")).alias("at")).distinct().withColumn("later", F.lit(True))
 
-    occurrences = materialize(every.select("k", "no", "h"), "line-places")
+    occurrences = materialize(lines.select("k", "no", F.unhex(F.md5("line")).alias("h")), "line-places")
     firsts = occurrences.groupBy("h").agg(F.min(F.struct("k", "no")).alias("at"))
     firsts = materialize(firsts.join(matched, "at", "left").select("h", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-firsts")
     judged = occurrences.join(firsts, "h").select("k", "no", (F.col("later") | (F.col("at") != F.struct("k", "no"))).alias("out")).distinct()
@@ -126,8 +121,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. See `removed_lines` for what is removed.
     """
-    out = removed_lines(docs, id_col, text_col, similarity, cells).where("n_removed > 0").select(F.struct("k", "removed").alias("_removed"))
-    wrapped = docs.select(F.struct("*").alias("_row"))
-    joined = wrapped.join(out, id_key(f"_row.{id_col}") == F.col("_removed.k"), "left")
-    kept = F.filter(F.split(F.col(f"_row.{text_col}"), "\n"), lambda line, no: ~F.coalesce(F.array_contains("_removed.removed", no), F.lit(False)))
-    return joined.select(*[F.array_join(kept, "\n").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
+    out = materialize(removed_lines(docs, id_col, text_col, similarity, cells).where("n_removed > 0").select("k", "removed"), "line-removed")
+    some, others = join_touched(docs, id_key(id_col), out)
+    joined = some.join(out.select(F.struct("k", "removed").alias("_out")), F.col("_k") == F.col("_out.k"), "left")
+    gone = lambda no: F.coalesce(F.array_contains("_out.removed", no), F.lit(False))
+    kept = F.array_join(F.filter(F.split(F.col(f"_row.`{text_col}`"), "\n"), lambda line, no: ~gone(no)), "\n")
+    row = [F.col(f"_row.`{c}`") for c in docs.columns]
+    changed = joined.select(*[kept.alias(c) if c == text_col else r for c, r in zip(docs.columns, row, strict=True)])
+    return changed.union(others.select(*row))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.llm.batches import small_batches
 from vitrine.llm.components import components
+from vitrine.llm.filters import join_touched
 from vitrine.llm.grams import ODD, mix, run_hashes, word_hashes
 from vitrine.llm.words import text_or_empty
 from vitrine.session import materialize
@@ -222,5 +223,8 @@ def near_groups(
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents, all columns, of which `near_groups` keeps one in each class; rows that repeat its id stay."""
-    out = near_groups(docs, id_col, text_col, **settings).where("NOT kept").select(F.col(id_col).cast("long").alias("_out")).distinct()
-    return docs.join(out, docs[id_col].cast("long") == out["_out"], "left_anti")
+    out = near_groups(docs, id_col, text_col, **settings).where("NOT kept").select(F.col(id_col).cast("long").alias("k")).distinct()
+    out = materialize(out, "near-out")
+    some, others = join_touched(docs, F.col(id_col).cast("long"), out)
+    row = [F.col(f"_row.`{c}`") for c in docs.columns]
+    return some.join(out, F.col("_k") == F.col("k"), "left_anti").select(*row).union(others.select(*row))

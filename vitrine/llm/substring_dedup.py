@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.batches import small_batches
-from vitrine.llm.filters import maybe_in
+from vitrine.llm.filters import join_touched, maybe_in
 from vitrine.llm.grams import minimizers, run_hashes, word_hashes
 from vitrine.llm.words import LAST_ID, id_key, text_or_empty, words_of
 from vitrine.session import materialize
@@ -260,12 +260,16 @@ def cut_words(text: str, spans: list[int]) -> str:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, run: int = RUN) -> DataFrame:
     """The documents, all columns and rows, without the words that `repeated_spans` removes; a text can become empty, a null stays null."""
-    found = repeated_spans(docs, id_col, text_col, window, run).where("n_removed > 0").select(F.struct("k", "h", "spans").alias("_cut")).distinct()
-    h = F.unhex(F.md5(F.array_join(words_of(text_or_empty(f"_row.{text_col}")), " ")))
-    joined = docs.select(F.struct("*").alias("_row")).join(found, (id_key(f"_row.{id_col}") == F.col("_cut.k")) & (h == F.col("_cut.h")), "left")
+    found = repeated_spans(docs, id_col, text_col, window, run).where("n_removed > 0").select("k", "h", "spans")
+    found = materialize(found, "cuts").dropDuplicates(["k", "h"])
+    some, others = join_touched(docs, id_key(id_col), found)
+    h = F.unhex(F.md5(F.array_join(words_of(text_or_empty(F.col(f"_row.`{text_col}`"))), " ")))
+    joined = some.join(found.select(F.struct("*").alias("_cut")), (F.col("_k") == F.col("_cut.k")) & (h == F.col("_cut.h")), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return joined.select(*[cut(F.col(f"_row.{c}"), F.col("_cut.spans")).alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
+    row = [F.col(f"_row.`{c}`") for c in docs.columns]
+    changed = joined.select(*[cut(r, F.col("_cut.spans")).alias(c) if c == text_col else r for c, r in zip(docs.columns, row, strict=True)])
+    return changed.union(others.select(*row))

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -173,29 +174,13 @@ def features_of(text: str, cells: int) -> np.ndarray:
     return np.sqrt(shares) * (total / (total + FEW))
 
 
-def classify(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    labellers: list[Labeller] | None = None,
-    sample: int = SAMPLE,
-    cells: int = CELLS,
-    threshold: float = 0.5,
-) -> DataFrame:
-    """One row per input row: the id, votes (the pattern), posterior, score, kept.
+Verdict = Callable[[Iterable[str]], tuple[list[str], np.ndarray, np.ndarray]]
 
-    `posterior` is the label model's probability that the document is good, `score` the scorer's; a document
-    is kept when its score reaches `threshold`. The label model is estimated over all documents, the scorer
-    fitted on about `sample` documents of each side, or all if there are fewer, chosen by a hash of the text.
-    When all posteriors fall on one side, or the table is empty, there is nothing to fit and the score is the
-    posterior. A null text is an empty one; texts of fewer than three bytes have no features and score by the
-    intercept. Rows that repeat get the same verdict. Only id and text are read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    labellers = LABELLERS if labellers is None else labellers
-    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = read.schema["id"].dataType.simpleString()
+
+def _judge(docs: DataFrame, text_col: str, labellers: list[Labeller], sample: int, cells: int) -> Verdict:
+    """Fit both models; the result gives the patterns, posteriors and scores of texts."""
+    small_batches(docs.sparkSession)
+    read = docs.select(text_or_empty(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[str] = Counter()
@@ -203,7 +188,7 @@ def classify(
             seen.update(pattern_of(t, labellers) for t in b["text"])
         yield pd.DataFrame(list(seen.items()), columns=["pattern", "n"])
 
-    counted = read.select("text").mapInPandas(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    counted = read.mapInPandas(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     table = {r["pattern"]: r["n"] for r in counted.orderBy("pattern").collect()}  # 4 to the power of the labellers at most
     model = fit_labels(list(table), list(table.values()), len(labellers))
     posterior = dict(zip(table, model.posterior(list(table)).tolist(), strict=True))
@@ -222,7 +207,7 @@ def classify(
 
     weights, intercept = None, 0.0
     if all(sides):
-        chosen = materialize(read.select("text").mapInPandas(choose, "posterior double, x array<double>"), "weak-sample")
+        chosen = materialize(read.mapInPandas(choose, "posterior double, x array<double>"), "weak-sample")
         # A posterior is a weighted example of each class.
         x = array_to_vector("x").alias("features")
         good = chosen.select(x, F.lit(1.0).alias("label"), F.col("posterior").alias("w"))
@@ -232,17 +217,53 @@ def classify(
         weights = np.array(fitted.coefficients.toArray())
         intercept = float(fitted.intercept) + math.log(share[0] / share[1])
 
+    def verdict(texts: Iterable[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        texts = list(texts)
+        patterns = [pattern_of(t, labellers) for t in texts]
+        p = np.array([posterior[x] for x in patterns], float)
+        s = p if weights is None else 1 / (1 + np.exp(-np.clip(np.array([features_of(t, cells) @ weights + intercept for t in texts], float), -500, 500)))
+        return patterns, p, s
+
+    return verdict
+
+
+def classify(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    labellers: list[Labeller] = LABELLERS,
+    sample: int = SAMPLE,
+    cells: int = CELLS,
+    threshold: float = 0.5,
+) -> DataFrame:
+    """One row per input row: the id, votes (the pattern), posterior, score, kept.
+
+    `posterior` is the label model's probability that the document is good, `score` the scorer's; a document
+    is kept when its score reaches `threshold`. The label model is estimated over all documents, the scorer
+    fitted on about `sample` documents of each side, or all if there are fewer, chosen by a hash of the text.
+    When all posteriors fall on one side, or the table is empty, there is nothing to fit and the score is the
+    posterior. A null text is an empty one; texts of fewer than three bytes have no features and score by the
+    intercept. Rows that repeat get the same verdict. Only id and text are read.
+    """
+    verdict = _judge(docs, text_col, labellers, sample, cells)
+    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    kind = read.schema["id"].dataType.simpleString()
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            patterns = [pattern_of(t, labellers) for t in b["text"]]
-            p = np.array([posterior[x] for x in patterns], float)
-            s = p if weights is None else 1 / (1 + np.exp(-np.clip([features_of(t, cells) @ weights + intercept for t in b["text"]], -500, 500)))
+            patterns, p, s = verdict(b["text"])
             yield pd.DataFrame({"id": b["id"], "votes": patterns, "posterior": p, "score": s, "kept": s >= threshold})
 
     return read.mapInPandas(score, f"id {kind}, votes string, posterior double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents, all columns, of which `classify` rejects none under their id."""
-    out = classify(docs, id_col, text_col, **settings).where("NOT kept").select(F.col(id_col).alias("_out")).distinct()
-    return docs.join(out, docs[id_col] == out["_out"], "left_anti")
+def keep_good(docs: DataFrame, text_col: str = "text", labellers: list[Labeller] = LABELLERS, sample: int = SAMPLE, cells: int = CELLS, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns, that `classify` keeps; every row is judged where it lies."""
+    verdict = _judge(docs, text_col, labellers, sample, cells)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(verdict(t or "" for t in b.column(at).to_pylist())[2] >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
