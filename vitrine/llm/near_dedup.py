@@ -7,8 +7,9 @@ is taken off, so what remains are the shingles that many documents share. Every
 Jaccard similarity.
 
 Documents of equal text meet first, by hash, and go on as one. A band's bucket is then held against its
-smallest member, which settles groups of any size with one pair for each member; the members that this has
-left apart meet in pairs, and only they. Pairs are verified on the weighted shingles of both documents.
+smallest member, which settles groups of any size with one pair for each member. Of the members that this has
+left apart, those whose shingles do not reach the similarity outside their component are done; the others
+meet in pairs, and only they. Pairs are verified on the weighted shingles of both documents.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.batches import small_batches
 from vitrine.llm.components import components
-from vitrine.llm.filters import join_touched
+from vitrine.llm.filters import join_touched, maybe_in
 from vitrine.llm.grams import ODD, mix, run_hashes, word_hashes
 from vitrine.llm.words import text_or_empty
 from vitrine.session import materialize
@@ -135,31 +136,63 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(common / (a[1].sum() + b[1].sum() - common))
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame, weights, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose weighted Jaccard similarity is `similarity` or more."""
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+def _vectors(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(k, codes, counts): the shingles of the wanted (k). Texts that surely are not wanted stay out of the shuffle."""
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = weights.value
         for b in batches:
-            found = [weigh(t, size, w) for t in b["text"]]
-            yield pd.DataFrame({"k": b["k"], "codes": [c.tobytes() for c, _ in found], "marks": [m.astype("<f4").tobytes() for _, m in found]})
+            found = [shingles(t, size) for t in b["text"]]
+            yield pd.DataFrame({"k": b["k"], "codes": [c.view(np.int64) for c, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
+
+    wanted = materialize(wanted.distinct(), "near-wanted")
+    some = texts.where(maybe_in("k", wanted)).join(wanted.hint("merge"), "k", "left_semi")
+    return materialize(some.mapInPandas(vectors, "k long, codes array<long>, counts array<int>"), "near-vectors")
 
-    found = materialize(texts.join(wanted, "k", "left_semi").mapInPandas(vectors, "k long, codes binary, marks binary"), "near-vectors")
-    one = found.select(F.col("k").alias("a"), F.col("codes").alias("codes1"), F.col("marks").alias("marks1"))
-    two = found.select(F.col("k").alias("b"), F.col("codes").alias("codes2"), F.col("marks").alias("marks2"))
+
+def _verified(pairs: DataFrame, vectors: DataFrame, weights, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose weighted Jaccard similarity is `similarity` or more."""
+    one, two = (vectors.select(F.col("k").alias(k), F.col("codes").alias("codes_" + k), F.col("counts").alias("counts_" + k)) for k in ("a", "b"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def weighed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            codes = np.asarray(codes, np.int64).view(np.uint64)
+            return codes, counts * weights.value[cell_of(codes, len(weights.value))]
+
         for f in batches:
-            keep = [
-                weighted_jaccard((np.frombuffer(c, "<u8"), np.frombuffer(m, "<f4").astype(float)), (np.frombuffer(d, "<u8"), np.frombuffer(n, "<f4").astype(float))) >= similarity - EPS
-                for c, m, d, n in zip(f["codes1"], f["marks1"], f["codes2"], f["marks2"], strict=True)
-            ]
+            four = zip(f["codes_a"], f["counts_a"], f["codes_b"], f["counts_b"], strict=True)
+            keep = [weighted_jaccard(weighed(c, n), weighed(d, m)) >= similarity - EPS for c, n, d, m in four]
             yield f.loc[np.array(keep, bool), ["a", "b"]]
 
     return pairs.join(two, "b").join(one, "a").mapInPandas(judge, "a long, b long")
 
 
+def _reachable(placed: DataFrame, vectors: DataFrame, weights, similarity: float) -> DataFrame:
+    """Of the nodes (k, label), those that can have a link into another component.
+
+    A link needs `similarity` of a node's weight in shingles that the other one holds too. So a node whose
+    shingles that occur in other components weigh less has none: the many heavily edited copies of one text
+    are told apart here, without a pair among them.
+    """
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            for k, label, codes, counts in zip(f["k"], f["label"], f["codes"], f["counts"], strict=True):
+                codes = np.asarray(codes, np.int64)
+                w = counts * weights.value[cell_of(codes.view(np.uint64), len(weights.value))]
+                yield pd.DataFrame({"k": np.full(len(codes), k), "label": np.full(len(codes), label), "code": codes, "part": w / w.sum()})
+
+    rows = vectors.join(placed, "k").select("k", "label", "codes", "counts").mapInPandas(share, "k long, label long, code long, part double")
+    shared = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("code")
+    foreign = rows.join(shared, "code", "left_semi").groupBy("k").agg(F.sum("part").alias("part"))
+    return foreign.where(F.col("part") >= similarity - 1e-6).select("k")
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """Of (band, k, label) the buckets that hold more than one component."""
+    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+    return placed.join(mixed, "band", "left_semi")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -199,17 +232,20 @@ def near_groups(
     # First round: every bucket against its smallest member.
     heads = buckets.groupBy("band").agg(F.min("k").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     stars = materialize(buckets.join(heads, "band").where("k <> a").select("a", F.col("k").alias("b")).distinct(), "near-stars")
-    links = materialize(_verified(spark, stars, texts, weights, size, similarity), "near-links")
+    ends = stars.select(F.col("a").alias("k")).union(stars.select("b"))
+    links = materialize(_verified(stars, _vectors(texts, ends, size), weights, similarity), "near-links")
 
-    # Second round: members of a bucket that are still apart, in pairs.
+    # Second round: members of a bucket that are still apart and can have a link, in pairs.
     labels = components(links)
-    placed = buckets.join(labels, "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    apart = materialize(placed.join(mixed, "band", "left_semi"), "near-apart")
+    apart = materialize(_apart(buckets.join(labels, "k", "left").select("band", "k", F.coalesce("label", "k").alias("label"))), "near-apart")
+    vectors = _vectors(texts, apart.select("k"), size)
+    for _ in range(2):
+        able = materialize(_reachable(apart.select("k", "label").distinct(), vectors, weights, similarity), "near-able")
+        apart = materialize(_apart(apart.join(able, "k", "left_semi")), "near-apart")
     other = apart.select("band", F.col("k").alias("b"), F.col("label").alias("label2"))
     pairs = apart.join(other, "band").where((F.col("k") < F.col("b")) & (F.col("label") != F.col("label2"))).select(F.col("k").alias("a"), "b").distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    more = _verified(spark, pairs, texts, weights, size, similarity)
+    more = _verified(pairs, vectors, weights, similarity)
 
     classes = components(links.unionByName(more))
     nodes = signed.join(same, "h").select("k", "node").join(classes.withColumnRenamed("k", "node"), "node", "left")
