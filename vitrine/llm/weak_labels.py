@@ -122,14 +122,16 @@ class LabelModel:
 
     @staticmethod
     def _codes(patterns: list[str]) -> np.ndarray:
-        return np.array([["-0+?".index(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), -1)
+        return np.array([["-0+?".index(c) for c in p] for p in patterns], np.int64).reshape(len(patterns), len(patterns[0]) if patterns else 0)
 
     def posterior(self, patterns: list[str]) -> np.ndarray:
         """The probability that a document with these votes is good. To vote neither way is an answer too."""
         codes = self._codes(patterns)
+        if not patterns:
+            return np.zeros(0)
         each = np.arange(codes.shape[1])
         known = np.concatenate([np.log(self.rates), np.zeros((2, len(each), 1))], axis=2)  # no answer says nothing
-        bad, good = (known[c, each, codes].sum(1) if len(patterns) else np.zeros(0) for c in range(2))
+        bad, good = (known[c, each, codes].sum(1) for c in range(2))
         odds = math.log(1 - self.prior) - math.log(self.prior) + bad - good
         return 1 / (1 + np.exp(np.clip(odds, -500, 500)))
 
