@@ -94,3 +94,8 @@ def exploded(df: DataFrame, keep: list, array: Column | str, name: str, position
     """
     made = F.posexplode_outer(array).alias(position, name) if position else F.explode_outer(array).alias(name)
     return df.select(*keep, made).where(F.col(name).isNotNull())
+
+
+def cut(text: Column, cap: int | None) -> Column:
+    """The text, or its first `cap` characters."""
+    return text if cap is None else F.substr(text, F.lit(1), F.lit(cap))

@@ -25,9 +25,16 @@ def parse_feed(pages: DataFrame) -> DataFrame:
     typed = F.try_variant_get("_payload", "$.products", PRODUCTS)
 
     def variant(v: Column) -> Column:
-        """A present `available` with JSON null is false; an absent one is skipped."""
+        """A present `available` counts by its kind: text unless empty, numbers unless zero, null never; an absent one is skipped."""
         stated = v["available"]
-        truth = F.coalesce(F.try_variant_get(stated, "$", "boolean"), ~F.is_variant_null(stated))
+        kind = F.schema_of_variant(stated)
+        truth = (
+            F.when(F.is_variant_null(stated), False)
+            .when(kind == "BOOLEAN", F.try_variant_get(stated, "$", "boolean"))
+            .when(kind == "STRING", F.try_variant_get(stated, "$", "string") != "")
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~F.to_json(stated).isin("[]", "{}"))
+            .otherwise(F.coalesce(F.try_variant_get(stated, "$", "double") != 0, F.lit(True)))
+        )
         return F.struct(v["price"].alias("price"), F.when(stated.isNotNull(), truth).alias("available"))
 
     def product(p: Column) -> Column:
@@ -42,14 +49,19 @@ def parse_feed(pages: DataFrame) -> DataFrame:
     )
 
 
-def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataFrame, DataFrame]:
-    """Follow each store's feed from page 1 until a bad page, an empty page or `max_pages`.
+#: More pages than any feed has.
+MANY_PAGES = 1 << 40
+
+
+def walk(parsed: DataFrame, keys: list[str], max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Follow each store's feed from page 1 until a bad page, an empty page or, if given, `max_pages`.
 
     Returns (summary, pages kept). The summary has products_json_available, skip_reason, pages_fetched and
     truncated: a bad first page makes the feed unavailable; a later bad page or a full last page truncates
     it; an empty page ends it and counts as fetched. A missing page number counts as a bad page.
     """
-    numbered = parsed.where((F.col("page") >= 1) & (F.col("page") <= max_pages)).select(
+    last = MANY_PAGES if max_pages is None else max_pages
+    numbered = parsed.where((F.col("page") >= 1) & (F.col("page") <= last)).select(
         *keys, F.col("page").cast("long").alias("page"), "skip_reason", "products", F.coalesce("listed", F.lit(-1)).alias("listed")
     )
     page = F.col("page")
@@ -57,14 +69,14 @@ def walk(parsed: DataFrame, keys: list[str], max_pages: int = 40) -> tuple[DataF
         F.min(F.when(F.col("listed") < 1, page)).alias("stop"),
         F.min_by("listed", F.when(F.col("listed") < 1, page)).alias("stop_listed"),
         F.min_by("skip_reason", F.when(F.col("listed") < 1, page)).alias("stop_reason"),
-        F.max("page").alias("last"),
-        F.collect_set("page").alias("have"),
+        F.array_sort(F.collect_set("page")).alias("have"),
     )
-    # Page numbers are bounded by max_pages, so the set is at most max_pages long.
-    gap = F.array_min(F.filter(F.sequence(F.lit(1), F.col("last") + 1), lambda p: ~F.array_contains(F.col("have"), p.cast("long"))))
-    at = ends.withColumn("gap", gap).withColumn("stop_at", F.least(F.coalesce("stop", F.lit(max_pages + 1)), "gap"))
-    by_gap = F.col("gap") < F.coalesce("stop", F.lit(max_pages + 1))
-    full = F.col("stop_at") > max_pages
+    # Sorted page numbers equal their place up to the first missing one.
+    gap = F.size(F.filter("have", lambda p, i: p == i + 1)) + 1
+    none = F.lit(last + 1)
+    at = ends.withColumn("gap", gap.cast("long")).withColumn("stop_at", F.least(F.coalesce("stop", none), "gap"))
+    by_gap = F.col("gap") < F.coalesce("stop", none)
+    full = F.col("stop_at") > last
     empty_end = ~by_gap & (F.col("stop_listed") == 0)
     summary = at.select(
         *keys,
@@ -146,7 +158,7 @@ CATALOG_FIELDS = (
 )
 
 
-def catalog_snapshots(feed_pages: DataFrame, keys: list[str], scan_date: str = "scan_date", max_pages: int = 40) -> DataFrame:
+def catalog_snapshots(feed_pages: DataFrame, keys: list[str], scan_date: str = "scan_date", max_pages: int | None = None) -> DataFrame:
     """Feed pages to one catalog row per store and scan. Bodies are parsed once, into a table in the shared folder.
 
     Every aggregate is NULL when the feed is unavailable; an available feed without products counts 0.

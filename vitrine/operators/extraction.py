@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import markup, urls, values
 
-INLINE_CAP = 2 * 1024 * 1024
-MATCHED_TEXT_CAP = 500
-
 # Platform markers looked for in a page.
 PLATFORM_DOMAIN = r"([a-z0-9-]+\.myshopify\.com)"
 THEME_OBJECT = r"(?s)Shopify\.theme\s*=\s*(\{.*?\})"
@@ -16,25 +13,29 @@ THEME_NAME = r'"name"\s*:\s*"([^"]*)"'
 THEME_ID = r'"id"\s*:\s*(\d+)'
 
 
-def _inline_text(parts: Column) -> Column:
-    """Inline scripts joined by newlines, cut after INLINE_CAP characters of script (newlines not counted)."""
+def _inline_text(parts: Column, cap: int | None) -> Column:
+    """Inline scripts joined by newlines, whole or cut after `cap` characters of script (newlines not counted)."""
     joined = F.array_join(parts, "\n")
+    if cap is None:
+        return joined
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"))
 
     def take(acc: Column, part: Column) -> Column:
-        piece = F.substr(part, F.lit(1), F.lit(INLINE_CAP) - acc["size"])
+        piece = F.substr(part, F.lit(1), F.lit(cap) - acc["size"])
         return F.when(
-            acc["size"] < INLINE_CAP,
+            acc["size"] < cap,
             F.struct(F.concat(acc["kept"], F.array(piece)).alias("kept"), (acc["size"] + F.length(piece)).alias("size")),
         ).otherwise(acc)
 
     capped = F.aggregate(parts, start, take, lambda acc: F.array_join(acc["kept"], "\n"))
-    return F.when(F.length(joined) <= INLINE_CAP, joined).otherwise(capped)
+    return F.when(F.length(joined) <= cap, joined).otherwise(capped)
 
 
-def extract(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", inline_cap: int | None = None) -> DataFrame:
     """Add what a page states about itself, in document order, without running any script.
 
+    `inline_cap` cuts the inline script text after so many characters; by default all of it is read.
+
     script_srcs, link_hrefs, inline_script_text, meta, jsonld, hreflang_alternates, anchors,
     platform_domain, theme_name, theme_id.
     """
@@ -98,7 +99,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
         ).alias("hreflang_alternates"),
         "anchors",
     )
-    with_text = shaped.withColumn("inline_script_text", _inline_text(F.col("_inline"))).drop("_inline")
+    with_text = shaped.withColumn("inline_script_text", _inline_text(F.col("_inline"), inline_cap)).drop("_inline")
     return with_text.select(
         "*",
         F.nullif(F.regexp_extract("inline_script_text", PLATFORM_DOMAIN, 1), F.lit("")).alias("platform_domain"),
@@ -204,8 +205,8 @@ def with_verdict(extracted: DataFrame) -> DataFrame:
     return extracted.withColumn("evidence", evidence).withColumn("is_platform", F.size("evidence") >= 2)
 
 
-def asset_rows(extracted: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per asset of a page: (keys, asset_ord, asset_type, value, host)."""
+def asset_rows(extracted: DataFrame, keys: list[str], text_cap: int | None = None) -> DataFrame:
+    """One row per asset of a page: (keys, asset_ord, asset_type, value, host); meta values are cut at `text_cap` if given."""
 
     def assets(values: Column, kind: str, hosted: bool) -> Column:
         return F.transform(
@@ -217,7 +218,7 @@ def asset_rows(extracted: DataFrame, keys: list[str]) -> DataFrame:
             ),
         )
 
-    meta_text = F.transform("meta", lambda m: F.substr(F.concat(m["key"], F.lit("="), m["value"]), F.lit(1), F.lit(MATCHED_TEXT_CAP)))
+    meta_text = F.transform("meta", lambda m: values.cut(F.concat(m["key"], F.lit("="), m["value"]), text_cap))
     everything = F.concat(
         assets(F.col("script_srcs"), "script_src", True),
         assets(F.col("link_hrefs"), "link_href", True),
@@ -265,12 +266,12 @@ def external_hosts(alternates: Column, domain: Column, dot_boundary: bool = Fals
     return F.array_distinct(F.filter(hosts, lambda h: h.isNotNull() & urls.is_external(h, domain, dot_boundary)))
 
 
-def candidate_domains(listing_pages: DataFrame, platform_domains: DataFrame, limit: int = 200) -> DataFrame:
+def candidate_domains(listing_pages: DataFrame, platform_domains: DataFrame, limit: int | None = None) -> DataFrame:
     """Store candidates linked from listing pages, in first-seen order per listing.
 
     `listing_pages` holds (page_url, anchors); `platform_domains` holds the domains with a positive
-    verdict and their evidence. At most `limit` distinct external domains per listing are looked at,
-    before the verdict is asked for.
+    verdict and their evidence. With a `limit`, only so many distinct external domains per listing are looked
+    at, before the verdict is asked for.
     """
     from pyspark.sql import Window
 
@@ -281,5 +282,6 @@ def candidate_domains(listing_pages: DataFrame, platform_domains: DataFrame, lim
     external = named.where(F.col("domain").isNotNull() & ~F.col("domain").eqNullSafe(own))
     first = external.groupBy("page_url", "domain").agg(F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))
-    looked_at = first.withColumn("place", place).where(F.col("place") <= limit)
+    placed = first.withColumn("place", place)
+    looked_at = placed if limit is None else placed.where(F.col("place") <= limit)
     return looked_at.join(platform_domains, "domain").select("page_url", "place", "domain", "evidence")

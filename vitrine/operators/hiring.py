@@ -119,10 +119,12 @@ def merge_posts(recorded: DataFrame, batch: DataFrame) -> DataFrame:
     """Recorded posts after a batch: the first sighting keeps its fields, the last one sets title, terms and last_seen_at.
 
     Both sides have the post key, domain, title, posted_at, first_seen_at, last_seen_at, matched_terms, source_url.
+    Of sightings at one time what is recorded comes before the batch, and within either the fields decide, so
+    the result does not depend on the order of rows.
     """
-    both = recorded.unionByName(batch)
-    first = F.min_by(F.struct("domain", "posted_at", "source_url"), "first_seen_at")
-    last = F.max_by(F.struct("title", "matched_terms"), "last_seen_at")
+    both = recorded.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+    first = F.min(F.struct("first_seen_at", "_new", "source_url", "domain", "posted_at"))
+    last = F.max(F.struct("last_seen_at", "_new", "title", "matched_terms"))
     merged = both.groupBy(*POST_KEY).agg(
         F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), first.alias("_f"), last.alias("_l")
     )

@@ -63,7 +63,7 @@ def cached_bodies(log: DataFrame, fetch_ord: str = "fetch_ord") -> DataFrame:
 
 def frontier_dedupe(frontier: DataFrame, log: DataFrame) -> DataFrame:
     """Frontier rows (scan_date, panel_version, url) that need a fetch: not logged in the scan, no same-day body."""
-    logged = log.select("scan_date", "panel_version", "url").distinct()
+    logged = log.select("scan_date", "panel_version", "url")
     bodies = cached_bodies(log).select("url", F.col("fetched_on").alias("scan_date"))
     return frontier.join(logged, ["scan_date", "panel_version", "url"], "left_anti").join(bodies, ["url", "scan_date"], "left_anti")
 

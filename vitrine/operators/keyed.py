@@ -55,7 +55,7 @@ def partial_update(existing: DataFrame, new: DataFrame, keys: Sequence[str]) ->
 
 def append_unseen(new: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Facts of keys that are not recorded yet; all rows of a new key are kept."""
-    return new.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    return new.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def rows_for(df: DataFrame, **key) -> DataFrame:
@@ -68,7 +68,7 @@ def rows_for(df: DataFrame, **key) -> DataFrame:
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose key has no parent row; a NULL key is no reference and passes."""
-    known = parent.select(F.col(parent_key).alias("_parent")).distinct()
+    known = parent.select(F.col(parent_key).alias("_parent"))
     return child.where(F.col(child_key).isNotNull()).join(known, F.col(child_key) == F.col("_parent"), "left_anti")
 
 

@@ -15,7 +15,6 @@ from vitrine.functions import values
 from vitrine.operators import extraction
 from vitrine.sources.dictionaries import Signature
 
-MATCHED_TEXT_CAP = extraction.MATCHED_TEXT_CAP
 HREFLANG_KEY = "expansion_store_hreflang"
 HREFLANG_MIN_HOSTS = 2
 
@@ -31,7 +30,7 @@ def _hit(entry: Signature, stage: int, kind_ord: int, pattern_ord: int, pattern:
         F.lit(entry.capability).cast("string").alias("capability"),
         F.lit(entry.verified).alias("verified"),
         F.lit(pattern).alias("pattern"),
-        F.substr(matched, F.lit(1), F.lit(MATCHED_TEXT_CAP)).alias("matched_on"),
+        matched.alias("matched_on"),
     )
 
 
@@ -120,23 +119,15 @@ def hreflang_matches(
 ) -> DataFrame:
     """Stores whose pages name at least `min_hosts` distinct external hosts as language alternates.
 
-    `hosts` is the page's array of external hosts. The reported text is the sorted host list cut at 500
-    characters, so no more than the first 251 hosts can show; only those are gathered, the count uses all.
+    `hosts` is the page's array of external hosts. The reported text is the sorted list of a store's hosts.
     """
     distinct = values.exploded(pages, keys, hosts, "host").distinct()
-    counts = distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias("hosts")).where(F.col("hosts") >= min_hosts)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("host"))
-    shown = (
-        distinct.withColumn("place", place)
-        .where(F.col("place") <= MATCHED_TEXT_CAP // 2 + 1)
-        .groupBy(*keys)
-        .agg(F.array_join(F.array_sort(F.collect_list("host")), ";").alias("listed"))
-    )
-    return counts.join(shown, keys).select(
+    shown = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list("host")).alias("listed")).where(F.size("listed") >= min_hosts)
+    return shown.select(
         *keys,
         F.lit(HREFLANG_KEY).alias("key"),
         F.lit(None).cast("string").alias("capability"),
-        F.substr(F.col("listed"), F.lit(1), F.lit(MATCHED_TEXT_CAP)).alias("matched_on"),
+        F.array_join("listed", ";").alias("matched_on"),
         F.lit(f"hreflang alternates on >= {min_hosts} external hosts").alias("pattern"),
         F.lit(verified).alias("verified"),
     )

@@ -39,7 +39,8 @@ def with_slice(df: DataFrame, order: str, edges: list[float]) -> DataFrame:
 
     splits = [-math.inf, *edges, math.inf]
     keyed = df.withColumn("_slice_key", F.col(order).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_slice_key", outputCol="_slice").transform(keyed).drop("_slice_key")
+    # NaN goes to a slice of its own behind the others, as it does in an ORDER BY.
+    return Bucketizer(splits=splits, inputCol="_slice_key", outputCol="_slice", handleInvalid="keep").transform(keyed).drop("_slice_key")
 
 
 def running_totals(
@@ -109,9 +110,6 @@ def value_at_positions(
     )
 
 
-FEW_GROUPS = 10_000
-
-
 def exact_percentiles(
     df: DataFrame,
     value: str,
@@ -128,14 +126,13 @@ def exact_percentiles(
     group = list(group)
     known = df.where(F.col(value).isNotNull())
     sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    seen = sizes.agg(F.max("rows").alias("largest"), F.count_if(F.col("rows") > slice_rows).alias("large")).first()
+    largest = sizes.agg(F.max("rows")).first()[0] or 0
     builtin = [F.percentile(value, p).alias(name) for name, p in percents.items()]
-    if (seen.largest or 0) <= slice_rows:
+    if largest <= slice_rows:
         return known.groupBy(*group).agg(*builtin)
     if not group:
         return _sliced_percentiles(known, value, percents, group, slice_rows)
     large = sizes.where(F.col("rows") > slice_rows).select(*group)
-    large = F.broadcast(large) if seen.large <= FEW_GROUPS else large
     small = _null_safe_join(known, large, group, "left_anti").groupBy(*group).agg(*builtin)
     big = _null_safe_join(known, large, group, "left_semi")
     return small.unionByName(_sliced_percentiles(big, value, percents, group, slice_rows))

@@ -9,10 +9,12 @@ from vitrine.session import materialize
 
 
 def scan_of(features: DataFrame, scan_date: str | None = None) -> DataFrame:
-    """Feature rows of one scan date, the latest when none is asked for."""
-    if scan_date is not None:
-        return features.where(F.col("scan_date") == F.lit(scan_date).cast("date"))
-    return features.where(F.col("scan_date") == features.agg(F.max("scan_date")).scalar())
+    """Feature rows of one scan, the latest when no date is asked for; of several panel versions on a day the greatest."""
+    day = F.lit(scan_date).cast("date") if scan_date is not None else features.agg(F.max("scan_date")).scalar()
+    found = features.where(F.col("scan_date") == day)
+    if "panel_version" not in features.columns:
+        return found
+    return found.where(F.col("panel_version") == found.agg(F.max("panel_version")).scalar())
 
 
 def run_crosssection(
@@ -48,6 +50,6 @@ def run_crosssection(
         metrics[f"auc_{r.feature}"] = r.auc
     for r in evaluation.size_bucket_aucs(rows, "product_count").collect():
         metrics[f"auc_{r.name}"] = r.auc
-    diagnostic = evaluation.logistic_diagnostic(rows, "domain")
+    diagnostic = evaluation.logistic_diagnostic(rows, "domain", inputs)
     metrics.update({f"logistic_{k}" if k != "coefficients" else "coefficient": v for k, v in diagnostic.items()})
     return table, evaluation.metric_rows(spark, metrics)

@@ -13,12 +13,12 @@ class PanelError(ValueError):
 
 
 def eligible_at_latest_scan(spark: SparkSession, warehouse: str, positives: DataFrame) -> DataFrame:
-    """Candidates at the newest scan date: platform stores with a feed, unlabelled as positive, without fingerprint."""
+    """Candidates of the newest scan (its date, then its panel version): platform stores with a feed, unlabelled as positive, without fingerprint."""
     stores = tables.read_scan_table(spark, warehouse, "stores")
-    newest = stores.agg(F.max("scan_date")).first()[0]
+    newest = stores.agg(F.max(F.struct("scan_date", "panel_version"))).first()[0]
     if newest is None:
         raise PanelError("the warehouse holds no scan yet")
-    at = F.col("scan_date") == F.lit(newest)
+    at = (F.col("scan_date") == F.lit(newest.scan_date)) & (F.col("panel_version") == F.lit(newest.panel_version))
     catalog = tables.read_scan_table(spark, warehouse, "catalog_snapshots").where(at)
     marked = tables.read_scan_table(spark, warehouse, "fingerprint_matches").where(at)
     return panel.eligible(stores.where(at), catalog, positives, marked)

@@ -74,7 +74,7 @@ def build_scan(
     dictionaries: Dictionaries | None = None,
     settings: score.ScoreSettings = score.ScoreSettings(),
     responses: DataFrame | None = None,
-    max_pages: int = 40,
+    max_pages: int | None = None,
 ) -> ScanTables:
     """Compose the scan. Stores that fail the platform verdict stop after it, as do stores without a home page.
 

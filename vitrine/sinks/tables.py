@@ -39,11 +39,15 @@ def replace_scan(df: DataFrame, path: str, partition: list[str] | None = None, s
     loses the rows an earlier run left.
     """
     spark = df.sparkSession
-    for scan_date, version in scans or []:
-        fs, folder = _fs(spark, f"{path}/scan_date={scan_date}/panel_version={version}")
-        fs.delete(folder, True)
     by = partition or SCAN_PARTITION
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    # Only after the write has succeeded: scans that have no row now lose what they had.
+    written = {(str(r[0]), str(r[1])) for r in df.select(*SCAN_PARTITION).distinct().collect()} if scans else set()
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for scan_date, version in scans or []:
+        if (str(scan_date), str(version)) not in written:
+            fs, folder = _fs(spark, f"{path}/scan_date={escaped(str(scan_date))}/panel_version={escaped(str(version))}")
+            fs.delete(folder, True)
 
 
 def read_scan_table(spark: SparkSession, warehouse: str, name: str) -> DataFrame:

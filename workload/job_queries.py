@@ -38,7 +38,7 @@ def feed_of(pages):
 
 def built_scan(spark, sf):
     pages = storefront_pages(spark, sf)
-    return scan.build_scan(pages, feed_of(pages), max_pages=1)
+    return scan.build_scan(pages, feed_of(pages))
 
 
 # Stores that pass the verdict on their first home page, and everything the scan derives for them.
@@ -135,7 +135,7 @@ def crosssection_report(spark, sf):
     feats = built_scan(spark, sf).features
     even = F.length("domain") % 2 == 0
     _, metrics = crosssection.run_crosssection(
-        feats, feats.where(even).select("domain"), feats.where(~even).select("domain"), resamples=100
+        feats, feats.where(even).select("domain"), feats.where(~even).select("domain")
     )
     return metrics
 

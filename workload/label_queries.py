@@ -93,7 +93,7 @@ def eval_single_feature_auc(spark, sf):
     return evaluation.single_feature_aucs(docs, ["n_chars", "toxic", "id_mod"]).withColumn("auc", F.round("auc", 6))
 
 
-RESAMPLES = 200
+RESAMPLES = 1000
 
 
 @query(
@@ -464,7 +464,7 @@ def _members(spark, sf):
     _, features, hits = event_scans(spark, sf)
     marked = hits.groupBy("domain", "scan_date").agg(F.lit(True).alias("fingerprint_any"))
     states = features.join(marked, ["domain", "scan_date"], "left").withColumn("fingerprint_any", F.coalesce("fingerprint_any", F.lit(False)))
-    customers = table(spark, sf, "customer").where(F.col("c_custkey") % 2 == 0)
+    customers = table(spark, sf, "customer")
     sets = customers.select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("domain"), F.col("c_mktsegment").alias("label_set"))
     return labels.set_members(sets, states)
 
@@ -472,7 +472,7 @@ def _members(spark, sf):
 MEMBERS = f"""{EVENT_SCANS}, st AS (SELECT f.domain, f.scan_date, EXISTS (SELECT 1 FROM hits h WHERE h.domain = f.domain AND h.scan_date = f.scan_date) AS fp FROM feats f),
   newest AS (SELECT domain, arg_max(fp, scan_date) AS fp FROM st GROUP BY 1),
   mem AS (SELECT c_mktsegment AS label_set, 'u' || c_custkey AS domain, CASE WHEN n.fp IS NULL THEN 'unscanned' WHEN n.fp THEN 'flagged' ELSE 'clean' END AS state
-    FROM customer LEFT JOIN newest n ON n.domain = 'u' || c_custkey WHERE c_custkey % 2 = 0)"""
+    FROM customer LEFT JOIN newest n ON n.domain = 'u' || c_custkey)"""
 
 
 @query("label_set_members", f"WITH {MEMBERS} SELECT label_set, domain, state FROM mem")
@@ -521,13 +521,13 @@ def keep_first_upsert(spark, sf):
 @query(
     "replace_upsert",
     """WITH o AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2),
-         n AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 <> 0 AND event_id % 7 = 1 GROUP BY 1, 2)
+         n AS (SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2)
        SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)""",
 )
 def replace_upsert(spark, sf):
     old, new = _halves(spark, sf)
     keys = ["user_id", "event_type"]
-    return keyed.upsert_replace(keyed.latest(old, keys, ["event_id"]), new.where(F.col("event_id") % 7 == 1), keys, ["event_id"])
+    return keyed.upsert_replace(keyed.latest(old, keys, ["event_id"]), new, keys, ["event_id"])
 
 
 @query(

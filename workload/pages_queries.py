@@ -233,7 +233,7 @@ def platform_evidence(spark, sf):
     f"""{PAGE_CTES}, a AS (
           SELECT page_ord, CASE kind WHEN 0 THEN 'script_src' ELSE 'link_href' END AS asset_type, u AS value, host FROM urls
           UNION ALL SELECT page_ord, 'inline_script_marker', platform_domain, NULL FROM theme WHERE platform_domain IS NOT NULL
-          UNION ALL SELECT page_ord, 'meta', substr({_META_KEY} || '=' || {attr_sql('tag', 'content')}, 1, 500), NULL FROM tags
+          UNION ALL SELECT page_ord, 'meta', ({_META_KEY} || '=' || {attr_sql('tag', 'content')}), NULL FROM tags
             WHERE regexp_matches(tag, '(?i)^<meta') AND {_META_KEY} IS NOT NULL AND {attr_sql('tag', 'content')} IS NOT NULL)
         SELECT page_ord, asset_type, value, host FROM a""",
 )
@@ -315,7 +315,7 @@ def match_cte(name: str, entries, pages: str = "sf") -> str:
       UNION ALL
       SELECT p.domain, d.*, 1, p.page_ord, 0, regexp_extract(p.html, '(?i)' || d.pattern, 0) FROM {pages} p JOIN {_values(entries)}
         ON d.kind = 'dom_marker' AND regexp_matches(p.html, '(?i)' || d.pattern)),
-    {name} AS (SELECT domain, key, capability, verified, pattern, substr(matched, 1, 500) AS matched_on FROM (
+    {name} AS (SELECT domain, key, capability, verified, pattern, matched AS matched_on FROM (
       SELECT *, row_number() OVER (PARTITION BY domain, key ORDER BY stage, page_ord, url_ord, CASE kind WHEN 'script_src' THEN 1 ELSE 0 END, pattern_ord) AS rn FROM {name}_hits) WHERE rn = 1)"""
 
 
@@ -323,7 +323,7 @@ HREFLANG = f"""ext AS (
   SELECT DISTINCT domain, host FROM (SELECT domain, {host_sql(attr_sql('tag', 'href'))} AS host FROM tags
     WHERE regexp_matches(tag, '(?i)^<link') AND {attr_sql('tag', 'rel')} = 'alternate' AND {attr_sql('tag', 'hreflang')} IS NOT NULL AND contains({attr_sql('tag', 'href')}, '//'))
   WHERE host <> '' AND NOT ends_with(host, domain)),
-hreflang AS (SELECT domain, count(*) AS hosts, substr(string_agg(host, ';' ORDER BY host), 1, 500) AS matched_on FROM ext GROUP BY 1 HAVING count(*) >= 2)"""
+hreflang AS (SELECT domain, count(*) AS hosts, string_agg(host, ';' ORDER BY host) AS matched_on FROM ext GROUP BY 1 HAVING count(*) >= 2)"""
 
 
 @query("signature_match", f"{PAGE_CTES}, {match_cte('apps', _APPS)} SELECT domain, key, capability, verified, pattern, matched_on FROM apps")
@@ -535,12 +535,12 @@ def run_statistics(spark, sf):
     return intake.outcome_counts(_outcomes(spark, sf))
 
 
-def _log(spark, sf):
-    rows = table(spark, sf, "pages")
+def _log(spark, sf, every: int = 1):
+    rows = table(spark, sf, "pages").where(F.col("page_id") % every == 0)
     i = F.col("page_id")
     bare = F.regexp_replace("url", r"[?#].*$", "")
     day = F.date_add(F.lit(PAGE_DAY).cast("date"), (i % 3).cast("int"))
-    return rows.where(i % 2 == 0).select(
+    return rows.select(
         day.alias("scan_date"),
         F.lit("v1").alias("panel_version"),
         bare.alias("url"),
@@ -552,20 +552,20 @@ def _log(spark, sf):
 
 
 _LOG = f"""log AS (SELECT DATE '{PAGE_DAY}' + CAST(page_id % 3 AS INTEGER) AS scan_date, regexp_replace(url, '[?#].*$', '') AS url,
-    CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END AS status, page_id % 10 <> 0 AS has_body, page_id FROM pages WHERE page_id % 2 = 0)"""
+    CASE WHEN page_id % 6 = 0 THEN 404 ELSE 200 END AS status, page_id % 10 <> 0 AS has_body, page_id FROM pages)"""
 
 
 @query(
     "frontier_dedupe",
-    f"""WITH {_LOG}, f AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url, DATE '{PAGE_DAY}' + CAST(page_id % 3 AS INTEGER) AS scan_date FROM pages)
-        SELECT url, scan_date FROM f WHERE NOT EXISTS (SELECT 1 FROM log WHERE log.url = f.url AND log.scan_date = f.scan_date)""",
+    f"""WITH {_LOG}, half AS (SELECT * FROM log WHERE page_id % 2 = 0), f AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url, DATE '{PAGE_DAY}' + CAST(page_id % 3 AS INTEGER) AS scan_date FROM pages)
+        SELECT url, scan_date FROM f WHERE NOT EXISTS (SELECT 1 FROM half WHERE half.url = f.url AND half.scan_date = f.scan_date)""",
 )
 def frontier_dedupe(spark, sf):
     day = F.date_add(F.lit(PAGE_DAY).cast("date"), (F.col("page_id") % 3).cast("int"))
     frontier = table(spark, sf, "pages").select(
         day.alias("scan_date"), F.lit("v1").alias("panel_version"), F.regexp_replace("url", r"[?#].*$", "").alias("url")
     )
-    return intake.frontier_dedupe(frontier.distinct(), _log(spark, sf)).select("url", "scan_date")
+    return intake.frontier_dedupe(frontier.distinct(), _log(spark, sf, 2)).select("url", "scan_date")
 
 
 @query(
@@ -578,7 +578,7 @@ def latest_fetch(spark, sf):
 
 @query(
     "cached_bodies",
-    f"""WITH {_LOG} SELECT url, scan_date AS fetched_on, max(page_id) AS fetch_ord FROM log WHERE status = 200 AND has_body GROUP BY 1, 2""",
+    f"""WITH {_LOG} SELECT url, scan_date + CAST(page_id % 2 AS INTEGER) AS fetched_on, max(page_id) AS fetch_ord FROM log WHERE status = 200 AND has_body GROUP BY 1, 2""",
 )
 def cached_bodies(spark, sf):
     return intake.cached_bodies(_log(spark, sf)).select("url", "fetched_on", "fetch_ord")
