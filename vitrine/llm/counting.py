@@ -1,0 +1,40 @@
+"""Totals of a table of cells over all texts, gathered in bounded pieces."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+#: Counts of so many cells travel as one row; tasks of the first summing step.
+PART, SPREAD = 1 << 14, 32
+SCHEMA = "part int, counts binary"
+
+
+def cell_totals(texts: DataFrame, count: Callable[[list[bytes]], np.ndarray], cells: int) -> np.ndarray:
+    """The sum of `count` over the words of every text of (text); a task sends `cells` numbers, whatever it has read."""
+    part = min(PART, cells)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(cells, np.int64)
+        for b in batches:
+            total += count([w for t in b["text"] for w in t.encode().split()])
+        rows = [(p, total[p * part : (p + 1) * part].astype("<i8").tobytes()) for p in range(cells // part)]
+        yield pd.DataFrame(rows, columns=["part", "counts"]).assign(salt=TaskContext.get().partitionId() % SPREAD)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for p, blob in zip(b["part"], b["counts"], strict=True):
+                new = np.frombuffer(blob, "<i8")
+                totals[p] = totals[p] + new if p in totals else new
+        yield pd.DataFrame([(p, v.tobytes()) for p, v in totals.items()], columns=["part", "counts"])
+
+    some = texts.select("text").mapInPandas(each, SCHEMA + ", salt int").repartition(SPREAD, "salt").drop("salt").mapInPandas(add, SCHEMA)
+    total = np.zeros(cells, np.int64)
+    for r in some.repartition(16, "part").mapInPandas(add, SCHEMA).collect():
+        total[r["part"] * part : (r["part"] + 1) * part] += np.frombuffer(r["counts"], "<i8")
+    return total

@@ -20,39 +20,51 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     try:
-        return np.array([_MEMO[w] for w in words], np.uint64)
+        return np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words)).view(np.uint64)
     except KeyError:
         new = {w for w in words if w not in _MEMO}
     if len(_MEMO) + len(new) > MEMO:
         _MEMO.clear()
         new = set(words)
     for w in new:
-        _MEMO[w] = xxhash.xxh64_intdigest(w)
-    return np.array([_MEMO[w] for w in words], np.uint64)
+        h = xxhash.xxh64_intdigest(w)
+        _MEMO[w] = h - (1 << 64) if h >> 63 else h
+    return np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """A hash of every n consecutive words, in order; empty if there are fewer."""
+    """A hash of every n consecutive words, in order; empty if there are fewer.
+
+    A polynomial in the words, put together from runs of 1, 2, 4, ... words by the binary digits of n.
+    """
     count = len(words) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(count, seed, np.uint64)
-    factor = ODD + np.uint64(2 * seed)
-    for i in range(n):
-        out = out * factor + words[i : i + count]
-    return mix(out)
+    run, size, factor = words, 1, np.full(1, ODD + np.uint64(2 * seed))  # an array: its products wrap silently
+    out, done = np.zeros(count, np.uint64), 0
+    while True:
+        if n & size:
+            out = out * factor + run[done : done + count]
+            done += size
+        if done == n:
+            return mix(out)
+        run = run[:-size] * factor + run[size:]
+        factor = factor * factor
+        size *= 2
 
 
 def minimizers(hashes: np.ndarray, span: int) -> np.ndarray:
-    """For every `span` consecutive hashes the position of the least one, the leftmost of equal ones."""
+    """For every `span` consecutive hashes the position of the least one, the leftmost of equal ones.
+
+    The least of a stretch is the least of two shorter ones that cover it, so stretches double.
+    """
     count = len(hashes) - span + 1
     if count <= 0:
         return np.zeros(0, np.int64)
-    best = hashes[:count].copy()
-    at = np.arange(count)
-    for i in range(1, span):
-        other = hashes[i : i + count]
-        less = other < best
-        best = np.where(less, other, best)
-        at = np.where(less, np.arange(i, i + count), at)
+    best, at, size = hashes, np.arange(len(hashes)), 1
+    while size < span:
+        step = min(size, span - size)
+        less = best[step:] < best[:-step]
+        best, at = np.where(less, best[step:], best[:-step]), np.where(less, at[step:], at[:-step])
+        size += step
     return at

@@ -9,42 +9,83 @@ join, so what they refuse never leaves it; what passes is verified on the words
 Rarity is counted over all lines in a table of fixed size, indexed by a hash of the word: words that share a
 cell are a little less rare than they could be, which costs time and never a match, since any order that all
 lines agree on gives right prefixes.
+
+Keys, prefixes and signatures are computed with numpy in batches; joins, filters and the verification are
+DataFrame operations. Written with array functions alone this step took more than twice its budget of CPU
+time (see the README).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.llm.filters import bit, join_touched, maybe_in
-from vitrine.llm.words import id_key, split_blanks, text_or_empty, words_of
+from vitrine.llm.batches import small_batches
+from vitrine.llm.counting import cell_totals
+from vitrine.llm.filters import join_touched, maybe_in
+from vitrine.llm.grams import word_hashes
+from vitrine.llm.words import id_key, text_or_empty, words_of
 from vitrine.session import materialize
 
 #: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
-CELLS = 1 << 17
+CELLS = 1 << 18
 EPS = 1e-9
 
 
 
 
-def _rarity(words: DataFrame, cells: int) -> Column:
-    """How often the words of each cell occur in (w), as an array that a scalar subquery gives to the tasks."""
-    spark = words.sparkSession
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(cells - 1).alias("cell")).agg(F.count("*").alias("n"))
-    filled = spark.range(cells).select(F.col("id").alias("cell")).join(counts, "cell", "left")
-    packed = filled.groupBy().agg(F.array_sort(F.collect_list(F.struct("cell", F.least(F.coalesce("n", F.lit(0)), F.lit(2**20 - 1)).cast("int").alias("n")))).alias("a"))
-    return materialize(packed.select(F.transform("a", lambda x: x["n"]).alias("a")), "word-rarity").scalar()
+def _rarity(texts: DataFrame, cells: int) -> np.ndarray:
+    """How often the words of each cell occur; `cells` numbers reach the driver."""
+
+    def count(words: list[bytes]) -> np.ndarray:
+        return np.bincount((word_hashes(words) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
 
+    return np.minimum(cell_totals(texts, count, cells), 2**20 - 1).astype(np.uint64)
 
-def _keys(words: Column, rarity: Column, cells: int) -> Column:
-    """Word keys in one order for all lines: 20 bits of rarity over 43 bits of hash."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(cells - 1).cast("int")).cast("long"), 43).bitwiseOR(F.shiftrightunsigned(h, 21))))
 
+def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For lines with a word each: the number of different words, two signatures, and the keys of the prefix.
 
-def _signature(keys: Column) -> Column:
-    """64 bits for a quarter of all words: a bit in which two lines differ stands for a word that one of them lacks."""
-    chosen = F.filter(keys, lambda k: k.bitwiseAND(0xC0) == 0)
-    return F.aggregate(chosen, F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(bit(k)))
+    A key is 20 bits of rarity over 43 bits of hash. The signatures hold half of the words in 128 bits: a bit
+    in which two lines differ stands for a word that one of them lacks.
+    """
+    listed = [line.split() for line in lines]
+    lengths = np.array([len(w) for w in listed])
+    h = word_hashes([w for words in listed for w in words])
+    keys = (rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)] << np.uint64(43)) | (h >> np.uint64(21))
+    line = np.repeat(np.arange(len(lines)), lengths)
+    order = np.lexsort((h, keys, line))
+    h, keys, line = h[order], keys[order], line[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
+    keys, line = keys[new], line[new]
+    n = np.bincount(line, minlength=len(lines))
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    bit = np.where(keys & np.uint64(0x80), np.uint64(0), np.uint64(1) << (keys & np.uint64(63)))
+    upper = (keys & np.uint64(0x40)).astype(bool)
+    bits, more = (np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (~upper, upper))
+    length = n - np.ceil(n * t - EPS).astype(np.int64) + 1
+    first = np.arange(len(keys)) - starts[line] < length[line]
+    return n, bits, more, np.split(keys[first].view(np.int64), np.cumsum(length)[:-1])
+
+
+def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
+    """(k, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
+    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, cells))  # `cells` numbers
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            places = [(k, no, line) for k, text in zip(b["k"], b["text"], strict=True) for no, line in enumerate(text.encode().split(b"\n")) if line.strip()]
+            if places:
+                k, no, lines = zip(*places, strict=True)
+                n, bits, more, prefix = prefixes(list(lines), rarity.value, t)
+                yield pd.DataFrame({"k": k, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "more": more, "prefix": prefix})
+
+    rows = texts.mapInPandas(keyed, "k long, no int, h binary, n int, bits long, more long, prefix array<long>")
+    return rows.groupBy("h").agg(F.min(F.struct("k", "no", "n", "bits", "more", "prefix")).alias("line")).select("line.*")
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -52,19 +93,11 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * F.lit(t / (1 + t)) - EPS)
 
 
-def _candidates(docs_text: DataFrame, lines: DataFrame, t: float, cells: int) -> DataFrame:
-    """Pairs (k, no, k2, no2) of different lines, the first one earlier, that pass every filter."""
-    rarity = _rarity(docs_text.select(F.explode(split_blanks(F.col("text"))).alias("w")).where("w <> ''"), cells)
-    words = lines.select("k", "no", F.unhex(F.md5("line")).alias("h"), F.array_distinct(words_of(F.col("line"))).alias("words"), rarity.alias("rarity"))
-    keyed = words.select("k", "no", "h", F.size("words").alias("n"), _keys(F.col("words"), F.col("rarity"), cells).alias("keys"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - EPS).cast("int") + 1
-    short = keyed.select("h", F.struct("k", "no", "n", _signature(F.col("keys")).alias("bits"), F.slice("keys", F.lit(1), length).alias("prefix")).alias("line"))
-    first = short.groupBy("h").agg(F.min("line").alias("line")).select("line.*")
-
-    index = first.select("k", "no", "n", "bits", F.posexplode("prefix").alias("pos", "key"))
-    probe = index.select(*[F.col(c).alias(c + "2") for c in index.columns])
+def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
+    """Rows (k, no, k2, no2) of prefix entries of different lines, the first one earlier, that pass every filter."""
+    probe = later.select(*[F.col(c).alias(c + "2") for c in index.columns])
     need = _least_overlap(F.col("n"), F.col("n2"), t)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
     met = (
         (F.col("key") == F.col("key2"))
         & ((F.col("k") < F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("no") < F.col("no2"))))
@@ -72,7 +105,7 @@ def _candidates(docs_text: DataFrame, lines: DataFrame, t: float, cells: int) ->
         & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
         & (differ <= F.col("n") + F.col("n2") - 2 * need)
     )
-    return index.join(probe, met).select("k", "no", "k2", "no2").distinct()
+    return index.join(probe, met).select("k", "no", "k2", "no2")
 
 
 def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -83,6 +116,16 @@ def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("k", "no", F.array_distinct(words_of(F.col("line"))).alias("words"))
 
 
+def _alike(docs_text: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """Of the pairs those whose lines have the similarity, by their words."""
+    ends = pairs.select("k", "no").union(pairs.select(F.col("k2").alias("k"), F.col("no2").alias("no")))
+    words = materialize(_fetch(docs_text, ends), "line-words").dropDuplicates(["k", "no", "words"])
+    other = words.select(*[F.col(c).alias(c + "2") for c in ("k", "no", "words")])
+    common = F.size(F.array_intersect("words", "words2"))
+    both = pairs.join(words, ["k", "no"]).join(other, ["k2", "no2"])
+    return both.where(common >= (F.size("words") + F.size("words2") - common) * t - EPS).select("k", "no", "k2", "no2").distinct()
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
     """One row per id that has a line with a word: k (the id, null as the largest), n_lines, n_removed, removed (line numbers from 0).
 
@@ -93,17 +136,26 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     neither is later than the other; null ids count as one id after all others.
     """
     t = similarity
+    small_batches(docs.sparkSession)
     docs_text = docs.select(id_key(id_col).alias("k"), text_or_empty(text_col).alias("text"))
     lines = docs_text.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
-    pairs = materialize(_candidates(docs_text, lines, t, cells), "line-pairs")
-    ends = pairs.select("k", "no").union(pairs.select(F.col("k2").alias("k"), F.col("no2").alias("no")))
-    words = materialize(_fetch(docs_text, ends), "line-words")
-    common = F.size(F.array_intersect("words", "words2"))
-    left = words.dropDuplicates(["k", "no", "words"])
-    right = left.select(*[F.col(c).alias(c + "2") for c in ("k", "no", "words")])
-    alike = pairs.join(left, ["k", "no"]).join(right, ["k2", "no2"]).where(common >= (F.size("words") + F.size("words2") - common) * t - EPS)
-    matched = alike.select(F.struct(F.col("k2").alias("k"), F.col("no2").alias("no")).alias("at")).distinct().withColumn("later", F.lit(True))
+    first = materialize(_first_lines(docs_text, t, cells), "line-firsts")
+    index = first.select("k", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
+
+    # One earlier match is enough: every line is held against the earliest line that passes the filters, so a
+    # family of thousands of like lines costs one pair for each of them.
+    earliest = _met(index, index, t).groupBy("k2", "no2").agg(F.min(F.struct("k", "no")).alias("at")).select("at.k", "at.no", "k2", "no2")
+    tried = materialize(earliest, "line-pairs")
+    found = materialize(_alike(docs_text, tried, t), "line-alike").select("k2", "no2")
+    # The lines that this has refused are held against all.
+    still = materialize(tried.join(found, ["k2", "no2"], "left_anti").select(F.col("k2").alias("k"), F.col("no2").alias("no")), "line-still")
+    if not still.isEmpty():
+        later = materialize(index.join(still.hint("merge"), ["k", "no"], "left_semi").select(*index.columns), "line-later")
+        rest = _met(index.where(maybe_in("key", later.select("key"), 1 << 22)), later, t).distinct()
+        rest = materialize(rest.join(tried, ["k", "no", "k2", "no2"], "left_anti"), "line-pairs")
+        found = found.unionByName(_alike(docs_text, rest, t).select("k2", "no2"))
+    matched = found.select(F.struct(F.col("k2").alias("k"), F.col("no2").alias("no")).alias("at")).distinct().withColumn("later", F.lit(True))
 
     occurrences = materialize(lines.select("k", "no", F.unhex(F.md5("line")).alias("h")), "line-places")
     firsts = occurrences.groupBy("h").agg(F.min(F.struct("k", "no")).alias("at"))
