@@ -64,9 +64,8 @@ def _keys(words: list[bytes], anchors: np.ndarray, window: int, run: int) -> tup
 def _windows(window: int, run: int):
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, text, anchors in zip(b["k"], b["text"], b["anchors"], strict=True):
-                keys = np.unique(_keys(text.encode().split(), np.asarray(anchors, np.int64), window, run)[1])
-                yield pd.DataFrame({"k": np.full(len(keys), k), "key": keys})
+            keys = [np.unique(_keys(t.encode().split(), np.asarray(a, np.int64), window, run)[1]) for t, a in zip(b["text"], b["anchors"], strict=True)]
+            yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), [len(x) for x in keys]), "key": np.concatenate([*keys, np.zeros(0, np.int64)])})
 
     return windows
 
@@ -147,11 +146,11 @@ class Automaton:
         covered = np.zeros(len(words), bool)
         if self.empty or len(words) < self.window:
             return covered
-        shown = [w.decode() for w in words]
-        word_at = dict(zip(np.concatenate([[0], np.cumsum([len(w) + 1 for w in shown])]).tolist(), range(len(words) + 1), strict=True))
+        shown = b" ".join([b"", *words, b""]).decode()
+        blanks = np.flatnonzero(np.frombuffer(shown.encode("utf-32-le"), "<u4") == 32)  # the i-th is before the i-th word
         done: dict[tuple[int, int], int] = {}
-        for end, (length, found) in self.machine.iter(" " + " ".join(shown) + " "):
-            j = word_at[end - length + 1]
+        for end, (length, found) in self.machine.iter(shown):
+            j = int(np.searchsorted(blanks, end - length + 1))
             for p, at in found:
                 source, passage = self.passages[p]
                 shift = j - at
@@ -181,11 +180,13 @@ def _locate(window: int):
             share = {(p["source"], p["begin"]): p["passage"] for listed in b["passages"] if listed is not None for p in listed}
             machine = Automaton([(source, text) for (source, _), text in share.items()], window)
             rows = []
-            for k, text in zip(b["k"], b["text"], strict=True):
+            for k, text, listed in zip(b["k"], b["text"], b["passages"], strict=True):
                 words = text.encode().split()
-                h = hashlib.md5(b" ".join(words)).digest()
-                covered = machine.cover(k, words) | repeated_in(words, window)
+                covered = repeated_in(words, window)
+                if listed is not None:
+                    covered |= machine.cover(k, words)
                 if covered.any():
+                    h = hashlib.md5(b" ".join(words)).digest()
                     kept = b" ".join([w for w, out in zip(words, covered, strict=True) if not out])
                     rows.append((k, h, _spans(covered), int(covered.sum()), hashlib.sha256(kept).digest()))
             yield pd.DataFrame(rows, columns=["k", "h", "spans", "n_removed", "kept_sha"])
@@ -218,7 +219,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     some = materialize(texts.where(maybe_in("k", holders.select("k"))).join(holders, "k"), "holder-texts")
 
     # Windows that several documents hold; the smallest id keeps them.
-    windows = some.select("k", "text", "anchors").mapInPandas(_windows(window, run), "k long, key long")
+    windows = materialize(some.select("k", "text", "anchors").mapInPandas(_windows(window, run), "k long, key long"), "window-keys")
     shared = materialize(windows.groupBy("key").agg(F.min("k").alias("k"), F.count("*").alias("n")).where("n > 1").select("key", "k"), "windows")
     owned = shared.groupBy("k").agg(F.collect_list("key").alias("keys"))
     confirmed = some.select("k", "text", "anchors").join(owned, "k").mapInPandas(_passages(window, run), "key long, source long, begin long, passage string")
