@@ -8,8 +8,8 @@ Jaccard similarity.
 
 Documents of equal text meet first, by hash, and go on as one. A band's bucket is then held against its
 smallest member, which settles groups of any size with one pair for each member. Of the members that this has
-left apart, those whose shingles do not reach the similarity outside their component are done; the others
-meet in pairs, and only they. Pairs are verified on the weighted shingles of both documents.
+left apart, those whose shingles do not reach the similarity outside their component are done; of the others
+those meet in pairs whose weights allow a link. Pairs are verified on the weighted shingles of both documents.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ CELLS = 1 << 18
 PART, SPREAD = 1 << 14, 32
 TABLE = 1 << 16
 EPS = 1e-9
+#: More than sums of weights in another order can differ.
+SLACK = 1e-6
 
 
 def shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +169,9 @@ def _verified(pairs: DataFrame, vectors: DataFrame, weights, similarity: float)
 
 
 def _reachable(placed: DataFrame, vectors: DataFrame, weights, similarity: float) -> DataFrame:
-    """Of the nodes (k, label), those that can have a link into another component.
+    """(k, foreign, total) of the nodes (k, label) that can have a link into another component.
 
+    `total` is a node's weight, `foreign` its weight in shingles that occur in another component.
     A link needs `similarity` of a node's weight in shingles that the other one holds too. So a node whose
     shingles that occur in other components weigh less has none: the many heavily edited copies of one text
     are told apart here, without a pair among them.
@@ -179,12 +182,12 @@ def _reachable(placed: DataFrame, vectors: DataFrame, weights, similarity: float
             for k, label, codes, counts in zip(f["k"], f["label"], f["codes"], f["counts"], strict=True):
                 codes = np.asarray(codes, np.int64)
                 w = counts * weights.value[cell_of(codes.view(np.uint64), len(weights.value))]
-                yield pd.DataFrame({"k": np.full(len(codes), k), "label": np.full(len(codes), label), "code": codes, "part": w / w.sum()})
+                yield pd.DataFrame({"k": np.full(len(codes), k), "label": np.full(len(codes), label), "code": codes, "part": w, "total": np.full(len(codes), w.sum())})
 
-    rows = vectors.join(placed, "k").select("k", "label", "codes", "counts").mapInPandas(share, "k long, label long, code long, part double")
+    rows = vectors.join(placed, "k").select("k", "label", "codes", "counts").mapInPandas(share, "k long, label long, code long, part double, total double")
     shared = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("code")
-    foreign = rows.join(shared, "code", "left_semi").groupBy("k").agg(F.sum("part").alias("part"))
-    return foreign.where(F.col("part") >= similarity - 1e-6).select("k")
+    foreign = rows.join(shared, "code", "left_semi").groupBy("k").agg(F.sum("part").alias("foreign"), F.max("total").alias("total"))
+    return foreign.where(F.col("foreign") >= similarity * F.col("total") - SLACK)
 
 
 def _apart(placed: DataFrame) -> DataFrame:
@@ -241,9 +244,12 @@ def near_groups(
     vectors = _vectors(texts, apart.select("k"), size)
     for _ in range(2):
         able = materialize(_reachable(apart.select("k", "label").distinct(), vectors, weights, similarity), "near-able")
-        apart = materialize(_apart(apart.join(able, "k", "left_semi")), "near-apart")
-    other = apart.select("band", F.col("k").alias("b"), F.col("label").alias("label2"))
-    pairs = apart.join(other, "band").where((F.col("k") < F.col("b")) & (F.col("label") != F.col("label2"))).select(F.col("k").alias("a"), "b").distinct()
+        apart = materialize(_apart(apart.select("band", "k", "label").join(able, "k")), "near-apart")
+    other = apart.select(F.col("band").alias("band2"), F.col("k").alias("b"), F.col("label").alias("label2"), F.col("foreign").alias("foreign2"), F.col("total").alias("total2"))
+    # Two nodes have no more in common than the lesser of their foreign weights.
+    common = F.least("foreign", "foreign2")
+    near = (F.col("k") < F.col("b")) & (F.col("label") != F.col("label2")) & (common >= similarity * (F.col("total") + F.col("total2") - common) - SLACK)
+    pairs = apart.join(other, (F.col("band") == F.col("band2")) & near).select(F.col("k").alias("a"), "b").distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = _verified(pairs, vectors, weights, similarity)
 
