@@ -58,8 +58,6 @@ def test_inline_text_is_cut_at_a_given_cap_only(spark):
     scripts = page(spark, "<script>abcde</script><script>fghij</script><script>k</script>")
     assert extraction.extract(scripts, inline_cap=7).first().inline_script_text == "abcde\nfg"
     assert extraction.extract(scripts).first().inline_script_text == "abcde\nfghij\nk"
-    long = page(spark, f"<script>{'a' * (2 << 20)}</script><script>Shopify.theme = {{\"name\":\"Late\",\"id\":5}};</script>")
-    assert extraction.extract(long).first().theme_name == "Late"
 
 
 def test_verdict_needs_two_kinds(spark):
