@@ -180,6 +180,20 @@ def test_near_groups_equal_brute_force(documents):
     assert near_dedup.near_groups(documents(rows).where("doc_id < -1")).count() == 0
 
 
+def test_copies_in_a_hot_group_find_each_other(documents):
+    rng = random.Random(5)
+    base = [f"h{i}" for i in range(200)]
+    rows = [(1000 + k, " ".join(f"o{k}w{i}" for i in range(60))) for k in range(200)]
+    for copy in range(100):
+        w = list(base)
+        w[rng.randrange(10, 90)] = f"e{copy}"
+        w[rng.randrange(110, 190)] = f"f{copy}"
+        rows.append((copy, " ".join(w)))
+    # Any two of the copies have a plain Jaccard similarity of 0.8 or more.
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(documents(rows)).collect()}
+    assert found == {k: 0 if k < 100 else k for k, _ in rows}
+
+
 def test_sampling_agrees_with_the_similarity():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
