@@ -236,3 +236,27 @@ def test_licences(documents):
     got = {r.doc_id: (r.licence, r.licences, r.n_rules) for r in license_scan.license_scan(documents(rows)).collect()}
     assert got == {1: ("mit", "mit", 1), 2: ("cc-by-nc-4.0", "cc-by-nc-4.0", 1), 3: ("mit", "mit,all-rights-reserved", 2), 4: (None, "", 0), 5: (None, "", 0), 6: (None, "", 0), 7: (None, "", 0)}
     assert license_scan.license_scan(documents(rows).where("doc_id > 9")).count() == 0
+
+
+GNU = "    This program is free software{0} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation{1} either version {2} of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n\n    You should have received a copy of the GNU General Public License\n    along with this program.  If not, see <https://www.gnu.org/licenses/>.\n"
+BSD = "Copyright (c) 2020, A. Nyone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n{0}Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n{2}\n{1}Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+NOTICES = {
+    "apache-2.0": "   Copyright 2020 A Nyone\n\n   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at\n\n       http://www.apache.org/licenses/LICENSE-2.0\n\n   Unless required by applicable law or agreed to in writing, software\n   distributed under the License is distributed on an \"AS IS\" BASIS,\n   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n   See the License for the specific language governing permissions and\n   limitations under the License.\n",
+    "gpl-3.0": GNU.format(":", ",", 3),
+    "gpl-2.0": GNU.format(";", ";", 2),
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n",
+    "isc": "Copyright (c) 2020 A. Nyone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.\n",
+}
+
+
+def test_published_licence_notices(documents):
+    rows = [(n, t) for n, t in enumerate(NOTICES.values())]
+    more = [BSD.format("1. ", "2. ", ""), BSD.format("1. ", "2. ", "\n"), BSD.format("* ", "* ", "\n"), NOTICES["mpl-2.0"].replace("v. 2.0", "v. 1.1")]
+    found = {r.doc_id: r.licence for r in license_scan.license_scan(documents([*rows, *[(100 + n, t) for n, t in enumerate(more)]])).collect()}
+    assert found == {**dict(enumerate(NOTICES)), 100: "bsd", 101: "bsd", 102: "bsd", 103: None}
+
+
+def test_an_apache_header_by_its_first_sentence(documents):
+    first = NOTICES["apache-2.0"].split("   You may")[0]
+    assert [(r.licence, r.n_rules) for r in license_scan.license_scan(documents([(1, first)])).collect()] == [("apache-2.0", 1)]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrine.llm.words import text_or_empty
 
 # Sentences of published licence notices, in the order of their licences.
-SENTENCES = [
+NOTICES = [
     "Released under the MIT License.",
     "Licensed under the MIT License.",
     "This project is licensed under the MIT License.",
@@ -42,17 +42,24 @@ SENTENCES = [
     "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "This is free and unencumbered software released into the public domain.",
     "All rights reserved.",
+    "You may obtain a copy of the License at",
+    "http://www.apache.org/licenses/LICENSE-2.0",
 ]
+#: Stands in a run for one unknown sentence.
+ANY = None
 
-# A licence and the run of sentences (positions above) that declares it, strongest evidence first.
-RULES = [
+# A licence and the run of notices (positions above) that declares it, strongest evidence first.
+NOTICE_RULES = [
     ("mit", (3, 4, 5)),
     ("mit", (3, 4)),
     ("mit", (0,)),
     ("mit", (1,)),
     ("mit", (2,)),
     ("apache-2.0", (7, 8, 9, 10)),
+    ("apache-2.0", (7, 27, 28, 9, 10)),
     ("apache-2.0", (7, 8)),
+    ("apache-2.0", (7, 27, 28)),
+    ("apache-2.0", (7,)),
     ("apache-2.0", (6,)),
     ("gpl-3.0", (12, 14, 15)),
     ("gpl-3.0", (12,)),
@@ -60,6 +67,7 @@ RULES = [
     ("gpl-2.0", (13, 14, 15)),
     ("gpl-2.0", (13,)),
     ("bsd", (16, 17, 18)),
+    ("bsd", (16, ANY, 17, ANY, 18)),  # a list number with a full stop is a sentence of its own
     ("isc", (19,)),
     ("mpl-2.0", (20,)),
     ("cc-by-4.0", (21,)),
@@ -71,19 +79,40 @@ RULES = [
 ]
 
 
+#: Ends a sentence, besides a line feed.
+MARK = r"[.!?:][ \t\r\f\x0B]"
+
+
 def plain(sentence: str) -> str:
     """A sentence as the normalised texts hold it."""
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def code(n: int) -> str:
+def code(n: int | None) -> str:
     """One character for each known sentence; an unknown one is a dot."""
-    return chr(0x100 + n)
+    return "." if n is ANY else chr(0x100 + n)
+
+
+def split_notices(notices: list[str], rules: list[tuple[str, tuple[int | None, ...]]]) -> tuple[list[str], list[tuple[str, tuple[int | None, ...]]]]:
+    """The notices cut into sentences as texts are, each once, and the rules over them."""
+    place: dict[str, int] = {}
+    kept, runs = [], []
+    for notice in notices:
+        pieces = [x for x in re.split(MARK, notice) if plain(x)]
+        for x in pieces:
+            if plain(x) not in place:
+                place[plain(x)] = len(kept)
+                kept.append(x)
+        runs.append(tuple(place[plain(x)] for x in pieces))
+    return kept, [(name, tuple(m for n in run for m in ((ANY,) if n is ANY else runs[n]))) for name, run in rules]
+
+
+SENTENCES, RULES = split_notices(NOTICES, NOTICE_RULES)
 
 
 def _sentences(text: Column) -> Column:
     """Normalised sentences: a full stop, exclamation or question mark or colon before a blank ends one, and so does a line feed."""
-    marked = F.regexp_replace(F.lower(text), r"[.!?:][ \t\r\f\x0B]", "\n")
+    marked = F.regexp_replace(F.lower(text), MARK, "\n")
     return F.transform(F.split(F.regexp_replace(marked, "[^a-z0-9\n]+", " "), "\n"), lambda s: F.trim(s))
 
 
@@ -104,12 +133,12 @@ def license_scan(
     """One row per input row: its id, licence (of the first rule that holds), licences, n_rules, n_sentences.
 
     A rule holds when its sentences follow each other directly, empty sentences aside, in either reading of
-    the text. `licences` names each licence once, in rule order, joined by commas; n_rules counts the rules
+    the text. Sentences that hold a mark inside are cut there, as the text is, and count as that many. `licences` names each licence once, in rule order, joined by commas; n_rules counts the rules
     that hold and n_sentences the known sentences of the reading by lines. Without a match licence is null,
     licences empty. A null text has no sentences. Other columns are not read.
     """
-    known = [plain(s) for s in (SENTENCES if sentences is None else sentences)]
-    rules = RULES if rules is None else rules
+    sentences, rules = split_notices(NOTICES if sentences is None else sentences, NOTICE_RULES if rules is None else rules)
+    known = [plain(s) for s in sentences]
     text = text_or_empty(text_col)
     # A lone line feed is joined, two or more stay a boundary.
     joined = F.regexp_replace(F.regexp_replace(text, r"\r", ""), r"([^\n])\n([^\n])", "$1 $2")
