@@ -58,6 +58,16 @@ def test_word_tokenizer_equals_the_library(monkeypatch):
         assert w.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_reads_added_tokens_as_the_library_does(documents):
+    t = Tokenizer.from_file(WORDS)
+    texts = ["a <|endoftext|> b", "<|startoftext|>a", "x<|endoftext|>y  é", "日本<|endoftext|> ok", "A <|ENDOFTEXT|> b", "<|endoftext", *HARD]
+    w = packing.tokenizer(WORDS)
+    for text in texts:
+        assert w.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    got = packing.pack(documents([(1, texts[0])]), WORDS).orderBy("start").collect()
+    assert [i for p in got for i in p.ids][:3] == [320, 49407, 321]
+
+
 @pytest.mark.parametrize(("window", "space", "merge"), [(64, 2, 3), (4096, 32, 2048)])
 def test_packing_places_every_id_once(documents, monkeypatch, window, space, merge):
     monkeypatch.setattr(packing, "MERGE", merge)

@@ -49,14 +49,17 @@ class WordTokenizer:
     are those of its words, one after the other. Words are cut at ASCII white space; any other kind stays
     inside a word. Words of Latin-1 are in normal form C already and lower-case letter by letter, so their
     pre-tokens go straight to the tokenizer's model; other words take the whole tokenizer.
+    With `added`, the content of an added token in a text is that token, as the library reads it by default: a
+    text that holds one takes the whole tokenizer. Without, it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
@@ -77,6 +80,8 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        if self.added and any(x in low for low in (text.lower(),) for x in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
         listed, memo = text.encode().split(), self.words
         try:
             return np.frombuffer(b"".join([memo[w] for w in listed]), "<i4")
@@ -96,7 +101,7 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer for each worker process."""
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        _TOKENIZERS[path] = WordTokenizer(path, added=True)
     return _TOKENIZERS[path]
 
 
