@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, preference, quality_rules, substring_dedup, weak_labels
+from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, periodic_runs, preference, quality_rules, simhash, substring_dedup, weak_labels
+from vitrine.llm.words import text_or_empty, words_of
 from vitrine.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +187,42 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = preference.format_preferences(turns)
     flat = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return found.select("pair_id", "n_prompt_turns", "prompt", "chosen", flat("chosen_mask"), "rejected", flat("rejected_mask"))
+
+
+@query("op11_simhash_pigeonring")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint in hex and the smallest id of its component."""
+    found = simhash.simhash_groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where one document in ten repeats a stretch from some word to its end, chosen by its id's checksum."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    read = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g")).withColumn("words", F.when(F.col("h") % 10 == 0, words_of(text_or_empty("text"))))
+    n = F.size("words")
+    cut = read.withColumn("a", F.when(n > 0, F.col("g") % n).cast("int"))
+    cut = cut.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")))
+    planted = F.array_join(F.concat(F.slice("words", 1, F.col("a")), F.slice(repeated, 1, n - F.col("a"))), " ")
+    return cut.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs: their number, the one of greatest exponent, and digests of all runs and of the collapsed text."""
+    found = periodic_runs.periodic_runs(planted_periods(documents(spark, sf_dir)))
+    # Exponents are compared as fractions; the runs come by start, then period, so the first of equal ones stays.
+    greater = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda kept, r: F.when(greater(r, kept), r).otherwise(kept))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
