@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, license_scan, line_dedup, near_dedup, packing, periodic_runs, preference, quality_rules, simhash, substring_dedup, weak_labels
+from vitrine.llm import byte_bpe, exact_dedup, lexical_search, license_scan, line_dedup, near_dedup, packing, periodic_runs, preference, quality_rules, simhash, substring_dedup, weak_labels
 from vitrine.llm.words import text_or_empty, words_of
 from vitrine.session import configure
 
@@ -196,6 +196,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def lexical_sql() -> str:
+    """Every score by the formula, for all documents that share a term with an item."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {found} AS terms FROM documents),
+totals AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM texts WHERE len(terms) > 0),
+wanted AS (SELECT DISTINCT item_id, unnest({found}) AS term FROM benchmark),
+counted AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM counted, totals GROUP BY term),
+lengths AS (SELECT r, doc_id, 100 - 90 + (90 * len(terms) * n) // l AS m FROM texts, totals WHERE len(terms) > 0),
+shares AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS share FROM counted JOIN weights USING (term) JOIN lengths USING (r)),
+scores AS (SELECT item_id, doc_id, CAST(sum(share) AS BIGINT) AS score FROM wanted JOIN shares USING (term) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", lexical_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of greatest score for every benchmark item."""
+    return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) where one document in ten repeats a stretch from some word to its end, chosen by its id's checksum."""
     h = F.crc32(F.col("doc_id").cast("string"))
