@@ -8,6 +8,7 @@ place while they are being read.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -106,6 +107,77 @@ def update_fields(df: DataFrame, path: str, keys: list[str]) -> None:
     publish(df if old is None else keyed.partial_update(old, df, keys), path)
 
 
+#: Buckets of a merged table; a table keeps the number that it was first written with.
+BUCKETS = 64
+MARKS = "bucket int, buckets int, batch_id long"
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MARKS).parquet(f"{path}/marks")
+
+
+def _newest(spark: SparkSession, path: str) -> dict[int, int]:
+    """The batch that wrote each bucket last; as many rows as there are buckets."""
+    last = _marks(spark, path).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+    return {r.bucket: r.batch_id for r in last.collect()}
+
+
+def _folder(path: str, batch_id: int, bucket: int) -> str:
+    return f"{path}/data/batch={batch_id}/bucket={bucket}"
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that `merge_touched` keeps: the newest generation of each bucket, None before the first batch with rows."""
+    if not exists(spark, f"{path}/marks"):
+        return None
+    folders = [_folder(path, batch_id, bucket) for bucket, batch_id in sorted(_newest(spark, path).items())]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def merge_touched(
+    batch: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], batch_id: int, buckets: int = BUCKETS
+) -> list[int]:
+    """Merge a batch into a table bucketed by its keys; the buckets that were rewritten.
+
+    `merge(old, new)` gives the rows of the touched buckets; the others are neither read nor written. A batch writes a
+    generation of its own for each bucket, and a mark at the end makes them current at once, so a reader or a
+    failure in between sees the table before the batch. A batch that has its mark is not merged again; a batch
+    that was cut off replaces what it had written. Two writers of one batch id do not both succeed.
+    """
+    spark = batch.sparkSession
+    newest: dict[int, int] = {}
+    if exists(spark, f"{path}/marks"):
+        known = _marks(spark, path).agg(F.max("buckets").alias("buckets"), F.max((F.col("batch_id") == batch_id).cast("int")).alias("done")).first()
+        if known.done:
+            return []
+        buckets, newest = known.buckets, _newest(spark, path)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    batch = batch.persist()  # read for its buckets and again for its rows
+    try:
+        touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # `buckets` numbers at most
+        folders = [_folder(path, newest[b], b) for b in touched if b in newest]
+        old = spark.read.schema(batch.schema).parquet(*folders) if folders else batch.limit(0)
+        if touched:
+            rows = merge(old, batch).withColumn("batch", F.lit(batch_id)).withColumn("bucket", bucket).repartition("bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(f"{path}/data")
+    finally:
+        batch.unpersist()
+    marks = spark.createDataFrame([(b, buckets, batch_id) for b in touched] or [(None, buckets, batch_id)], MARKS)
+    marks.coalesce(1).write.mode("errorifexists").parquet(f"{path}/marks/batch={batch_id}")
+    return touched
+
+
+def drop_superseded(spark: SparkSession, path: str, keep_from: int) -> int:
+    """Delete generations that a later batch has replaced, unless batch `keep_from` or a later one wrote them; how many."""
+    newest = _newest(spark, path)
+    old = [(r.batch_id, r.bucket) for r in _marks(spark, path).where(f"bucket IS NOT NULL AND batch_id < {int(keep_from)}").collect() if newest[r.bucket] != r.batch_id]
+    dropped = 0
+    for batch_id, bucket in old:
+        fs, folder = _fs(spark, _folder(path, batch_id, bucket))
+        dropped += bool(fs.delete(folder, True))
+    return dropped
+
+
 def freeze_panel(panel: DataFrame, path: str, version: str) -> None:
     """Write a panel version once; an existing version is refused."""
     folder = f"{path}/panel_version={version}"

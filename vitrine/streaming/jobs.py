@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrine.operators import hiring
+from vitrine.operators import hiring, keyed
 from vitrine.sinks import tables
+from vitrine.streaming import consecutive
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def page_intake(pages: DataFrame, checkpoint: str, out: str, delay: str = "2 days") -> StreamingQuery:
@@ -29,26 +31,24 @@ def page_intake(pages: DataFrame, checkpoint: str, out: str, delay: str = "2 day
     )
 
 
-def post_sightings(posts: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
+def post_sightings(posts: DataFrame, checkpoint: str, table: str, buckets: int = tables.BUCKETS) -> StreamingQuery:
     """Merge each micro-batch into the recorded posts: first sighting kept, last one shown.
 
-    The merge is idempotent, so a replayed batch after a failure changes nothing.
+    Only the buckets that a batch has posts of are read and written, and a replayed batch changes nothing.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        old = tables.current(batch.sparkSession, table)
-        empty = batch.limit(0)
-        tables.publish(hiring.merge_posts(old if old is not None else empty, batch), table)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        tables.merge_touched(batch, table, hiring.POST_KEY, hiring.merge_posts, batch_id, buckets)
 
     return posts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def post_months(posts: DataFrame, checkpoint: str, table: str) -> StreamingQuery:
+def post_months(posts: DataFrame, checkpoint: str, table: str, buckets: int = 8) -> StreamingQuery:
     """Posts per first-seen calendar month, kept up to date: each batch replaces the months it changed."""
     counts = posts.groupBy(F.date_format("first_seen_at", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        tables.upsert(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), table, ["month"], ["batch_id"])
+        tables.merge_touched(batch, table, ["month"], lambda old, new: keyed.upsert_replace(old, new, ["month"], ["n"]), batch_id, buckets)
 
     return (
         counts.writeStream.outputMode("update")
@@ -62,38 +62,30 @@ def post_months(posts: DataFrame, checkpoint: str, table: str) -> StreamingQuery
 ALERTS = "domain string, prior_scan_date date, scan_date date"
 
 
-def conversion_alerts(states: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
+def conversion_alerts(states: DataFrame, checkpoint: str, out: str, delay: str = "60 days") -> StreamingQuery:
     """Append an alert when a store's verified flag goes from false to true between consecutive scans.
 
-    `states` has domain, scan_seq (1, 2, ... per scan), scan_date, verified; a store missing from a scan
-    has no row for it. State per store is the last scan alone, a few bytes, whatever the stream's length.
+    `states` has domain, scan_seq (1, 2, ... per scan), scan_date, verified; a store missing from a scan has no row
+    for it. Scans may come in any order within `delay`, later ones are dropped; a repeated scan changes nothing.
+    State per store is one block of consecutive scans and one more for each gap that a late scan can still fill.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        last = state.get if state.exists else None
-        out_rows = []
-        rows = sorted((r for f in frames for r in zip(f.scan_seq, f.scan_date, f.verified, strict=True)), key=lambda r: r[0])
-        for seq, day, verified in rows:
-            if last is not None and seq == last[0] + 1 and verified and not last[2]:
-                out_rows.append((key[0], pd.Timestamp(last[1]).date(), day))
-            if last is None or seq > last[0]:
-                last = (int(seq), str(day), bool(verified))
-        state.update(last)
-        yield pd.DataFrame(out_rows, columns=["domain", "prior_scan_date", "scan_date"])
-
-    alerts = states.groupBy("domain").applyInPandasWithState(
-        step, ALERTS, "seq long, day string, verified boolean", "append", GroupStateTimeout.NoTimeout
+    spark = states.sparkSession
+    timed = states.where("scan_seq IS NOT NULL AND scan_date IS NOT NULL").withColumn("scanned_at", F.col("scan_date").cast("timestamp"))
+    alerts = (
+        timed.withWatermark("scanned_at", delay)
+        .groupBy("domain")
+        .transformWithState(consecutive.Conversions(), ALERTS, outputMode="Append", timeMode="EventTime")
     )
-    return (
-        alerts.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .format("parquet")
-        .option("path", out)
-        .start()
-    )
-
-
+    usual = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)  # typed state needs it; a query keeps the setting that it starts with
+    try:
+        return (
+            alerts.writeStream.outputMode("append")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .format("parquet")
+            .option("path", out)
+            .start()
+        )
+    finally:
+        spark.conf.set(STATE_STORE, usual)
