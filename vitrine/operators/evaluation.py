@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import values
-from vitrine.operators import ordering
+from vitrine.operators import ordering, resampling
 
 BOOTSTRAP_RESAMPLES = 1000
 BOOTSTRAP_SEED = 7
@@ -79,26 +79,13 @@ def bootstrap_interval(
     y: str = "y",
     resamples: int = BOOTSTRAP_RESAMPLES,
     seed: int = BOOTSTRAP_SEED,
-    slice_rows: int = ordering.SLICE_ROWS,
 ) -> DataFrame:
-    """95 % percentile interval of the AUC over `resamples` draws of n rows with replacement.
+    """95 % percentile interval of the AUC over `resamples` Poisson resamples.
 
-    Draw i of resample b picks row hash(seed, b, i) mod n of the rows in hashed key order, so the result is
-    a function of the data and the seed alone. The hash spreads the draws evenly over the rows they pick, so
-    the join has no hot key, and counts per (resample, score) are combined before they are shuffled. One-class resamples are left out; both ends are NULL when
-    none is left.
+    A row counts Poisson(1) times in each resample, by a hash of seed, key and resample, so the result is a function
+    of the data and the seed alone. One-class resamples are left out; both ends are NULL when none is left.
     """
-    rows = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(key, score, y)
-    indexed = ordering.row_index(rows.withColumn("_hash", values.seeded_order(seed, F.col(key))), "_hash", "j")
-    size = rows.agg(F.count(F.lit(1))).scalar()
-    every = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    draws = indexed.select(F.col("j").alias("i"), size.alias("n")).select("i", "n", every.alias("b"))
-    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("i").cast("string")))
-    picked = draws.select("b", F.pmod(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("bigint"), F.col("n")).alias("j"))
-    resampled = picked.join(indexed.select("j", score, y), "j")
-    # A resample has no more distinct scores than the table has.
-    distinct = rows.agg(F.count_distinct(score)).first()[0]
-    aucs = auc(resampled, score, y, ["b"], slice_rows=slice_rows, largest=distinct).where(F.col("auc").isNotNull())
+    aucs = resampling.poisson_aucs(df, key, score, y, resamples, seed)
     # One value per resample from here on.
     return aucs.agg(
         F.count(F.lit(1)).alias("used"),

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from vitrine.functions import dates, markup, urls, values
-from vitrine.operators import evaluation, hiring, keyed, labels, quality, reconcile, review, series
+from vitrine.operators import evaluation, hiring, keyed, labels, quality, reconcile, resampling, review, series
 from workload.base import DOMAIN_SQL, EVENT_SCANS, event_scans, query, r6, scored_documents, table
 from workload.store_queries import PRODUCTS, SCORES, matches, products, scored
 
@@ -98,10 +98,9 @@ RESAMPLES = 1000
 
 @query(
     "eval_bootstrap_ci",
-    f"""WITH {SCORED}, ix AS (SELECT *, row_number() OVER (ORDER BY sha256('7:' || doc_id)) - 1 AS j, count(*) OVER () AS n FROM sd),
-        draws AS (SELECT b, CAST(('0x' || substr(md5('7:' || b || ':' || j), 1, 8)) AS BIGINT) % n AS pick FROM ix, (SELECT unnest(range(0, {RESAMPLES})) AS b)),
-        res AS (SELECT d.b, ix.score, ix.y FROM draws d JOIN ix ON ix.j = d.pick),
-        a AS (SELECT b, auc FROM {_auc_sql('res', 'score', 'b')} WHERE auc IS NOT NULL)
+    f"""WITH {SCORED}, seeds AS (SELECT score, y, CAST(('0x' || substr(sha256('7:' || doc_id), 1, 8)) AS BIGINT) AS seed FROM sd),
+        res AS (SELECT b, score, y, {resampling.weight_sql("seed", "b")} AS w FROM seeds, (SELECT unnest(range(0, {RESAMPLES})) AS b)),
+        a AS (SELECT b, auc FROM {_auc_sql('res', 'score', 'b', weight='w')} WHERE auc IS NOT NULL)
         SELECT count(*) AS used, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high FROM a""",
 )
 def eval_bootstrap_ci(spark, sf):
