@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import catalog, hiring, matching, ordering
+from vitrine.operators import catalog, hiring, matching
 from vitrine.plans import crosssection
 from vitrine.sinks import tables
 
@@ -42,14 +42,6 @@ def test_tied_sightings_merge_alike_in_any_order(spark):
         assert (again.title, again.source_url) == ("two", "u9")
 
 
-def test_nan_is_the_largest_value_on_either_path(spark):
-    rows = [(float(i), 1) for i in range(20)] + [(float("nan"), 1)]
-    df = spark.createDataFrame(rows, "v double, n int")
-    for slice_rows in (1000, 4):
-        out = {str(r.v): r.n_upto for r in ordering.running_totals(df, "v", ["n"], slice_rows=slice_rows).collect()}
-        assert out["nan"] == 21 and out["19.0"] == 20, slice_rows
-
-
 def test_available_counts_by_its_kind(spark):
     body = '{"products":[{"variants":[{"available":"false"},{"available":""},{"available":0},{"available":2},{"available":null},{"available":true},{}]}]}'
     page = spark.createDataFrame([("d", 1, 200, None, body)], "domain string, page int, status int, skip_reason string, body string")

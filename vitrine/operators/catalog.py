@@ -130,17 +130,11 @@ def product_aggregates(products: DataFrame, keys: list[str], scan_date: Column)
     )
 
 
-def variant_aggregates(variants: DataFrame, keys: list[str], slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
-    """Variant count, share available among variants that say so, exact median price: from (keys, price, available).
-
-    One aggregation while every store is proven small; a store too large for one percentile buffer sends
-    the medians through value slices.
-    """
+def variant_aggregates(variants: DataFrame, keys: list[str]) -> DataFrame:
+    """Variant count, share available among variants that say so, exact median price: from (keys, price, available)."""
     priced = variants.withColumn("_price", values.price(F.col("price").cast("string")))
     shares = [F.count(F.lit(1)).alias("variant_count"), F.avg(F.col("available").cast("int")).alias("available_share")]
-    if ordering.largest_group(priced, keys) <= slice_rows:
-        return priced.groupBy(*keys).agg(*shares, F.percentile("_price", 0.5).alias("median_price"))
-    medians = ordering.exact_percentiles(priced, "_price", {"median_price": 0.5}, keys, slice_rows)
+    medians = ordering.exact_percentiles(priced, "_price", {"median_price": 0.5}, keys)
     return priced.groupBy(*keys).agg(*shares).join(medians, keys, "left")
 
 

@@ -14,10 +14,10 @@ CONTROL_GROUP = 20
 CONTROL_SEED = 7
 
 
-def reference_month(migrators: DataFrame, month: str = "anchor_month", slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def reference_month(migrators: DataFrame, month: str = "anchor_month") -> DataFrame:
     """The upper median of the migrators' months: the one at position n // 2 of the sorted list."""
     at = migrators.where(F.col(month).isNotNull()).select(dates.whole_months(F.lit("0001-01-01").cast("date"), dates.month_start(F.col(month))).alias("m"))
-    picked = ordering.value_at_positions(at, "m", {"m": F.floor(F.col("n") / 2)}, (), slice_rows)
+    picked = ordering.value_at_positions(at, "m", {"m": (0.5, F.floor(F.col("n") / 2))})
     start = F.lit("0001-01-01").cast("date")
     return picked.select(dates.month_text(F.add_months(start, F.col("m"))).alias("reference_month"))
 
@@ -28,7 +28,6 @@ def matched_controls(
     sizes: DataFrame,
     k: int = CONTROL_GROUP,
     seed: int = CONTROL_SEED,
-    slice_rows: int = ordering.SLICE_ROWS,
 ) -> DataFrame:
     """`k` negatives nearest in size to the migrators' median, or a seeded sample when sizes are too few.
 
@@ -37,7 +36,7 @@ def matched_controls(
     """
     pool = negatives.select("domain").join(migrators.select("domain"), "domain", "left_anti").join(sizes, "domain", "left")
     known = migrators.select("domain").join(sizes, "domain").where(F.col("product_count").isNotNull())
-    median = ordering.exact_percentiles(known, "product_count", {"median": 0.5}, (), slice_rows).select("median").scalar()
+    median = ordering.exact_percentiles(known, "product_count", {"median": 0.5}).select("median").scalar()
     usable = pool.agg(F.count("product_count")).scalar()
     matching = F.col("_median").isNotNull() & (F.col("_usable") >= k)
     measured = pool.withColumn("_median", median).withColumn("_usable", usable)

@@ -50,26 +50,17 @@ def _score_counts(df: DataFrame, score: str, y: str, group: Sequence[str]) -> Da
     )
 
 
-def auc(
-    df: DataFrame,
-    score: str = "score",
-    y: str = "y",
-    group: Sequence[str] = (),
-    slice_rows: int = ordering.SLICE_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
+def auc(df: DataFrame, score: str = "score", y: str = "y", group: Sequence[str] = ()) -> DataFrame:
     """Tie-aware area under the ROC curve per group; NULL where one class is missing.
 
     Each positive counts the negatives below it plus half of those it ties with: with p and n per score
     value, sum(p * (negatives below + n / 2)) / (P * N).
     """
-    counts = _score_counts(df, score, y, group)
-    upto = ordering.running_totals(counts, score, ["n"], group, slice_rows, largest)
-    won = F.col("p") * ((F.col("n_upto") - F.col("n")).cast("double") + F.col("n") / 2)
-    pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
-    return upto.groupBy(*group).agg(
-        F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.try_divide(F.sum(won), pairs).alias("auc")
-    )
+    wins = ordering.pair_wins(_score_counts(df, score, y, group), score, group)
+    if not group:
+        wins = wins.agg(*[F.sum(c).alias(c) for c in ("p", "n", "won2")])  # one row for an empty table too
+    pairs2 = 2 * F.col("p").cast("double") * F.col("n").cast("double")
+    return wins.select(*group, F.col("p").alias("positives"), F.col("n").alias("negatives"), F.try_divide(F.col("won2").cast("double"), pairs2).alias("auc"))
 
 
 def bootstrap_interval(
@@ -94,32 +85,23 @@ def bootstrap_interval(
     )
 
 
-def precision_recall_top(
-    df: DataFrame,
-    key: str,
-    score: str = "score",
-    y: str = "y",
-    seed: int = BOOTSTRAP_SEED,
-    slice_rows: int = ordering.SLICE_ROWS,
-) -> DataFrame:
+def precision_recall_top(df: DataFrame, key: str, score: str = "score", y: str = "y", seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Precision and recall of the top max(1, n // 10) rows by score, ties at the cut taken in seeded hash order.
 
-    Counts per score find the cut; only the rows that tie there are ordered, and of those only the ones in
+    The cut is an order statistic; only the rows that tie there are ordered, and of those only the ones in
     the hash prefix where the quota ends.
     """
-    known = df.where(F.col(score).isNotNull()).select(key, score, y)
-    falling = _score_counts(known, score, y, ()).withColumn("_down", -F.col(score)).withColumn("rows", F.col("p") + F.col("n"))
-    upto = ordering.running_totals(falling, "_down", ["rows"], (), slice_rows)
-    totals = falling.agg(F.struct(F.sum("rows").alias("n"), F.sum("p").alias("p")))
-    placed = upto.withColumn("_t", totals.scalar()).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("_t.n") / 10)))
-    above = F.col("rows_upto") <= F.col("k")
-    at_cut = ~above & (F.col("rows_upto") - F.col("rows") < F.col("k"))
+    known = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(key, score, y)
+    quota = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
+    cut = ordering.value_at_positions(known, score, {"cut": (0.9, F.col("n") - quota)}).select(F.struct(quota.alias("k"), "cut"))
+    placed = known.withColumn("_t", cut.scalar())
+    higher = F.col(score) > F.col("_t.cut")
     summary = placed.agg(
-        F.max("k").alias("k"),
-        F.max("_t.p").alias("positives"),
-        F.coalesce(F.sum(F.when(above, F.col("p"))), F.lit(0)).alias("sure"),
-        F.max(F.when(at_cut, F.col(score))).alias("cut"),
-        F.coalesce(F.max(F.when(at_cut, F.col("k") - (F.col("rows_upto") - F.col("rows")))), F.lit(0)).alias("quota"),
+        F.max("_t.k").alias("k"),
+        F.max("_t.cut").alias("cut"),
+        F.sum(y).alias("positives"),
+        F.coalesce(F.sum(F.when(higher, F.col(y))), F.lit(0)).alias("sure"),
+        (F.max("_t.k") - F.count_if(higher)).alias("quota"),
     )
     tied = known.where(F.col(score) == summary.select("cut").scalar())
     tied = tied.withColumn("_hash", values.seeded_order(seed, F.col(key)))
@@ -148,10 +130,10 @@ def precision_recall_at(df: DataFrame, threshold: float, score: str = "score", y
     )
 
 
-def with_size_bucket(df: DataFrame, size: str, slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def with_size_bucket(df: DataFrame, size: str) -> DataFrame:
     """Rows of known size with `bucket` 0 to 3 by interpolated quartiles; an edge value goes up. `_known` is their number."""
     known = df.where(F.col(size).isNotNull())
-    edges = ordering.exact_percentiles(known, size, {"e1": 0.25, "e2": 0.5, "e3": 0.75}, (), slice_rows)
+    edges = ordering.exact_percentiles(known, size, {"e1": 0.25, "e2": 0.5, "e3": 0.75})
     at = known.withColumn("_e", edges.select(F.struct("e1", "e2", "e3")).scalar())
     at = at.withColumn("_known", known.agg(F.count(F.lit(1))).scalar())
     value = F.col(size)
@@ -159,14 +141,14 @@ def with_size_bucket(df: DataFrame, size: str, slice_rows: int = ordering.SLICE_
     return at.withColumn("bucket", steps[0] + steps[1] + steps[2]).drop("_e")
 
 
-def size_bucket_aucs(df: DataFrame, size: str, score: str = "score", y: str = "y", slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def size_bucket_aucs(df: DataFrame, size: str, score: str = "score", y: str = "y") -> DataFrame:
     """AUC within each size quartile; NULL for a one-class or empty quartile.
 
     With fewer than eight known sizes there is a single row `insufficient_product_count_data`.
     """
     spark = df.sparkSession
-    bucketed = with_size_bucket(df, size, slice_rows)
-    by_bucket = auc(bucketed.where(F.col("_known") >= MIN_KNOWN_SIZES), score, y, ["bucket"], slice_rows=slice_rows)
+    bucketed = with_size_bucket(df, size)
+    by_bucket = auc(bucketed.where(F.col("_known") >= MIN_KNOWN_SIZES), score, y, ["bucket"])
     known = df.where(F.col(size).isNotNull()).agg(F.count(F.lit(1))).scalar()
     names = spark.createDataFrame(list(enumerate(BUCKETS)), "bucket int, name string").withColumn("_known", known)
     full = names.where(F.col("_known") >= MIN_KNOWN_SIZES).join(by_bucket, "bucket", "left")
@@ -176,11 +158,11 @@ def size_bucket_aucs(df: DataFrame, size: str, score: str = "score", y: str = "y
     )
 
 
-def single_feature_aucs(df: DataFrame, features: Sequence[str], y: str = "y", slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def single_feature_aucs(df: DataFrame, features: Sequence[str], y: str = "y") -> DataFrame:
     """AUC of each feature alone, over the rows where it is known."""
     typed = df.select(y, *[values.number(F.col(f), df.schema[f].dataType.simpleString()).alias(f) for f in features])
     long = typed.unpivot([y], list(features), "feature", "value").where(F.col("value").isNotNull())
-    return auc(long, "value", y, ["feature"], slice_rows=slice_rows).select("feature", "positives", "negatives", "auc")
+    return auc(long, "value", y, ["feature"]).select("feature", "positives", "negatives", "auc")
 
 
 def base_rate(df: DataFrame, y: str = "y") -> DataFrame:

@@ -1,84 +1,22 @@
-"""Order statistics, running totals and ranks that never put a whole table into one task.
+"""Order statistics, ranks and running sums that never put a whole table or group into one task.
 
-A global `Window.orderBy` moves every row to one task, and a per-key window does the same for a hot key.
-The functions here look at the size first. While the largest ordered set is proven to fit one task
-(`slice_rows`), the plain built-in is used. Beyond it the order is cut into value slices at approximate
-quantiles: totals are taken per slice, carried forward over the short table of slices, and added to the
-running total inside each slice. The slices only spread the work; results are exact either way.
+A global `Window.orderBy` moves every row to one task, and a per-key window does the same for a hot key. Order
+statistics are found in two aggregates instead: a mergeable quantile sketch per group gives a bracket around each
+wanted position, then rows are counted exactly below, inside and above it, and only the distinct values inside a
+bracket are put in order. Sums over an order are taken by range-partitioned tasks and carried forward over
+one row for each task and group. Every function is one lazy plan, whatever the sizes.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group (of the whole table when `group` is empty). One pre-aggregated pass."""
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    return counts.agg(F.max("rows")).first()[0] or 0
-
-
-def slice_edges(df: DataFrame, order: str, largest: int, slice_rows: int) -> list[float]:
-    """Cut points that spread `largest` rows over slices of about `slice_rows`; none when they fit one slice."""
-    slices = min(MAX_SLICES, math.ceil(largest / slice_rows))
-    if slices <= 1:
-        return []
-    probabilities = [i / slices for i in range(1, slices)]
-    return sorted(set(df.approxQuantile(order, probabilities, 1 / (4 * slices))))
-
-
-def with_slice(df: DataFrame, order: str, edges: list[float]) -> DataFrame:
-    """Add `_slice`, the interval between edges the value falls in (a JVM binary search)."""
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [-math.inf, *edges, math.inf]
-    keyed = df.withColumn("_slice_key", F.col(order).cast("double"))
-    # NaN goes to a slice of its own behind the others, as it does in an ORDER BY.
-    return Bucketizer(splits=splits, inputCol="_slice_key", outputCol="_slice", handleInvalid="keep").transform(keyed).drop("_slice_key")
-
-
-def running_totals(
-    df: DataFrame,
-    order: str,
-    values: Sequence[str],
-    group: Sequence[str] = (),
-    slice_rows: int = SLICE_ROWS,
-    largest: int | None = None,
-) -> DataFrame:
-    """Add `<value>_upto`, the inclusive running sum of each value in `order` within `group`.
-
-    The input holds one row per (group, order): aggregate first. `largest` may be given when the size of
-    the largest group is already known.
-    """
-    group = list(group)
-    size = largest_group(df, group) if largest is None else largest
-    edges = slice_edges(df, order, size, slice_rows) if size > slice_rows else []
-    keys = [F.col(g) for g in group]
-    if not edges:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select("*", *[F.sum(v).over(w).alias(f"{v}_upto") for v in values])
-
-    sliced = with_slice(df, order, edges)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # At most len(edges) + 1 rows per group, so this window is small whatever the group holds.
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        sliced.groupBy(*group, "_slice")
-        .agg(*[F.sum(v).alias(f"_{v}") for v in values])
-        .select(*group, "_slice", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}_before") for v in values])
-    )
-    out = sliced.select("*", *[F.sum(v).over(inside).alias(f"_{v}_inside") for v in values])
-    joined = _null_safe_join(out, totals, [*group, "_slice"])
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        *[(F.col(f"_{v}_inside") + F.col(f"_{v}_before")).alias(f"{v}_upto") for v in values],
-    )
+#: A sketch is off by at most this part of a group's rows; a bracket holds four such parts.
+ACCURACY = 10_000
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -91,71 +29,114 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def value_at_positions(
     df: DataFrame,
     value: str,
-    positions: dict[str, Column],
+    positions: dict[str, tuple[float, Column]],
     group: Sequence[str] = (),
-    slice_rows: int = SLICE_ROWS,
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """Order statistics: for each name, the value at a 0-based position of the sorted non-null values.
+    """Order statistics: for each name, the value at a 0-based position of the sorted non-null values, and their number n.
 
-    A position is an expression over `n`, the number of values in the group.
+    A position is a share of n and an expression over `n` that is at most one away from that share of n.
+    Groups without a value are absent; without `group` there is one row in any case.
     """
-    group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("rows"))
-    upto = running_totals(counts, value, ["rows"], group, slice_rows)
-    sizes = counts.groupBy(*group).agg(F.sum("rows").alias("n"))
-    placed = _null_safe_join(upto, sizes, group) if group else upto.withColumn("n", sizes.scalar())
-    return placed.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        *[F.min(F.when(F.col("rows_upto") > at, F.col(value))).alias(name) for name, at in positions.items()],
+    group, names = list(group), list(positions)
+    known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+    slack = 2 / accuracy
+    probes = [max(0.0, p - slack) for p, _ in positions.values()] + [min(1.0, p + slack) for p, _ in positions.values()]
+    brackets = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes, accuracy).alias("_b"))
+    counts = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    if group:
+        placed = _null_safe_join(counts, brackets, group)
+    else:
+        placed = counts.withColumn("_x", brackets.select(F.struct("n", "_b")).scalar()).select("*", "_x.n", "_x._b")
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_b")[i].alias("low"), F.col("_b")[len(names) + i].alias("high")) for i in range(len(names))])
+    each = placed.select(*group, "n", "_v", "_rows", F.explode(places).alias("_p"))
+    side = F.when(F.col("_v") < F.col("_p.low"), -1).when(F.col("_v") > F.col("_p.high"), 1).otherwise(0)
+    cells = (
+        each.select(*group, "n", "_v", "_rows", F.col("_p.i").alias("_i"), side.alias("_side"))
+        .groupBy(*group, "_i", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_cell"))
+        .agg(F.sum("_rows").alias("_rows"), F.min("_v").alias("_least"), F.max("_v").alias("_greatest"), F.max("n").alias("n"))
     )
-
-
-def exact_percentiles(
-    df: DataFrame,
-    value: str,
-    percents: dict[str, float],
-    group: Sequence[str] = (),
-    slice_rows: int = SLICE_ROWS,
-) -> DataFrame:
-    """Linear-interpolated percentiles per group, exact at any size; groups without a value are absent.
-
-    Groups of at most `slice_rows` rows use the built-in `percentile`, whose buffer holds a group's distinct
-    values. Larger groups are taken apart from them and their two neighbouring order statistics are picked
-    from sliced running totals.
+    # What lies inside the brackets, and one row for each side of them.
+    before = Window.partitionBy(*[F.col(g) for g in group], "_i").orderBy("_side", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cells.withColumn("_below", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+
+    def pick(i: int, at: Column) -> Column:
+        mine, upto = F.col("_i") == i, F.col("_below") + F.col("_rows")
+        inside = F.min(F.when(mine & (F.col("_side") == 0) & (F.col("_below") <= at) & (upto > at), F.col("_cell")))
+        under = F.min(F.when(mine & (F.col("_side") == -1) & (at == upto - 1), F.col("_greatest")))
+        over = F.min(F.when(mine & (F.col("_side") == 1) & (at == F.col("_below")), F.col("_least")))
+        missed = F.when(F.max("n") > 0, F.raise_error(F.lit("an order statistic lies outside its bracket")))
+        return F.coalesce(inside, under, over, missed)
+
+    return ranked.groupBy(*group).agg(F.max("n").alias("n"), *[pick(i, at).alias(name) for i, (name, (_, at)) in enumerate(positions.items())])
+
+
+def exact_percentiles(df: DataFrame, value: str, percents: dict[str, float], group: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """Linear-interpolated percentiles per group, exact at any size; groups without a value are absent."""
+    places = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in percents.items()}
+    positions = {f"_lo_{name}": (percents[name], F.floor(at)) for name, at in places.items()} | {f"_hi_{name}": (percents[name], F.ceil(at)) for name, at in places.items()}
+    picked = value_at_positions(df, value, positions, group, accuracy)
+    between = {name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (at - F.floor(at)) for name, at in places.items()}
+    return picked.select(*group, *[between[name].alias(name) for name in percents])
+
+
+def _wins_of_runs(width: int):
+    """Per task and run of equal groups: the least order, sums of p and n, and twice the pairs that p wins against n."""
+
+    def wins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the run that the last batch ended in
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b.column(0)
+            differ = np.append(True, np.array(pa.compute.not_equal(key.slice(1), key.slice(0, len(key) - 1))))
+            starts = np.flatnonzero(differ)
+            p, n = (np.asarray(b.column(width + i), np.int64) for i in (2, 3))
+            upto = np.cumsum(n) - n
+            below = upto - np.repeat(upto[starts], np.diff(np.append(starts, len(n))))
+            sums = [np.add.reduceat(x, starts) for x in (p, n, p * (2 * below + n))]
+            runs = pa.RecordBatch.from_arrays([*b.take(pa.array(starts)).columns[: width + 2], *map(pa.array, sums)], names=[*b.schema.names[: width + 2], "p", "n", "won2"])
+            if held is not None:
+                if held.column(0)[0] == runs.column(0)[0]:
+                    hp, hn, hw = (held.column(width + 2 + i)[0].as_py() for i in range(3))
+                    sums[2][0] += hw + 2 * hn * sums[0][0]
+                    sums[0][0] += hp
+                    sums[1][0] += hn
+                    runs = pa.RecordBatch.from_arrays([*(pa.concat_arrays([h, r.slice(1)]) for h, r in zip(held.columns[: width + 2], runs.columns, strict=False)), *map(pa.array, sums)], names=runs.schema.names)
+                else:
+                    yield held
+            held = runs.slice(runs.num_rows - 1)
+            if runs.num_rows > 1:
+                yield runs.slice(0, runs.num_rows - 1)
+        if held is not None:
+            yield held
+
+    return wins
+
+
+def pair_wins(counts: DataFrame, order: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, p, n, won2) from counts p and n per (group, order): their sums, and twice the pairs in which p stands higher, ties half.
+
+    The counts are range-partitioned by group and order, so a large group spreads over tasks; every task sends one row for
+    each group it meets. Whole numbers, exact up to two thousand million rows a side.
     """
     group = list(group)
-    known = df.where(F.col(value).isNotNull())
-    sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    largest = sizes.agg(F.max("rows")).first()[0] or 0
-    builtin = [F.percentile(value, p).alias(name) for name, p in percents.items()]
-    if largest <= slice_rows:
-        return known.groupBy(*group).agg(*builtin)
-    if not group:
-        return _sliced_percentiles(known, value, percents, group, slice_rows)
-    large = sizes.where(F.col("rows") > slice_rows).select(*group)
-    small = _null_safe_join(known, large, group, "left_anti").groupBy(*group).agg(*builtin)
-    big = _null_safe_join(known, large, group, "left_semi")
-    return small.unionByName(_sliced_percentiles(big, value, percents, group, slice_rows))
-
-
-def _sliced_percentiles(known: DataFrame, value: str, percents: dict[str, float], group: list[str], slice_rows: int) -> DataFrame:
-    at = {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in percents.items()}
-    positions = {}
-    for name, place in at.items():
-        positions[f"_lo_{name}"] = F.floor(place)
-        positions[f"_hi_{name}"] = F.ceil(place)
-    picked = value_at_positions(known, value, positions, group, slice_rows)
-    return picked.select(
-        *group,
-        *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (place - F.floor(place))).alias(n)
-            for n, place in at.items()
-        ],
-    )
+    keyed = counts.select(F.to_json(F.struct(*group, F.lit(0).alias("_"))).alias("_k"), *group, F.col(order).alias("_at"), F.col("p").cast("long"), F.col("n").cast("long"))
+    ordered = keyed.repartitionByRange("_k", "_at").sortWithinPartitions("_k", "_at")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields) + ", won2 long"
+    parts = ordered.mapInArrow(_wins_of_runs(len(group)), shape)
+    before = Window.partitionBy("_k").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.withColumn("_below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    total = F.sum(F.col("won2") + 2 * F.col("p") * F.col("_below"))
+    return carried.groupBy("_k", *group).agg(F.sum("p").alias("p"), F.sum("n").alias("n"), total.alias("won2")).drop("_k")
 
 
 HEX_DIGITS = 4
-PREFIXES = 16**HEX_DIGITS
+
+
+def _prefix_totals(counts: DataFrame) -> DataFrame:
+    """Counts of hash prefixes, at most 16^4 rows, with their running sum."""
+    return counts.withColumn("rows_upto", F.sum("rows").over(Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def first_by_hash(df: DataFrame, hashed: str, k: Column) -> DataFrame:
@@ -166,7 +147,7 @@ def first_by_hash(df: DataFrame, hashed: str, k: Column) -> DataFrame:
     """
     prefixed = df.withColumn("_prefix", F.substring(hashed, 1, HEX_DIGITS))
     counts = prefixed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("rows"))
-    upto = running_totals(counts, "_prefix", ["rows"], largest=PREFIXES)
+    upto = _prefix_totals(counts)
     bounds = upto.select(F.col("_prefix"), (F.col("rows_upto") - F.col("rows")).alias("_before"), "rows_upto")
     placed = prefixed.join(bounds, "_prefix").withColumn("_k", k)
     whole = placed.where(F.col("rows_upto") <= F.col("_k"))
@@ -180,7 +161,7 @@ def row_index(df: DataFrame, hashed: str, name: str = "row_index") -> DataFrame:
     """A dense 0-based index in hash order: each hash prefix is numbered on its own and offset by a count."""
     prefixed = df.withColumn("_prefix", F.substring(hashed, 1, HEX_DIGITS))
     counts = prefixed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("rows"))
-    upto = running_totals(counts, "_prefix", ["rows"], largest=PREFIXES)
+    upto = _prefix_totals(counts)
     offsets = upto.select("_prefix", (F.col("rows_upto") - F.col("rows")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_prefix").orderBy(hashed))
     return (

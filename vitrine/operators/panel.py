@@ -26,16 +26,16 @@ def eligible(stores: DataFrame, catalog: DataFrame, positives: DataFrame, finger
     )
 
 
-def stratum_edges(candidates: DataFrame, size: str = "product_count", slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def stratum_edges(candidates: DataFrame, size: str = "product_count") -> DataFrame:
     """One row (n, q1, q2, q3): sizes at positions n//4, n//2 and 3n//4 of the sorted known sizes."""
     n = F.col("n")
-    at = {"q1": F.floor(n / 4), "q2": F.floor(n / 2), "q3": F.floor(n * 3 / 4)}
-    return ordering.value_at_positions(candidates, size, at, (), slice_rows)
+    at = {"q1": (0.25, F.floor(n / 4)), "q2": (0.5, F.floor(n / 2)), "q3": (0.75, F.floor(n * 3 / 4))}
+    return ordering.value_at_positions(candidates, size, at)
 
 
-def with_stratum(candidates: DataFrame, size: str = "product_count", slice_rows: int = ordering.SLICE_ROWS) -> DataFrame:
+def with_stratum(candidates: DataFrame, size: str = "product_count") -> DataFrame:
     """Add `stratum` 0 to 3 by size; an edge value goes down, an unknown size to 0. All 0 with fewer than four known sizes."""
-    edges = stratum_edges(candidates, size, slice_rows).select(F.struct("n", "q1", "q2", "q3").alias("e"))
+    edges = stratum_edges(candidates, size).select(F.struct("n", "q1", "q2", "q3").alias("e"))
     with_edges = candidates.withColumn("_e", edges.scalar())
     value = F.col(size)
     stratum = (
@@ -53,14 +53,13 @@ def select_panel(
     seed: int = PANEL_SEED,
     key: str = "domain",
     size_column: str = "product_count",
-    slice_rows: int = ordering.SLICE_ROWS,
 ) -> DataFrame:
     """`size` stores: the first max(1, size // 4) of each stratum in seeded order, topped up from the rest.
 
     Ranking runs per (stratum, salt) first and only the leaders meet per stratum, so no task orders a
     whole stratum. Returns (key, size_column, stratum, place) with `place` 1 to `size`.
     """
-    strata = with_stratum(candidates, size_column, slice_rows).select(key, size_column, "stratum")
+    strata = with_stratum(candidates, size_column).select(key, size_column, "stratum")
     hashed = strata.withColumn("_hash", values.seeded_order(seed, F.col(key)))
     per_stratum = max(1, size // 4)
     salted = hashed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(_SALTS)))
