@@ -102,10 +102,10 @@ def test_label_load(spark, tmp_path):
         csv_files.load_labels(spark, folder, TODAY)
     write_labels(tmp_path, "WWW.Good.Example,https://n.example/a,case,me,2026-01-01\n", "other.example,https://n.example/b,dir,me,2026-01-01\n", 'moved.example,2026-02,https://n.example/c,"said, so",me,2026-01-01\n')
     loaded = csv_files.load_labels(spark, folder, TODAY)
-    assert loaded["plus_positive"].first().domain == "good.example"
-    m = loaded["confirmed_migrator"].first()
+    assert loaded.where("label_set = 'plus_positive'").first().domain == "good.example"
+    m = loaded.where("label_set = 'confirmed_migrator'").first()
     assert (m.domain, m.label_value, m.quote, m.source_type) == ("moved.example", "2026-02", "said, so", "manual")
-    assert set(loaded) == {"plus_positive", "non_plus_negative", "confirmed_migrator"}
+    assert {r.label_set for r in loaded.collect()} == {"plus_positive", "non_plus_negative", "confirmed_migrator"}
 
 
 @pytest.mark.parametrize(
@@ -126,8 +126,10 @@ def test_label_faults(spark, tmp_path, line, message):
 
 def test_label_overlap_and_missing_columns(spark, tmp_path):
     row = "x.example,https://n.example/a,case,me,2026-01-01\n"
-    with pytest.raises(labels.LabelError, match="x.example"):
-        csv_files.load_labels(spark, write_labels(tmp_path, row, row), TODAY)
+    with pytest.raises(labels.LabelError, match="x.example") as refused:
+        csv_files.load_labels(spark, write_labels(tmp_path, row, row), TODAY, str(tmp_path / "table"))
+    assert {(r.line, r.error) for r in refused.value.errors.collect()} == {(2, "domain in both positives and negatives: x.example")}
+    assert refused.value.errors.count() == 2 and not (tmp_path / "table").exists()
     (tmp_path / "plus_positives.csv").write_text("domain,source_url\nx.example,https://n.example\n")
     with pytest.raises(csv_files.MissingColumns, match="source_type, added_by, added_at"):
         csv_files.load_labels(spark, str(tmp_path), TODAY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,7 +23,11 @@ MIN_AGE_MONTHS = 3
 
 
 class LabelError(ValueError):
-    """A label file breaks a rule; the message lists every offending line."""
+    """A label file breaks a rule; the message shows the first offending lines, `errors` is the table of all."""
+
+    def __init__(self, message: str, errors: DataFrame | None = None):
+        super().__init__(message)
+        self.errors = errors
 
 
 def _errors(required: list[str], label_set: str, today: Column) -> Column:
@@ -58,24 +63,25 @@ def _errors(required: list[str], label_set: str, today: Column) -> Column:
 
 
 def validate(rows: DataFrame, label_set: str, required: list[str], today: date) -> DataFrame:
-    """Add `domain` (normalised) and `errors` to label rows that carry `line`; blank lines are dropped.
+    """Add `domain` (normalised) and `errors` to label rows that carry `line`, and `file` where there are several; blank lines are dropped.
 
     A repeated domain is an error on every line after its first.
     """
-    fields = [c for c in rows.columns if c != "line"]
-    clean = rows.select("line", *[markup.trimmed(F.coalesce(c, F.lit(""))).alias(c) for c in fields])
+    place = [c for c in ("file", "line") if c in rows.columns]
+    fields = [c for c in rows.columns if c not in place]
+    clean = rows.select(*place, *[markup.trimmed(F.coalesce(c, F.lit(""))).alias(c) for c in fields])
     filled = clean.where(F.concat(*[F.col(c) for c in fields]) != "")
     named = filled.withColumnRenamed("domain", "raw_domain").withColumn("domain", urls.normalize_domain(F.col("raw_domain")))
-    # One first line per domain, joined back on (domain, line): a domain repeated on many lines stays one row per task.
-    first = named.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.min("line").alias("line")).withColumn("_first", F.lit(True))
-    marked = named.join(first, ["domain", "line"], "left")
+    # One first line per domain, joined back on domain and place: a domain repeated on many lines stays one row per task.
+    first = named.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.min(F.struct(*place)).alias("_at")).select("domain", "_at.*", F.lit(True).alias("_first"))
+    marked = named.join(first, ["domain", *place], "left")
     flagged = marked.withColumn("repeated", F.col("domain").isNotNull() & F.col("_first").isNull()).drop("_first")
     return flagged.withColumn("errors", _errors(required, label_set, F.lit(today))).drop("raw_domain", "repeated")
 
 
 def error_rows(validated: DataFrame) -> DataFrame:
-    """(line, error) for every error found."""
-    return validated.select("line", F.explode("errors").alias("error"))
+    """(line, error) for every error found, with the file where there are several."""
+    return validated.select(*[c for c in ("file", "line") if c in validated.columns], F.explode("errors").alias("error"))
 
 
 def overlap(positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -83,8 +89,8 @@ def overlap(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     return positives.select("domain").intersect(negatives.select("domain"))
 
 
-def label_rows(validated: DataFrame, label_set: str) -> DataFrame:
-    """Validated rows in the shape of the labels table."""
+def label_rows(validated: DataFrame, label_set: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Validated rows in the shape of the labels table, with the columns to keep."""
 
     def optional(name: str) -> Column:
         return F.nullif(F.col(name), F.lit("")) if name in validated.columns else F.lit(None).cast("string")
@@ -98,6 +104,7 @@ def label_rows(validated: DataFrame, label_set: str) -> DataFrame:
         optional("quote").alias("quote"),
         "added_by",
         "added_at",
+        *keep,
     )
 
 
