@@ -30,14 +30,14 @@ def exact(rows):
     return out
 
 
-def later_lines(rows, t=0.8):
-    """For each id the numbers of its lines that an earlier line matches."""
-    lines = sorted({(order(k), n, frozenset(words(line))) for k, text in rows for n, line in enumerate((text or "").split("\n")) if words(line)}, key=lambda x: x[:2])
+def later_lines(rows, rank, t=0.8):
+    """For each different row (id, text) with a line its number of lines and those that an earlier line matches; `rank` orders texts of one id."""
+    lines = sorted({(order(k), rank(text), n, frozenset(words(line)), k, text) for k, text in rows for n, line in enumerate((text or "").split("\n")) if words(line)}, key=lambda x: x[:3])
     out = {}
-    for i, (k, n, s) in enumerate(lines):
-        hit = any((k2, n2) < (k, n) and len(s & s2) >= t * len(s | s2) - 1e-9 for k2, n2, s2 in lines[:i])
-        out.setdefault(k, {})[n] = hit
-    return {k: (len(v), [n for n, hit in sorted(v.items()) if hit]) for k, v in out.items()}
+    for i, (k, d, n, s, *row) in enumerate(lines):
+        hit = any(x[:3] < (k, d, n) and len(s & x[3]) >= t * len(s | x[3]) - 1e-9 for x in lines[:i])
+        out.setdefault(tuple(row), {})[n] = hit
+    return {row: (len(v), [n for n, hit in sorted(v.items()) if hit]) for row, v in out.items()}
 
 
 def repeats(rows, size=20):

@@ -22,16 +22,28 @@ def test_exact_prefers_the_longest_text(documents):
     assert got == {1: (2, 3, False), 2: (2, 3, True), 3: (2, 3, False), 4: (5, 2, False), 5: (5, 2, True)}
 
 
+def text_ranks(spark, rows):
+    """The hash that orders different texts of one id."""
+    texts = spark.createDataFrame([(t or "",) for _, t in rows], "text string").distinct()
+    return {r.text: r.d for r in texts.select("text", F.xxhash64("text").alias("d")).collect()}
+
+
 @pytest.mark.parametrize("cells", [1, 1 << 10])
-def test_lines_equal_brute_force(documents, cells):
+def test_lines_equal_brute_force(documents, shared, cells):
     rows = brute.corpus(2)
-    want = {LAST_ID if k[0] else k[1]: v for k, v in brute.later_lines(rows).items()}
-    # Rows without an id count as one: their lines are told apart by place alone, so only one of them is given.
-    rows = [r for r in rows if r != (None, None)]
-    got = {r.k: (r.n_lines, r.removed) for r in line_dedup.removed_lines(documents(rows), cells=cells).collect()}
+    rows += [(7, "keep me please now\n" + (rows[20][1] or "x y")), (7, "another text of id 7\nkeep me please"), (None, "a b c d\nuniq one two three"), (None, "other words here now\na b c d"), (1, "a b c d")]
+    ranks = text_ranks(shared, rows)
+    want = {(LAST_ID if k is None else k, ranks[t or ""]): v for (k, t), v in brute.later_lines(rows, lambda t: ranks[t or ""]).items()}
+    got = {(r.k, r.d): (r.n_lines, r.removed) for r in line_dedup.removed_lines(documents(rows), cells=cells).collect()}
     assert got == want
 
 
+def test_rows_without_an_id_and_rows_of_one_id_lose_only_repeated_lines(documents):
+    rows = [(None, "a b c d\nuniq one two three"), (None, "other words here now\na b c d"), (1, "a b c d"), (7, "keep me please now\nx"), (7, "a b c d\nlast words stay here")]
+    got = sorted(r.text for r in line_dedup.line_dedup(documents(rows)).collect())
+    assert got == sorted(["uniq one two three", "other words here now", "a b c d", "keep me please now\nx", "last words stay here"])
+
+
 def test_line_filters_lose_no_match_at_the_border(documents):
     base = [f"t{i}" for i in range(9)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:8], "x"])), (3, " ".join([*base[:7], "y", "z"])), (4, " ".join(base[:8])), (5, "a b c d"), (6, "a b c d e"), (7, "a b c"), (8, "e d c b a")]

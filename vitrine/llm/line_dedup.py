@@ -34,8 +34,12 @@ from vitrine.session import materialize
 #: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
 CELLS = 1 << 18
 EPS = 1e-9
+#: A line's place: its document's id, a hash of the document's text, which tells rows of one id apart, and its number.
+PLACE = ["k", "d", "no"]
 
 
+def _second(columns: list[str]) -> list[str]:
+    return [c + "2" for c in columns]
 
 
 def _rarity(texts: DataFrame, cells: int) -> np.ndarray:
@@ -73,19 +77,19 @@ def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarr
 
 
 def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
-    """(k, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
+    """(k, d, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
     rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, cells))  # `cells` numbers
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            places = [(k, no, line) for k, text in zip(b["k"], b["text"], strict=True) for no, line in enumerate(text.encode().split(b"\n")) if line.strip()]
+            places = [(k, d, no, line) for k, d, text in zip(b["k"], b["d"], b["text"], strict=True) for no, line in enumerate(text.encode().split(b"\n")) if line.strip()]
             if places:
-                k, no, lines = zip(*places, strict=True)
+                k, d, no, lines = zip(*places, strict=True)
                 n, bits, more, prefix = prefixes(list(lines), rarity.value, t)
-                yield pd.DataFrame({"k": k, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "more": more, "prefix": prefix})
+                yield pd.DataFrame({"k": k, "d": d, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "more": more, "prefix": prefix})
 
-    rows = texts.mapInPandas(keyed, "k long, no int, h binary, n int, bits long, more long, prefix array<long>")
-    return rows.groupBy("h").agg(F.min(F.struct("k", "no", "n", "bits", "more", "prefix")).alias("line")).select("line.*")
+    rows = texts.mapInPandas(keyed, "k long, d long, no int, h binary, n int, bits long, more long, prefix array<long>")
+    return rows.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "more", "prefix")).alias("line")).select("line.*")
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -94,74 +98,75 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
 
 
 def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
-    """Rows (k, no, k2, no2) of prefix entries of different lines, the first one earlier, that pass every filter."""
+    """Rows (k, d, no, k2, d2, no2) of prefix entries of different lines, the first one earlier, that pass every filter."""
     probe = later.select(*[F.col(c).alias(c + "2") for c in index.columns])
     need = _least_overlap(F.col("n"), F.col("n2"), t)
     differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
     met = (
         (F.col("key") == F.col("key2"))
-        & ((F.col("k") < F.col("k2")) | ((F.col("k") == F.col("k2")) & (F.col("no") < F.col("no2"))))
+        & (F.struct(*PLACE) < F.struct(*[F.col(c + "2").alias(c) for c in PLACE]))
         & (F.least("n", "n2") >= F.greatest("n", "n2") * t - EPS)
         & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
         & (differ <= F.col("n") + F.col("n2") - 2 * need)
     )
-    return index.join(probe, met).select("k", "no", "k2", "no2")
+    return index.join(probe, met).select(*PLACE, *_second(PLACE))
 
 
 def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, no, words) of the wanted (k, no): documents meet the short list of their wanted lines, not the other way round."""
-    lists = materialize(wanted.groupBy("k").agg(F.collect_set("no").alias("nos")), "line-lists")
-    found = docs_text.where(maybe_in("k", lists.select("k"))).join(lists, "k").select("k", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
+    """(k, d, no, words) of the wanted (k, d, no): documents meet the short list of their wanted lines, not the other way round."""
+    lists = materialize(wanted.groupBy("k", "d").agg(F.collect_set("no").alias("nos")), "line-lists")
+    found = docs_text.where(maybe_in("d", lists.select("d"))).join(lists, ["k", "d"]).select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
     # Rows that repeat an id and its text repeat their lines.
-    return found.select("k", "no", F.array_distinct(words_of(F.col("line"))).alias("words"))
+    return found.select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words"))
 
 
 def _alike(docs_text: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """Of the pairs those whose lines have the similarity, by their words."""
-    ends = pairs.select("k", "no").union(pairs.select(F.col("k2").alias("k"), F.col("no2").alias("no")))
-    words = materialize(_fetch(docs_text, ends), "line-words").dropDuplicates(["k", "no", "words"])
-    other = words.select(*[F.col(c).alias(c + "2") for c in ("k", "no", "words")])
+    ends = pairs.select(*PLACE).union(pairs.select(*_second(PLACE)).toDF(*PLACE))
+    words = materialize(_fetch(docs_text, ends), "line-words").dropDuplicates([*PLACE, "words"])
+    other = words.toDF(*_second([*PLACE, "words"]))
     common = F.size(F.array_intersect("words", "words2"))
-    both = pairs.join(words, ["k", "no"]).join(other, ["k2", "no2"])
-    return both.where(common >= (F.size("words") + F.size("words2") - common) * t - EPS).select("k", "no", "k2", "no2").distinct()
+    both = pairs.join(words, PLACE).join(other, _second(PLACE))
+    return both.where(common >= (F.size("words") + F.size("words2") - common) * t - EPS).select(*PLACE, *_second(PLACE)).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
-    """One row per id that has a line with a word: k (the id, null as the largest), n_lines, n_removed, removed (line numbers from 0).
+    """One row per id and text that have a line with a word: k (the id, null as the largest), d (a hash of the text), n_lines,
+    n_removed, removed (line numbers from 0).
 
     Lines end at line feeds; their sets are of the words between blanks, unchanged. A line is removed if an
-    earlier line (smaller id, or the same id and a smaller number) of the input has a Jaccard similarity of
-    `similarity` or more with it, whether or not that line is removed itself. Lines without words are no lines
-    here: they match nothing and stay. Rows that repeat an id hold the same lines at the same place, so
-    neither is later than the other; null ids count as one id after all others.
+    earlier line of the input has a Jaccard similarity of `similarity` or more with it, whether or not that line is
+    removed itself. Earlier is the smaller id, then the smaller hash of the text, then the smaller number. Lines without words
+    are no lines here: they match nothing and stay. Rows that repeat an id and its text are one document; rows of
+    one id with other texts are documents of their own, in the order of their hashes; null ids come after all others.
     """
     t = similarity
     small_batches(docs.sparkSession)
-    docs_text = docs.select(id_key(id_col).alias("k"), text_or_empty(text_col).alias("text"))
-    lines = docs_text.select("k", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    docs_text = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_or_empty(text_col)).alias("d"), text_or_empty(text_col).alias("text"))
+    lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
     first = materialize(_first_lines(docs_text, t, cells), "line-firsts")
-    index = first.select("k", "no", "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
+    index = first.select(*PLACE, "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
 
     # One earlier match is enough: every line is held against the earliest line that passes the filters, so a
     # family of thousands of like lines costs one pair for each of them.
-    earliest = _met(index, index, t).groupBy("k2", "no2").agg(F.min(F.struct("k", "no")).alias("at")).select("at.k", "at.no", "k2", "no2")
+    earliest = _met(index, index, t).groupBy(*_second(PLACE)).agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", *_second(PLACE))
     tried = materialize(earliest, "line-pairs")
-    found = materialize(_alike(docs_text, tried, t), "line-alike").select("k2", "no2")
+    found = materialize(_alike(docs_text, tried, t), "line-alike").select(*_second(PLACE))
     # The lines that this has refused are held against all.
-    still = materialize(tried.join(found, ["k2", "no2"], "left_anti").select(F.col("k2").alias("k"), F.col("no2").alias("no")), "line-still")
+    still = materialize(tried.join(found, _second(PLACE), "left_anti").select(*_second(PLACE)).toDF(*PLACE), "line-still")
     if not still.isEmpty():
-        later = materialize(index.join(still.hint("merge"), ["k", "no"], "left_semi").select(*index.columns), "line-later")
+        later = materialize(index.join(still.hint("merge"), PLACE, "left_semi").select(*index.columns), "line-later")
         rest = _met(index.where(maybe_in("key", later.select("key"), 1 << 22)), later, t).distinct()
-        rest = materialize(rest.join(tried, ["k", "no", "k2", "no2"], "left_anti"), "line-pairs")
-        found = found.unionByName(_alike(docs_text, rest, t).select("k2", "no2"))
-    matched = found.select(F.struct(F.col("k2").alias("k"), F.col("no2").alias("no")).alias("at")).distinct().withColumn("later", F.lit(True))
+        rest = materialize(rest.join(tried, [*PLACE, *_second(PLACE)], "left_anti"), "line-pairs")
+        found = found.unionByName(_alike(docs_text, rest, t).select(*_second(PLACE)))
+    matched = found.toDF(*PLACE).select(F.struct(*PLACE).alias("at")).distinct().withColumn("later", F.lit(True))
 
-    occurrences = materialize(lines.select("k", "no", F.unhex(F.md5("line")).alias("h")), "line-places")
-    firsts = occurrences.groupBy("h").agg(F.min(F.struct("k", "no")).alias("at"))
+    occurrences = materialize(lines.select(*PLACE, F.unhex(F.md5("line")).alias("h")), "line-places")
+    firsts = occurrences.groupBy("h").agg(F.min(F.struct(*PLACE)).alias("at"))
     firsts = materialize(firsts.join(matched, "at", "left").select("h", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-firsts")
-    judged = occurrences.join(firsts, "h").select("k", "no", (F.col("later") | (F.col("at") != F.struct("k", "no"))).alias("out")).distinct()
-    return judged.groupBy("k").agg(
+    judged = occurrences.join(firsts, "h").select(*PLACE, (F.col("later") | (F.col("at") != F.struct(*PLACE))).alias("out")).distinct()
+    return judged.groupBy("k", "d").agg(
         F.count("*").alias("n_lines"),
         F.count_if("out").alias("n_removed"),
         F.sort_array(F.collect_list(F.when(F.col("out"), F.col("no")))).alias("removed"),
@@ -173,8 +178,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. See `removed_lines` for what is removed.
     """
-    out = materialize(removed_lines(docs, id_col, text_col, similarity, cells).where("n_removed > 0").select("k", "removed"), "line-removed")
-    some, others = join_touched(docs, id_key(id_col), out)
+    # Of a row without an id or a text the place is the same as in `removed_lines`.
+    place = F.struct(id_key(id_col).alias("k"), F.xxhash64(text_or_empty(text_col)).alias("d"))
+    out = materialize(removed_lines(docs, id_col, text_col, similarity, cells).where("n_removed > 0").select(F.struct("k", "d").alias("k"), "removed"), "line-removed")
+    some, others = join_touched(docs, place, out)
     joined = some.join(out.select(F.struct("k", "removed").alias("_out")), F.col("_k") == F.col("_out.k"), "left")
     gone = lambda no: F.coalesce(F.array_contains("_out.removed", no), F.lit(False))
     kept = F.array_join(F.filter(F.split(F.col(f"_row.`{text_col}`"), "\n"), lambda line, no: ~gone(no)), "\n")
