@@ -50,7 +50,7 @@ def test_memo_starts_anew(monkeypatch, reference):
 
 
 def test_word_tokenizer_equals_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 50)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 5000)
     t = Tokenizer.from_file(WORDS)
     t.encode_special_tokens = True
     w = packing.WordTokenizer(WORDS)

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers before it starts anew; about 200 bytes each.
-MEMO = 500_000
+from vitrine.llm.memo import Memo
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
-_MEMO: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -18,18 +17,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _signed_hash(word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+#: The hashes that a worker remembers.
+_MEMO = Memo(_signed_hash)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    try:
-        return np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words)).view(np.uint64)
-    except KeyError:
-        new = {w for w in words if w not in _MEMO}
-    if len(_MEMO) + len(new) > MEMO:
-        _MEMO.clear()
-        new = set(words)
-    for w in new:
-        h = xxhash.xxh64_intdigest(w)
-        _MEMO[w] = h - (1 << 64) if h >> 63 else h
-    return np.fromiter(map(_MEMO.__getitem__, words), np.int64, len(words)).view(np.uint64)
+    return np.fromiter(_MEMO.many(words), np.int64, len(words)).view(np.uint64)
 
 
 def run_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

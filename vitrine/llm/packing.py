@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.batches import small_batches
+from vitrine.llm.memo import Memo
 from vitrine.llm.words import text_or_empty
 from vitrine.session import shared_dir
 
-#: Words that a worker remembers before it starts anew; about 250 bytes each.
-MEMO = 800_000
+#: Bytes of each of the two generations of words that a worker remembers.
+MEMO_BYTES = 64 << 20
 #: Windows that one task of a merging round reads.
 MERGE = 2048
 # The vocabulary's own split pattern, with its character classes spelled out for Latin-1.
@@ -43,7 +44,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Ids of whole texts through bounded memos of words and of their pre-tokens.
+    """Ids of whole texts through one memo of words and pre-tokens, bounded in bytes.
 
     The vocabulary's normaliser folds white space to single spaces that no pre-token crosses, so a text's ids
     are those of its words, one after the other. Words are cut at ASCII white space; any other kind stays
@@ -62,37 +63,24 @@ class WordTokenizer:
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        if (found := self.parts.get(part)) is None:
-            if len(self.parts) >= MEMO:
-                self.parts.clear()
-            shown = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<i4").tobytes()
-        return found
-
-    def _word(self, word: bytes) -> bytes:
+        self.words = Memo(self._ids, MEMO_BYTES)
+
+    def _ids(self, word: bytes) -> bytes:
         text = word.decode()
         if text.isascii() or max(text) <= "\xff":
-            return b"".join([self._part(p) for p in SPLIT.findall(text.lower())])
+            low = text.lower()
+            parts = SPLIT.findall(low)
+            if parts == [text]:
+                shown = word.decode("latin-1").translate(self.letters)
+                return np.array([t.id for t in self.model.tokenize(shown)], "<i4").tobytes()
+            # A pre-token is a word of its own and has the same ids there.
+            return b"".join([self.words.one(p.encode()) for p in parts])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if self.added and any(x in low for low in (text.lower(),) for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
-        listed, memo = text.encode().split(), self.words
-        try:
-            return np.frombuffer(b"".join([memo[w] for w in listed]), "<i4")
-        except KeyError:
-            new = {w for w in listed if w not in memo}
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = set(listed)
-        for w in new:
-            memo[w] = self._word(w)
-        return np.frombuffer(b"".join([memo[w] for w in listed]), "<i4")
+        return np.frombuffer(b"".join(self.words.many(text.encode().split())), "<i4")
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
