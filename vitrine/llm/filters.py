@@ -12,7 +12,7 @@ def bit(n: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.bitwiseAND(63).cast("int"))
 
 
-def maybe_in(column: str, known: DataFrame, bits: int = 1 << 20) -> Column:
+def maybe_in(column: str | Column, known: DataFrame, bits: int = 1 << 20) -> Column:
     """False only where `column` is not among the values of `known`, a table of one column.
 
     The bitmap is gathered by an aggregate and reaches the tasks as one scalar of bits / 8 bytes, whatever the

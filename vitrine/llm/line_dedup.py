@@ -34,7 +34,7 @@ from vitrine.session import materialize
 #: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
 CELLS = 1 << 18
 EPS = 1e-9
-#: A line's place: its document's id, a hash of the document's text, which tells rows of one id apart, and its number.
+#: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
 
 
@@ -51,10 +51,10 @@ def _rarity(texts: DataFrame, cells: int) -> np.ndarray:
     return np.minimum(cell_totals(texts, count, cells), 2**20 - 1).astype(np.uint64)
 
 
-def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For lines with a word each: the number of different words, two signatures, and the keys of the prefix.
+def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For lines with a word each: the number of different words, a signature, and the keys of the prefix.
 
-    A key is 20 bits of rarity over 43 bits of hash. The signatures hold half of the words in 128 bits: a bit
+    A key is 20 bits of rarity over 43 bits of hash. The signature holds half of the words in 64 bits: a bit
     in which two lines differ stands for a word that one of them lacks.
     """
     listed = [line.split() for line in lines]
@@ -69,15 +69,14 @@ def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarr
     n = np.bincount(line, minlength=len(lines))
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     bit = np.where(keys & np.uint64(0x80), np.uint64(0), np.uint64(1) << (keys & np.uint64(63)))
-    upper = (keys & np.uint64(0x40)).astype(bool)
-    bits, more = (np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (~upper, upper))
+    bits = np.bitwise_or.reduceat(bit, starts).view(np.int64)
     length = n - np.ceil(n * t - EPS).astype(np.int64) + 1
     first = np.arange(len(keys)) - starts[line] < length[line]
-    return n, bits, more, np.split(keys[first].view(np.int64), np.cumsum(length)[:-1])
+    return n, bits, np.split(keys[first].view(np.int64), np.cumsum(length)[:-1])
 
 
 def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
-    """(k, d, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
+    """(k, d, no, n, bits, prefix): of lines that are equal byte for byte the earliest."""
     rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, cells))  # `cells` numbers
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,11 +84,11 @@ def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
             places = [(k, d, no, line) for k, d, text in zip(b["k"], b["d"], b["text"], strict=True) for no, line in enumerate(text.encode().split(b"\n")) if line.strip()]
             if places:
                 k, d, no, lines = zip(*places, strict=True)
-                n, bits, more, prefix = prefixes(list(lines), rarity.value, t)
-                yield pd.DataFrame({"k": k, "d": d, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "more": more, "prefix": prefix})
+                n, bits, prefix = prefixes(list(lines), rarity.value, t)
+                yield pd.DataFrame({"k": k, "d": d, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "prefix": prefix})
 
-    rows = texts.mapInPandas(keyed, "k long, d long, no int, h binary, n int, bits long, more long, prefix array<long>")
-    return rows.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "more", "prefix")).alias("line")).select("line.*")
+    rows = texts.mapInPandas(keyed, "k long, d long, no int, h binary, n int, bits long, prefix array<long>")
+    return rows.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "prefix")).alias("line")).select("line.*")
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -101,7 +100,7 @@ def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
     """Rows (k, d, no, k2, d2, no2) of prefix entries of different lines, the first one earlier, that pass every filter."""
     probe = later.select(*[F.col(c).alias(c + "2") for c in index.columns])
     need = _least_overlap(F.col("n"), F.col("n2"), t)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
+    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))
     met = (
         (F.col("key") == F.col("key2"))
         & (F.struct(*PLACE) < F.struct(*[F.col(c + "2").alias(c) for c in PLACE]))
@@ -115,7 +114,7 @@ def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
 def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
     """(k, d, no, words) of the wanted (k, d, no): documents meet the short list of their wanted lines, not the other way round."""
     lists = materialize(wanted.groupBy("k", "d").agg(F.collect_set("no").alias("nos")), "line-lists")
-    found = docs_text.where(maybe_in("d", lists.select("d"))).join(lists, ["k", "d"]).select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
+    found = docs_text.where(maybe_in(F.xxhash64("k", "d"), lists.select(F.xxhash64("k", "d")))).join(lists, ["k", "d"]).select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
     # Rows that repeat an id and its text repeat their lines.
     return found.select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words"))
 
@@ -130,9 +129,16 @@ def _alike(docs_text: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return both.where(common >= (F.size("words") + F.size("words2") - common) * t - EPS).select(*PLACE, *_second(PLACE)).distinct()
 
 
+def _apart(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash of the text for rows whose id may stand on different texts, 0 for all others, whose lines are then narrower rows."""
+    text = F.xxhash64(text_or_empty(text_col))
+    several = docs.select(id_key(id_col).alias("k"), text.alias("d")).groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
+    return F.when(maybe_in(id_key(id_col), several.select("k")), text).otherwise(F.lit(0).cast("long"))
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
-    """One row per id and text that have a line with a word: k (the id, null as the largest), d (a hash of the text), n_lines,
-    n_removed, removed (line numbers from 0).
+    """One row per id and text that have a line with a word: k (the id, null as the largest), d (a hash that tells the texts
+    of one id apart), n_lines, n_removed, removed (line numbers from 0).
 
     Lines end at line feeds; their sets are of the words between blanks, unchanged. A line is removed if an
     earlier line of the input has a Jaccard similarity of `similarity` or more with it, whether or not that line is
@@ -140,13 +146,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are no lines here: they match nothing and stay. Rows that repeat an id and its text are one document; rows of
     one id with other texts are documents of their own, in the order of their hashes; null ids come after all others.
     """
-    t = similarity
     small_batches(docs.sparkSession)
-    docs_text = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_or_empty(text_col)).alias("d"), text_or_empty(text_col).alias("text"))
+    return _removed(docs.select(id_key(id_col).alias("k"), _apart(docs, id_col, text_col).alias("d"), text_or_empty(text_col).alias("text")), similarity, cells)
+
+
+def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
+    """`removed_lines` of documents (k, d, text)."""
     lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
     first = materialize(_first_lines(docs_text, t, cells), "line-firsts")
-    index = first.select(*PLACE, "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
+    index = first.select(*PLACE, "n", "bits", F.posexplode("prefix").alias("pos", "key"))
 
     # One earlier match is enough: every line is held against the earliest line that passes the filters, so a
     # family of thousands of like lines costs one pair for each of them.
@@ -178,9 +187,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. See `removed_lines` for what is removed.
     """
-    # Of a row without an id or a text the place is the same as in `removed_lines`.
-    place = F.struct(id_key(id_col).alias("k"), F.xxhash64(text_or_empty(text_col)).alias("d"))
-    out = materialize(removed_lines(docs, id_col, text_col, similarity, cells).where("n_removed > 0").select(F.struct("k", "d").alias("k"), "removed"), "line-removed")
+    small_batches(docs.sparkSession)
+    apart = _apart(docs, id_col, text_col)
+    docs_text = docs.select(id_key(id_col).alias("k"), apart.alias("d"), text_or_empty(text_col).alias("text"))
+    place = F.struct(id_key(id_col).alias("k"), apart.alias("d"))
+    out = materialize(_removed(docs_text, similarity, cells).where("n_removed > 0").select(F.struct("k", "d").alias("k"), "removed"), "line-removed")
     some, others = join_touched(docs, place, out)
     joined = some.join(out.select(F.struct("k", "removed").alias("_out")), F.col("_k") == F.col("_out.k"), "left")
     gone = lambda no: F.coalesce(F.array_contains("_out.removed", no), F.lit(False))
