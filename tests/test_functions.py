@@ -43,10 +43,10 @@ def test_normalize_domain(spark, raw, domain):
     assert one(spark, raw, urls.normalize_domain) == domain
 
 
-BASES = ["https://shop.example/a/b/c", "https://shop.example", "https://shop.example/", "https://shop.example/a/?q=1#f"]
+BASES = ["https://shop.example/a/b/c", "https://shop.example", "https://shop.example/", "https://shop.example/a/?q=1#f", "https://shop.example/a//b//c", "https://shop.example/x"]
 HREFS = [
     "", "x", "./x", "../x", "../../../x", "/x/../y", "/x/./y/", "//cdn.example/z", "https://other.example/a/../b",
-    "?p=2", "#top", "x/", "..", ".", "a//b", "mailto:a@b.c", "x?y=../z", "/",
+    "?p=2", "#top", "x/", "..", ".", "a//b", "/a//b", "/a//../b", "/..//x", "/a/..", "/a/./", "..//x", "./", "a/../..", "mailto:a@b.c", "x?y=../z", "/",
 ]
 
 

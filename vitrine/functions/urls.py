@@ -63,18 +63,21 @@ def resolve_url(base: Column, href: Column) -> Column:
     query = F.when(query == "?", "").otherwise(query)
     fragment = F.when(fragment == "#", "").otherwise(fragment)
 
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
-    parts = F.filter(F.split(whole, "/"), lambda p: (p != "") & (p != "."))
+    # Empty segments inside a path stay where it begins with a slash; a relative reference drops them from the whole.
+    from_base = F.split(F.regexp_replace(base_path, r"(.)/[^/]+$|^/[^/]+$", "$1"), "/")
+    joined = F.concat(from_base, F.split(path, "/"))
+    inner = F.filter(F.slice(joined, F.lit(2), F.size(joined) - 2), lambda p: p != "")
+    segments = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.concat(F.slice(joined, 1, 1), inner, F.slice(joined, -1, 1)))
     kept = F.aggregate(
-        parts,
+        segments,
         F.array().cast("array<string>"),
-        lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
-            F.concat(acc, F.array(p))
-        ),
+        lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(p == ".", acc)
+        .otherwise(F.concat(acc, F.array(p))),
     )
-    as_folder = whole.rlike(r"(?:^|/)\.{0,2}$") & (F.size(kept) > 0)
-    clean_path = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(as_folder, "/").otherwise(""))
+    dots = F.element_at(segments, -1).isin(".", "..")
+    shown = F.array_join(F.when(dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    clean_path = F.when(shown.startswith("/"), shown).otherwise(F.concat(F.lit("/"), shown))
 
     return (
         F.when(href == "", base)

@@ -269,14 +269,14 @@ def first_anchor(spark, sf):
 @query(
     "resolve_links",
     f"""WITH {SF}, {TAGS}, {_CTE_ANCHORS}
-        SELECT page_ord, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN {_ROOT} || href END AS resolved
-        FROM (SELECT page_ord, url, row_number() OVER (PARTITION BY page_ord ORDER BY pos) AS pos, href FROM anchors)
-        WHERE NOT starts_with(href, '.')""",
+        SELECT page_ord, pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN {_ROOT} || href
+          WHEN starts_with(href, '../') THEN {_ROOT} || '/' || array_to_string(list_concat(folders[1:greatest(len(folders) - 1, 0)], [substr(href, 4)]), '/') END AS resolved
+        FROM (SELECT *, list_filter(CASE WHEN path[-1] <> '' THEN path[1:len(path) - 1] ELSE path END, lambda x: x <> '') AS folders
+          FROM (SELECT page_ord, url, row_number() OVER (PARTITION BY page_ord ORDER BY pos) AS pos, href, string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path FROM anchors))""",
 )
 def resolve_links(spark, sf):
     rows = values.exploded(extracted(spark, sf), ["page_ord", "url"], "anchors", "href", "pos")
-    kept = rows.where(~F.col("href").startswith("."))
-    return kept.select("page_ord", (F.col("pos") + 1).cast("long").alias("pos"), urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
+    return rows.select("page_ord", (F.col("pos") + 1).cast("long").alias("pos"), urls.resolve_url(F.col("url"), F.col("href")).alias("resolved"))
 
 
 @query(
