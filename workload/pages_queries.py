@@ -394,9 +394,9 @@ def review_rollup(spark, sf):
 
 @query(
     "review_endpoint",
-    f"""WITH p AS (SELECT page_id, {DOMAIN_SQL} AS domain, 'https://api.vendor.example/count/' || (page_id % 40) AS endpoint, page_id % 3 AS variant FROM pages),
+    f"""WITH p AS (SELECT page_id, {DOMAIN_SQL} AS domain, 'https://api.vendor.example/count/' || page_id AS endpoint, page_id % 3 AS variant FROM pages),
         v AS (SELECT domain, arg_min(endpoint, page_id) FILTER (variant = 0) AS endpoint FROM p GROUP BY 1),
-        b AS (SELECT 'https://api.vendor.example/count/' || page_id AS endpoint, length(url) AS n FROM pages WHERE page_id < 40 AND page_id % 4 <> 1)
+        b AS (SELECT 'https://api.vendor.example/count/' || page_id AS endpoint, length(url) AS n FROM pages WHERE page_id % 4 <> 1)
         SELECT v.domain, 'acme' AS vendor, b.n AS review_count, CASE WHEN b.n IS NOT NULL THEN v.endpoint END AS source_url,
           CASE WHEN b.n IS NOT NULL THEN 'json_endpoint_referenced_in_page' ELSE 'not_available' END AS method
         FROM v LEFT JOIN b ON b.endpoint = v.endpoint""",
@@ -404,12 +404,12 @@ def review_rollup(spark, sf):
 def review_endpoint(spark, sf):
     pages = storefront_pages(spark, sf)
     i = F.col("page_ord")
-    address = F.concat(F.lit("api.vendor.example/count/"), (i % 40).cast("string"))
+    address = F.concat(F.lit("api.vendor.example/count/"), i.cast("string"))
     shown = F.when(i % 3 == 0, F.concat(F.lit('<i data-acme="https://'), address, F.lit('"></i>'))).otherwise(
         F.concat(F.lit('<i data-acme="1" class="'), address, F.lit('"></i>'))
     )
     seen = extraction.extract(pages.withColumn("html", F.concat(shown, F.col("html"))))
-    answers = pages.where(i < 40).select(
+    answers = pages.select(
         F.concat(F.lit("https://api.vendor.example/count/"), i.cast("string")).alias("url"),
         F.when(i % 4 == 1, 503).otherwise(200).alias("status"),
         F.concat(F.lit('{"total": "'), F.length("url").cast("string"), F.lit('"}')).alias("body"),

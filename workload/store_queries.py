@@ -137,11 +137,11 @@ _CAPS = ["b2b_wholesale", "multistore_sync", "launch_scheduling", "discount_logi
 
 
 def matches(spark, sf):
-    """High-discount line items as app matches of their store: supplier as app, capability by supplier, verified by status."""
+    """Every line item as an app match of its store: supplier as app, verified by status, capability by supplier, that of most items one that counts nothing."""
     owner = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf, "lineitem").where((F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 40))
-    capability = F.element_at(F.array(*[F.lit(c) for c in _CAPS]), (F.col("l_suppkey") % 8 + 1).cast("int"))
-    return lines.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    strained = (F.col("l_discount") >= 0.09) & (F.col("l_quantity") >= 40)
+    capability = F.when(strained, F.element_at(F.array(*[F.lit(c) for c in _CAPS]), (F.col("l_suppkey") % 8 + 1).cast("int"))).otherwise("checkout_customization")
+    return table(spark, sf, "lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("domain"),
         F.concat(F.lit("app"), F.col("l_suppkey").cast("string")).alias("key"),
         capability.alias("capability"),
@@ -149,9 +149,9 @@ def matches(spark, sf):
     )
 
 
-_CAP_SQL = "CASE l_suppkey % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CAPS)) + " END"
+_CAP_SQL = "CASE WHEN l_discount < 0.09 OR l_quantity < 40 THEN 'checkout_customization' " + " ".join(f"WHEN l_suppkey % 8 = {i} THEN '{c}'" for i, c in enumerate(_CAPS)) + " END"
 MATCHES = f"""m AS (SELECT 'c' || o_custkey AS domain, 'app' || l_suppkey AS key, {_CAP_SQL} AS capability, l_linestatus = 'O' AS verified
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_discount >= 0.09 AND l_quantity >= 40),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
   counted AS (SELECT * FROM m WHERE capability <> 'checkout_customization')"""
 
 _FLAG_SQL = ", ".join(f"CAST(coalesce(bool_or(capability = '{c}'), FALSE) AS INTEGER) AS {flag}" for c, flag in features.CAPABILITY_FLAGS.items())
@@ -341,17 +341,17 @@ def panel_sample(spark, sf):
 
 def _groups(spark, sf):
     stores = table(spark, sf, "customer").withColumn("domain", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
-    migrators = stores.where((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") % 10 == 3)).select(
+    migrators = stores.where(F.col("c_mktsegment") == "MACHINERY").select(
         "domain", F.date_format(F.add_months(F.lit("2023-09-01").cast("date"), (F.col("c_custkey") % 7).cast("int")), "yyyy-MM").alias("anchor_month")
     )
-    negatives = stores.where(F.col("c_custkey") % 2 == 1).select("domain")
+    negatives = stores.where(F.col("c_mktsegment") != "MACHINERY").select("domain")
     sizes = products(spark, sf).groupBy("domain").agg(F.count(F.lit(1)).alias("product_count"))
     return migrators, negatives, sizes
 
 
 GROUPS = f"""{PRODUCTS}, sizes AS (SELECT domain, count(*) AS product_count FROM prod GROUP BY 1),
-  mig AS (SELECT 'c' || c_custkey AS domain, strftime(DATE '2023-09-01' + to_months(CAST(c_custkey % 7 AS INTEGER)), '%Y-%m') AS anchor_month FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 10 = 3),
-  neg AS (SELECT 'c' || c_custkey AS domain FROM customer WHERE c_custkey % 2 = 1 AND 'c' || c_custkey NOT IN (SELECT domain FROM mig)),
+  mig AS (SELECT 'c' || c_custkey AS domain, strftime(DATE '2023-09-01' + to_months(CAST(c_custkey % 7 AS INTEGER)), '%Y-%m') AS anchor_month FROM customer WHERE c_mktsegment = 'MACHINERY'),
+  neg AS (SELECT 'c' || c_custkey AS domain FROM customer WHERE c_mktsegment <> 'MACHINERY'),
   med AS (SELECT median(product_count) AS m FROM mig JOIN sizes USING (domain)),
   ctrl AS (SELECT neg.domain, product_count FROM neg JOIN sizes USING (domain), med ORDER BY abs(product_count - m), neg.domain LIMIT 20)"""
 
