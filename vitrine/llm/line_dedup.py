@@ -98,18 +98,23 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
 
 
 def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
-    """Rows (k, d, no, k2, d2, no2) of prefix entries of different lines, the first one earlier, that pass every filter."""
-    probe = later.select(*[F.col(c).alias(c + "2") for c in index.columns])
-    need = _least_overlap(F.col("n"), F.col("n2"), t)
-    differ = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("more2")))
+    """Rows (k, d, no, k2, d2, no2) of prefix entries of different lines, the first one earlier, that pass every filter.
+
+    Both sides are named anew in the same way: where they are one table, their plans are alike and Spark writes one exchange for both.
+    """
+    one, two = (side.select(*[F.col(c).alias(c + end) for c in index.columns]) for side, end in ((index, "1"), (later, "2")))
+    first, second = ([c + end for c in PLACE] for end in ("1", "2"))
+    n, m = F.col("n1"), F.col("n2")
+    need = _least_overlap(n, m, t)
+    differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more1").bitwiseXOR(F.col("more2")))
     met = (
-        (F.col("key") == F.col("key2"))
-        & (F.struct(*PLACE) < F.struct(*[F.col(c + "2").alias(c) for c in PLACE]))
-        & (F.least("n", "n2") >= F.greatest("n", "n2") * t - EPS)
-        & (F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= need)
-        & (differ <= F.col("n") + F.col("n2") - 2 * need)
+        (F.col("key1") == F.col("key2"))
+        & (F.struct(*[F.col(c).alias(p) for c, p in zip(first, PLACE, strict=True)]) < F.struct(*[F.col(c).alias(p) for c, p in zip(second, PLACE, strict=True)]))
+        & (F.least(n, m) >= F.greatest(n, m) * t - EPS)
+        & (F.least(n - F.col("pos1"), m - F.col("pos2")) >= need)
+        & (differ <= n + m - 2 * need)
     )
-    return index.join(probe, met).select(*PLACE, *_second(PLACE))
+    return one.join(two, met).select(*[F.col(c).alias(p) for c, p in zip(first, PLACE, strict=True)], *second)
 
 
 def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
