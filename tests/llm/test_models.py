@@ -204,6 +204,31 @@ def test_copies_in_a_hot_group_find_each_other(documents):
     assert found == {k: 0 if k < 100 else k for k, _ in rows}
 
 
+def test_marks_part_no_linked_pair(documents):
+    """Light and heavy edits of one text, and an id on two of them: what is settled without a pair equals all pairs."""
+    rng = random.Random(11)
+    base = [f"m{i}" for i in range(64)]
+    rows = [(5000, " ".join(f"z{i}" for i in range(30)))]
+    for copy in range(90):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((copy, " ".join(w)))
+    rows.append((5000, " ".join([*base[:40], "alone", *base[40:]])))
+    found = {r.doc_id: r.class_id for r in near_dedup.near_groups(documents(rows), bands=40, rows=2, cells=1 << 12).collect()}
+    df = sum(np.bincount(near_dedup.cell_of(near_dedup.shingles(t, 5)[0], 1 << 12), minlength=1 << 12) for _, t in rows)
+    weights = near_dedup.cell_weights(df, len(rows))
+    vectors = [near_dedup.weigh(t, 5, weights) for _, t in rows]
+    label = {k: k for k, _ in rows}
+    for _ in rows:
+        for i, (a, _) in enumerate(rows):
+            for j in range(i):
+                b = rows[j][0]
+                if label[a] != label[b] and near_dedup.linked(vectors[i], vectors[j], 0.8):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert found == label and len(set(label.values())) > 3
+
+
 def test_sampling_agrees_with_the_similarity():
     rng = np.random.default_rng(1)
     codes = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))

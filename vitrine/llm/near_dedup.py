@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.llm.batches import small_batches
 from vitrine.llm.components import components
-from vitrine.llm.filters import join_touched, maybe_in
+from vitrine.llm.filters import bit, join_touched, maybe_in
 from vitrine.llm.grams import ODD, mix, run_hashes, word_hashes
 from vitrine.llm.words import text_or_empty
 from vitrine.session import materialize
@@ -34,6 +34,9 @@ CELLS = 1 << 18
 #: Frequencies of so many cells travel as one row; tasks of the first summing step.
 PART, SPREAD = 1 << 14, 32
 TABLE = 1 << 16
+#: Words of 64 parities that tell two nodes apart before they are compared; a power of two.
+MARKS = 4
+MARKED = [f"mark{i}" for i in range(MARKS)]
 EPS = 1e-9
 #: More than sums of weights in another order can differ.
 SLACK = 1e-6
@@ -191,6 +194,9 @@ def _reachable(placed: DataFrame, vectors: DataFrame, weights, similarity: float
     shingles, in those that the other one holds too. So a node that has less of both in shingles that occur in
     other components has none: the many heavily edited copies of one text are told apart here, without a pair
     among them.
+
+    `own` and `own_n` are what a node has in shingles that no other component holds, `mark0`, `mark1` and so on the
+    parities of the hashes of its other shingles; see `_may_link`. Ids that stand on several texts have none of these.
     """
 
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,9 +207,33 @@ def _reachable(placed: DataFrame, vectors: DataFrame, weights, similarity: float
                 yield pd.DataFrame({"k": np.full(len(codes), k), "label": np.full(len(codes), label), "code": codes, "part": w, "total": np.full(len(codes), w.sum()), "total_n": np.full(len(codes), len(codes))})
 
     rows = vectors.join(placed, "k").select("k", "label", "codes", "counts").mapInPandas(share, "k long, label long, code long, part double, total double, total_n int")
+    rows = rows.repartition("code")  # once: the aggregate and the join read the same exchange
     shared = rows.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("code")
-    foreign = rows.join(shared, "code", "left_semi").groupBy("k").agg(F.sum("part").alias("foreign"), F.max("total").alias("total"), F.count("*").alias("foreign_n"), F.max("total_n").alias("total_n"))
-    return foreign.where((F.col("foreign") >= similarity * F.col("total") - SLACK) | (F.col("foreign_n") >= similarity * F.col("total_n") - SLACK))
+    place = lambda i: F.when(F.col("code").bitwiseAND(MARKS - 1) == i, bit(F.shiftright("code", 8)))
+    marks = [F.coalesce(F.bit_xor(place(i)), F.lit(0).cast("long")).alias(f"mark{i}") for i in range(MARKS)]
+    sums = [F.sum("part").alias("foreign"), F.max("total").alias("total"), F.count("*").alias("foreign_n"), F.max("total_n").alias("total_n")]
+    foreign = rows.join(shared, "code", "left_semi").groupBy("k").agg(*sums, *marks)
+    able = foreign.where((F.col("foreign") >= similarity * F.col("total") - SLACK) | (F.col("foreign_n") >= similarity * F.col("total_n") - SLACK))
+    one = F.col("texts") == 1
+    known = [F.when(one, F.col(c)).alias(c) for c in MARKED]
+    own = [F.when(one, F.col("total") - F.col("foreign")).alias("own"), F.when(one, F.col("total_n") - F.col("foreign_n")).alias("own_n")]
+    return able.join(vectors.groupBy("k").agg(F.count("*").alias("texts")), "k").select("k", "foreign", "total", "foreign_n", "total_n", *own, *known)
+
+
+def _may_link(similarity: float) -> Column:
+    """Whether two nodes of different components can be linked, by what `_reachable` says of them (the second one's columns end in 2).
+
+    They have no more in common than the lesser of their foreign weights, or of their foreign shingles. And they
+    differ in the own shingles of both and in at least as many others as parities differ, each of weight 1 or more;
+    a link needs a difference of at most (1 - similarity) / (1 + similarity) of both sums.
+    """
+    common, common_n = F.least("foreign", "foreign2"), F.least("foreign_n", "foreign_n2")
+    weight, number = F.col("total") + F.col("total2"), F.col("total_n") + F.col("total_n2")
+    parities = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(c + "2"))) for c in MARKED[1:]), F.bit_count(F.col(MARKED[0]).bitwiseXOR(F.col(MARKED[0] + "2"))))
+    most = (1 - similarity) / (1 + similarity)
+    differ, differ_n = (F.coalesce(F.col(c) + F.col(c + "2") + parities, F.lit(0)) for c in ("own", "own_n"))
+    weighted = (common >= similarity * (weight - common) - SLACK) & (differ <= most * weight + SLACK)
+    return weighted | (common_n >= similarity * (number - common_n) - SLACK) & (differ_n <= most * number + SLACK)
 
 
 def _apart(placed: DataFrame) -> DataFrame:
@@ -261,11 +291,8 @@ def near_groups(
     for _ in range(2):
         able = materialize(_reachable(apart.select("k", "label").distinct(), vectors, weights, similarity), "near-able")
         apart = materialize(_apart(apart.select("band", "k", "label").join(able, "k")), "near-apart")
-    other = apart.select(F.col("band").alias("band2"), F.col("k").alias("b"), F.col("label").alias("label2"), F.col("foreign").alias("foreign2"), F.col("total").alias("total2"), F.col("foreign_n").alias("foreign_n2"), F.col("total_n").alias("total_n2"))
-    # Two nodes have no more in common than the lesser of their foreign weights, or of their foreign shingles.
-    common, common_n = F.least("foreign", "foreign2"), F.least("foreign_n", "foreign_n2")
-    may = (common >= similarity * (F.col("total") + F.col("total2") - common) - SLACK) | (common_n >= similarity * (F.col("total_n") + F.col("total_n2") - common_n) - SLACK)
-    near = (F.col("k") < F.col("b")) & (F.col("label") != F.col("label2")) & may
+    other = apart.select(F.col("k").alias("b"), *[F.col(c).alias(c + "2") for c in apart.columns if c != "k"])
+    near = (F.col("k") < F.col("b")) & (F.col("label") != F.col("label2")) & _may_link(similarity)
     pairs = apart.join(other, (F.col("band") == F.col("band2")) & near).select(F.col("k").alias("a"), "b").distinct()
     pairs = materialize(pairs.join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = _verified(pairs, vectors, weights, similarity)
