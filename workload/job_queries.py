@@ -31,7 +31,7 @@ def feed_of(pages):
             ).alias("products")
         )
     )
-    return pages.where(i % 3 == 0).select(
+    return pages.select(
         "domain", "scan_date", "panel_version", F.lit(1).alias("page"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("skip_reason"), body.alias("body")
     )
 
@@ -51,7 +51,7 @@ _SCAN = f"""{PAGE_CTES},
   marks AS (SELECT domain FROM marks0 SEMI JOIN good USING (domain) UNION SELECT domain FROM hreflang SEMI JOIN good USING (domain)),
   {_review_sql('sfg')},
   rv AS (SELECT domain, max(review_count) AS review_count_max, count(*) FILTER (vendor <> 'none') AS review_vendor_count FROM reviews GROUP BY 1),
-  feed AS (SELECT domain, DATE '{PAGE_DAY}' - CAST(page_ord % 900 AS INTEGER) AS created, page_ord % 50 AS price, page_ord % 2 = 0 AS available, page_ord % 4 AS vendor FROM sfg WHERE page_ord % 3 = 0),
+  feed AS (SELECT domain, DATE '{PAGE_DAY}' - CAST(page_ord % 900 AS INTEGER) AS created, page_ord % 50 AS price, page_ord % 2 = 0 AS available, page_ord % 4 AS vendor FROM sfg),
   cat AS (SELECT domain, count(*) AS product_count, count(*) FILTER (created >= DATE '{PAGE_DAY}' - 365) AS last365,
       count(*) FILTER (created < DATE '{PAGE_DAY}' - 365 AND created >= DATE '{PAGE_DAY}' - 730) AS prior365, count(*) FILTER (created >= DATE '{PAGE_DAY}' - 90) AS last90,
       median(price) AS median_price, avg(CAST(available AS INTEGER)) AS available_share, count(DISTINCT vendor) AS vendor_count FROM feed GROUP BY 1),
