@@ -9,19 +9,22 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from vitrine.llm.scanned import buffers
+
 #: Counts of so many cells travel as one row; tasks of the first summing step.
 PART, SPREAD = 1 << 14, 32
 SCHEMA = "part int, counts binary"
 
 
-def cell_totals(texts: DataFrame, count: Callable[[list[bytes]], np.ndarray], cells: int) -> np.ndarray:
-    """The sum of `count` over the words of every text of (text); a task sends `cells` numbers, whatever it has read."""
+def cell_totals(texts: DataFrame, count: Callable[[bytes], np.ndarray], cells: int) -> np.ndarray:
+    """The sum of `count` over buffers of whole texts of (text), joined by line feeds; a task sends `cells` numbers, whatever it has read."""
     part = min(PART, cells)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(cells, np.int64)
         for b in batches:
-            total += count([w for t in b["text"] for w in t.encode().split()])
+            for some in buffers(b["text"]):
+                total += count(b"\n".join(some))
         rows = [(p, total[p * part : (p + 1) * part].astype("<i8").tobytes()) for p in range(cells // part)]
         yield pd.DataFrame(rows, columns=["part", "counts"]).assign(salt=TaskContext.get().partitionId() % SPREAD)
 

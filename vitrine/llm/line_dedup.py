@@ -21,13 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.llm.batches import small_batches
 from vitrine.llm.counting import cell_totals
 from vitrine.llm.filters import join_touched, maybe_in
-from vitrine.llm.grams import word_hashes
+from vitrine.llm.scanned import buffers, scan
 from vitrine.llm.words import id_key, text_or_empty, words_of
 from vitrine.session import materialize
 
@@ -45,51 +45,67 @@ def _second(columns: list[str]) -> list[str]:
 def _rarity(texts: DataFrame, cells: int) -> np.ndarray:
     """How often the words of each cell occur; `cells` numbers reach the driver."""
 
-    def count(words: list[bytes]) -> np.ndarray:
-        return np.bincount((word_hashes(words) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    def count(text: bytes) -> np.ndarray:
+        return np.bincount((scan(text)[1] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
 
     return np.minimum(cell_totals(texts, count, cells), 2**20 - 1).astype(np.uint64)
 
 
-def prefixes(lines: list[bytes], rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For lines with a word each: the number of different words, two signatures, and the keys of the prefix.
+def prefixes(line: np.ndarray, h: np.ndarray, rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words of hashes h in the lines 0, 1, ..., each with a word: the number of different words, two signatures, and
+    the keys of the prefixes with the length of each line's.
 
     A key is 20 bits of rarity over 43 bits of hash. The signatures hold half of the words in 128 bits: a bit
     in which two lines differ stands for a word that one of them lacks.
     """
-    listed = [line.split() for line in lines]
-    lengths = np.array([len(w) for w in listed])
-    h = word_hashes([w for words in listed for w in words])
     keys = (rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)] << np.uint64(43)) | (h >> np.uint64(21))
-    line = np.repeat(np.arange(len(lines)), lengths)
     order = np.lexsort((h, keys, line))
     h, keys, line = h[order], keys[order], line[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
     keys, line = keys[new], line[new]
-    n = np.bincount(line, minlength=len(lines))
+    n = np.bincount(line)
     starts = np.concatenate([[0], np.cumsum(n)[:-1]])
     bit = np.where(keys & np.uint64(0x80), np.uint64(0), np.uint64(1) << (keys & np.uint64(63)))
     upper = (keys & np.uint64(0x40)).astype(bool)
     bits, more = (np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (~upper, upper))
     length = n - np.ceil(n * t - EPS).astype(np.int64) + 1
     first = np.arange(len(keys)) - starts[line] < length[line]
-    return n, bits, more, np.split(keys[first].view(np.int64), np.cumsum(length)[:-1])
+    return n, bits, more, keys[first].view(np.int64), length
 
 
 def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
     """(k, d, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
     rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, cells))  # `cells` numbers
 
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(ids: np.ndarray, ranks: np.ndarray, held: list[bytes]) -> pa.RecordBatch | None:
+        text = b"\n".join(held)
+        begins, h = scan(text)
+        if not len(h):
+            return None
+        feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+        at, line = np.unique(np.searchsorted(feeds, begins), return_inverse=True)
+        counts = np.array([x.count(b"\n") + 1 for x in held])
+        doc = np.repeat(np.arange(len(held)), counts)[at]
+        no = at - (np.cumsum(counts) - counts)[doc]
+        low, high = np.concatenate([[0], feeds + 1])[at], np.concatenate([feeds, [len(text)]])[at]
+        digests = [hashlib.md5(text[i:j]).digest() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+        n, bits, more, keys, length = prefixes(line, h, rarity.value, t)
+        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(keys))
+        columns = [pa.array(ids[doc]), pa.array(ranks[doc]), pa.array(no.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(more), prefix]
+        return pa.RecordBatch.from_arrays(columns, ["k", "d", "no", "h", "n", "bits", "more", "prefix"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = [(k, d, no, line) for k, d, text in zip(b["k"], b["d"], b["text"], strict=True) for no, line in enumerate(text.encode().split(b"\n")) if line.strip()]
-            if places:
-                k, d, no, lines = zip(*places, strict=True)
-                n, bits, more, prefix = prefixes(list(lines), rarity.value, t)
-                yield pd.DataFrame({"k": k, "d": d, "no": no, "h": [hashlib.md5(x).digest() for x in lines], "n": n, "bits": bits, "more": more, "prefix": prefix})
+            ids, ranks = b.column("k").to_numpy(), b.column("d").to_numpy()
+            done = 0
+            for held in buffers(x.as_py() for x in b.column("text")):
+                made = rows(ids[done : done + len(held)], ranks[done : done + len(held)], held)
+                done += len(held)
+                if made is not None:
+                    yield made
 
-    rows = texts.mapInPandas(keyed, "k long, d long, no int, h binary, n int, bits long, more long, prefix array<long>")
-    return rows.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "more", "prefix")).alias("line")).select("line.*")
+    lines = texts.select("k", "d", "text").mapInArrow(keyed, "k long, d long, no int, h binary, n int, bits long, more long, prefix array<long>")
+    return lines.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "more", "prefix")).alias("line")).select("line.*")
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -171,7 +187,8 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     # The lines that this has refused are held against all.
     still = materialize(tried.join(found, _second(PLACE), "left_anti").select(*_second(PLACE)).toDF(*PLACE), "line-still")
     if not still.isEmpty():
-        later = materialize(index.join(still.hint("merge"), PLACE, "left_semi").select(*index.columns), "line-later")
+        few = first.where(maybe_in(F.xxhash64(*PLACE), still.select(F.xxhash64(*PLACE)), 1 << 22)).join(still.hint("merge"), PLACE, "left_semi")
+        later = materialize(few.select(*PLACE, "n", "bits", "more", F.posexplode("prefix").alias("pos", "key")), "line-later")
         rest = _met(index.where(maybe_in("key", later.select("key"), 1 << 22)), later, t).distinct()
         rest = materialize(rest.join(tried, [*PLACE, *_second(PLACE)], "left_anti"), "line-pairs")
         found = found.unionByName(_alike(docs_text, rest, t).select(*_second(PLACE)))
