@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,14 +55,34 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Spark's own switch: the shuffle files of a query go when it ends, not when the driver's garbage collector runs.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP, "")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+        else:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate that several steps read to the shared folder, once, and read it back.
 
-    Unlike a cache it survives lost executors, and readers prune its columns.
+    Unlike a cache it survives lost executors, and readers prune its columns. The write is planned for itself, so
+    nothing else reads its shuffle files, and executors need not keep them until the whole job ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_end_with_the_query(spark):
+        df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 SPREAD_BYTES_PER_CORE = 16 * 1024 * 1024
