@@ -61,12 +61,12 @@ SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextlib.contextmanager
 def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(SHUFFLE_CLEANUP, "")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
         yield
     finally:
-        if before:
+        if before is not None:
             spark.conf.set(SHUFFLE_CLEANUP, before)
         else:
             spark.conf.unset(SHUFFLE_CLEANUP)
