@@ -34,6 +34,8 @@ from vitrine.session import materialize
 #: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
 CELLS = 1 << 18
 EPS = 1e-9
+#: Keys of a line by which it meets the heads of families. The result does not depend on it.
+RAREST = 4
 #: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
 
@@ -130,15 +132,27 @@ def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
         & (F.least(n - F.col("pos1"), m - F.col("pos2")) >= need)
         & (differ <= n + m - 2 * need)
     )
+    if "open" in later.columns:
+        met &= F.col("open2")
     return one.join(two, met).select(*[F.col(c).alias(p) for c, p in zip(first, PLACE, strict=True)], *second)
 
 
+def _entries(lines: DataFrame, prefix: Column) -> DataFrame:
+    """A row for each key of the lines' prefixes."""
+    return lines.select(*[c for c in lines.columns if c != "prefix"], F.posexplode(prefix).alias("pos", "key"))
+
+
+def _earliest(pairs: DataFrame) -> DataFrame:
+    """For each later line of the pairs the pair with the earliest line."""
+    return pairs.groupBy(*_second(PLACE)).agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", *_second(PLACE))
+
+
 def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, d, no, words) of the wanted (k, d, no): documents meet the short list of their wanted lines, not the other way round."""
-    lists = materialize(wanted.groupBy("k", "d").agg(F.collect_set("no").alias("nos")), "line-lists")
-    found = docs_text.where(maybe_in(F.xxhash64("k", "d"), lists.select(F.xxhash64("k", "d")))).join(lists, ["k", "d"]).select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line"), "nos").where(F.array_contains("nos", F.col("no")))
+    """(k, d, no, words) of the wanted (k, d, no): texts are cut where they lie, and only lines that may be wanted are shuffled."""
+    wanted, here = materialize(wanted.distinct(), "line-wanted"), F.xxhash64(*PLACE)
+    lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(maybe_in(here, wanted.select(here), 1 << 22))
     # Rows that repeat an id and its text repeat their lines.
-    return found.select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words"))
+    return lines.join(wanted, PLACE, "left_semi").select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words"))
 
 
 def _alike(docs_text: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
@@ -177,22 +191,29 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
     first = materialize(_first_lines(docs_text, t, cells), "line-firsts")
-    index = first.select(*PLACE, "n", "bits", "more", F.posexplode("prefix").alias("pos", "key"))
 
-    # One earlier match is enough: every line is held against the earliest line that passes the filters, so a
-    # family of thousands of like lines costs one pair for each of them.
-    earliest = _met(index, index, t).groupBy(*_second(PLACE)).agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", *_second(PLACE))
-    tried = materialize(earliest, "line-pairs")
+    # Families of thousands of like lines first: a line is held against the earliest lines of its rarest words, one for
+    # each size. What this matches needs no other match; the rest, whatever it has met here, goes on to the whole join.
+    rarest = _entries(first, F.slice("prefix", 1, RAREST))
+    heads = rarest.groupBy("key", "n").agg(F.min(F.struct(*PLACE, "bits", "more", "pos")).alias("head")).select("head.*", "n", "key").select(*rarest.columns)
+    led = materialize(_earliest(_met(heads, rarest, t)), "line-heads")
+    led = materialize(_alike(docs_text, led, t).select(*_second(PLACE)), "line-led")
+    marked = first.join(led.toDF(*PLACE).withColumn("led", F.lit(True)), PLACE, "left")
+    first = materialize(marked.withColumn("open", F.col("led").isNull()).drop("led"), "line-open")
+    index = _entries(first, F.col("prefix"))
+
+    # One earlier match is enough: every open line is held against the earliest line that passes the filters.
+    tried = materialize(_earliest(_met(index, index, t)), "line-pairs")
     found = materialize(_alike(docs_text, tried, t), "line-alike").select(*_second(PLACE))
     # The lines that this has refused are held against all.
     still = materialize(tried.join(found, _second(PLACE), "left_anti").select(*_second(PLACE)).toDF(*PLACE), "line-still")
     if not still.isEmpty():
         few = first.where(maybe_in(F.xxhash64(*PLACE), still.select(F.xxhash64(*PLACE)), 1 << 22)).join(still.hint("merge"), PLACE, "left_semi")
-        later = materialize(few.select(*PLACE, "n", "bits", "more", F.posexplode("prefix").alias("pos", "key")), "line-later")
+        later = materialize(_entries(few, F.col("prefix")), "line-later")
         rest = _met(index.where(maybe_in("key", later.select("key"), 1 << 22)), later, t).distinct()
         rest = materialize(rest.join(tried, [*PLACE, *_second(PLACE)], "left_anti"), "line-pairs")
         found = found.unionByName(_alike(docs_text, rest, t).select(*_second(PLACE)))
-    matched = found.toDF(*PLACE).select(F.struct(*PLACE).alias("at")).distinct().withColumn("later", F.lit(True))
+    matched = found.unionByName(led).toDF(*PLACE).select(F.struct(*PLACE).alias("at")).distinct().withColumn("later", F.lit(True))
 
     occurrences = materialize(lines.select(*PLACE, F.unhex(F.md5("line")).alias("h")), "line-places")
     firsts = occurrences.groupBy("h").agg(F.min(F.struct(*PLACE)).alias("at"))
