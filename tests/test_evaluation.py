@@ -3,7 +3,7 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from vitrine.operators import evaluation, ordering
 
@@ -121,6 +121,31 @@ def test_logistic_diagnostic(spark):
     assert {r["count"] for r in folds} == {4}
 
 
+def test_logistic_diagnostic_in_an_observed_session_with_many_partitions(spark):
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 3
+    rows = [(i, i % 2, float(i % 20) + (8 if i % 2 else 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, y int, a double")
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    spark.sparkContext.setJobGroup("diagnostic", "")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = evaluation.logistic_diagnostic(df, "id", ["a"], max_folds=2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out["cv_folds"] == 2 and out["cv_auc_mean"] > 0.8
+    # The passes of a fit: their tasks, and what these send to the driver, follow the table's size, not the shuffles before it.
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("diagnostic") for s in tracker.getJobInfo(j).stageIds]
+    passes = [s.numTasks for s in stages if s and "RDDLossFunction" in s.name]
+    assert passes and max(passes) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_crosssection_plan(spark):
     from vitrine.plans import crosssection
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import values
 from vitrine.operators import ordering, resampling
+from vitrine.session import materialize
 
 BOOTSTRAP_RESAMPLES = 1000
 BOOTSTRAP_SEED = 7
@@ -215,11 +216,12 @@ def logistic_diagnostic(
     """Cross-validated logistic regression on standardised inputs, missing values as 0. A diagnostic, not the score.
 
     Returns cv_folds, cv_auc_mean, cv_auc_std and coefficients, or `error` when rows or classes are too few.
-    The penalty is the usual 0.5 * |w|^2 on the summed loss.
+    The penalty is the usual 0.5 * |w|^2 on the summed loss. Held-out rows are ranked by the linear predictor, an expression
+    of the coefficients: a model's own `transform` ships its training summary and with it the session, which cannot be
+    serialised once anything in the session has been observed.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
     classes = {r[y]: r["count"] for r in df.groupBy(y).count().collect()}
     rows = sum(classes.values())
@@ -233,36 +235,31 @@ def logistic_diagnostic(
     filled = df.select(
         key, F.col(y).cast("double").alias("label"), *[F.coalesce(values.number(F.col(f), types[f]), F.lit(0.0)).alias(f) for f in features]
     )
-    dealt = with_stratified_folds(filled, key, folds, "label").persist()
+    # Each fit passes over this some twenty times; read back, it has as many tasks as its size asks for.
+    dealt = materialize(with_stratified_folds(filled, key, folds, "label").drop(key), "folds")
 
     def fit(train: DataFrame):
-        stats = train.agg(*[s(f).alias(f"{n}_{f}") for f in features for n, s in (("m", F.avg), ("s", F.stddev_pop))]).first()
-        scale = {f: stats[f"s_{f}"] or 1.0 for f in features}
-
-        def prepared(part: DataFrame) -> DataFrame:
-            scaled = part.select(
-                key, "label", *[((F.col(f) - F.lit(stats[f"m_{f}"])) / F.lit(scale[f])).alias(f) for f in features]
-            )
-            return VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-
-        count = train.count()
-        model = LogisticRegression(regParam=1.0 / count, standardization=False, maxIter=1000).fit(prepared(train))
-        return model, prepared
+        stats = train.agg(F.count(F.lit(1)).alias("n"), *[s(f).alias(f"{n}_{f}") for f in features for n, s in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        scaled = {f: (F.col(f) - F.lit(stats[f"m_{f}"])) / F.lit(stats[f"s_{f}"] or 1.0) for f in features}
+        prepared = VectorAssembler(inputCols=list(features), outputCol="features").transform(
+            train.select("label", *[c.alias(f) for f, c in scaled.items()])
+        )
+        model = LogisticRegression(regParam=1.0 / stats["n"], standardization=False, maxIter=1000).fit(prepared)
+        weights = dict(zip(features, (float(c) for c in model.coefficients.toArray()), strict=True))
+        return weights, sum((scaled[f] * F.lit(w) for f, w in weights.items()), F.lit(float(model.intercept)))
 
     aucs = []
     for fold in range(folds):
-        model, prepared = fit(dealt.where(F.col("fold") != fold))
-        out = model.transform(prepared(dealt.where(F.col("fold") == fold)))
-        probability = out.select(F.col("label").cast("int").alias("y"), vector_to_array("probability")[1].alias("score"))
-        aucs.append(auc(probability).first()["auc"])
-    model, _ = fit(dealt)
-    dealt.unpersist()
+        _, predictor = fit(dealt.where(F.col("fold") != fold))
+        held_out = dealt.where(F.col("fold") == fold)
+        aucs.append(auc(held_out.select(F.col("label").cast("int").alias("y"), predictor.alias("score"))).first()["auc"])
+    coefficients, _ = fit(dealt)
     mean = sum(aucs) / folds
     return {
         "cv_folds": folds,
         "cv_auc_mean": mean,
         "cv_auc_std": (sum((a - mean) ** 2 for a in aucs) / folds) ** 0.5,
-        "coefficients": dict(zip(features, (float(c) for c in model.coefficients.toArray()), strict=True)),
+        "coefficients": coefficients,
     }
 
 
