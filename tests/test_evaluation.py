@@ -161,6 +161,22 @@ def test_crosssection_plan(spark):
     assert no_scan.count() == 0 and {r.metric for r in metrics.collect()} == {"positives", "negatives"}
 
 
+def test_crosssection_plan_in_an_observed_session(spark):
+    from vitrine.plans import crosssection
+
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get["n"] == 3
+    rows = [(f"s{i}", "2026-09-08", float(i % 9), i % 5, i) for i in range(16)]
+    feats = spark.createDataFrame(rows, "domain string, d string, score double, workaround_app_count int, product_count int").withColumn(
+        "scan_date", F.col("d").cast("date")
+    )
+    pos, neg = feats.where("product_count % 8 < 2").select("domain"), feats.where("product_count % 8 >= 2").select("domain")
+    metrics = {r.metric: r.value for r in crosssection.run_crosssection(feats, pos, neg, resamples=20)[1].collect()}
+    assert (metrics["positives"], metrics["negatives"], metrics["logistic_cv_folds"]) == (4.0, 12.0, 4.0)
+    assert {"logistic_cv_auc_mean", "coefficient.product_count", "coefficient.workaround_app_count"} <= set(metrics)
+
+
 def test_top_negatives(spark):
     feats = spark.createDataFrame([(f"s{i}", float(i), "c", i, None) for i in range(8)], "domain string, score double, components string, product_count int, review_count_max long")
     matches = spark.createDataFrame([("s7", "b"), ("s7", "a"), ("s0", "z")], "domain string, key string")
