@@ -40,3 +40,16 @@ def test_buffers_hold_all_texts():
     texts = ["a" * 10, "é" * scanned.BUFFER, "", "b"]
     assert [x.decode() for held in scanned.buffers(texts) for x in held] == texts
     assert list(scanned.buffers([])) == []
+
+
+def test_shingles_of_a_buffer_are_those_of_its_texts():
+    from vitrine.llm import near_dedup
+
+    rng = random.Random(4)
+    texts = ["", " ", "one", "a b c d", "a b c d e"] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    for text, (codes, counts) in zip(texts, near_dedup.shingles_of(texts, 5), strict=True):
+        words = text.split()
+        runs = [tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1 if words else 0))]
+        alone = near_dedup.shingles(text, 5)
+        assert codes.tolist() == alone[0].tolist() and counts.tolist() == alone[1].tolist()
+        assert len(codes) == len(set(runs)) and sorted(counts.tolist()) == sorted(runs.count(r) for r in set(runs))

@@ -16,7 +16,7 @@ both documents: a link needs the similarity with the weights or without them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrine.llm.batches import small_batches
 from vitrine.llm.components import components
 from vitrine.llm.filters import bit, join_touched, maybe_in
-from vitrine.llm.grams import ODD, mix, run_hashes, word_hashes
+from vitrine.llm.grams import ODD, mix, run_hashes
+from vitrine.llm.scanned import buffers, scan
 from vitrine.llm.words import text_or_empty
 from vitrine.session import materialize
 
@@ -34,6 +35,8 @@ CELLS = 1 << 18
 #: Frequencies of so many cells travel as one row; tasks of the first summing step.
 PART, SPREAD = 1 << 14, 32
 TABLE = 1 << 16
+#: Shingles that are sampled at once: what is held for them fits a core's cache.
+BLOCK = 512
 #: Words of 64 parities that tell two nodes apart before they are compared; a power of two.
 MARKS = 4
 MARKED = [f"mark{i}" for i in range(MARKS)]
@@ -42,12 +45,30 @@ EPS = 1e-9
 SLACK = 1e-6
 
 
+def shingles_of(texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct shingles, sorted, and how often each occurs; a text of fewer words is one shingle.
+
+    The words and the shingles of a buffer of texts are hashed at once; shingles that cross texts are passed over.
+    """
+    for held in buffers(texts):
+        begins, words = scan(b"\n".join(held))
+        ends = np.cumsum([len(x) + 1 for x in held])
+        upto = np.searchsorted(begins, ends).tolist()
+        runs, first = run_hashes(words, size, seed=size), 0
+        for last in upto:
+            n = last - first
+            if n >= size:
+                yield np.unique(runs[first : last - size + 1], return_counts=True)
+            elif n:
+                yield np.unique(run_hashes(words[first:last], n, seed=size), return_counts=True)
+            else:
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            first = last
+
+
 def shingles(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, sorted, and how often each occurs; a text of fewer words is one shingle."""
-    words = text.encode().split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(run_hashes(word_hashes(words), min(size, len(words)), seed=size), return_counts=True)
+    """`shingles_of` one text."""
+    return next(shingles_of([text], size))
 
 
 def cell_of(codes: np.ndarray, cells: int) -> np.ndarray:
@@ -65,7 +86,7 @@ def cell_frequencies(docs: DataFrame, size: int, cells: int) -> tuple[np.ndarray
         total, n = np.zeros(cells, np.int64), 0
         for b in batches:
             n += len(b)
-            found = [cell_of(shingles(t, size)[0], cells) for t in b["text"]]
+            found = [cell_of(codes, cells) for codes, _ in shingles_of(b["text"], size)]
             total += np.bincount(np.concatenate([*found, np.zeros(0, np.int64)]), minlength=cells)
         salt = TaskContext.get().partitionId() % SPREAD
         yield pd.DataFrame([(p, blob, salt) for p, blob in [*pieces(total), (-1, np.array([n], "<i8").tobytes())]], columns=["part", "counts", "salt"])
@@ -122,15 +143,23 @@ class Sampler:
         k = self.bands * self.rows
         least, chosen, level = np.full(k, np.inf), np.zeros(k, np.uint64), np.zeros(k)
         log_w = np.log(weights)
-        for i in range(0, len(codes), 2048):
-            h = mix(codes[i : i + 2048][None, :] ^ self.seeds)
-            r = self.gamma[(h & np.uint64(0xFFFF)).astype(np.int64)]
-            c = self.log_c[((h >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)]
-            beta = (h >> np.uint64(32)).astype(np.float64) * 2.0**-32
-            t = np.floor(log_w[i : i + 2048][None, :] / r + beta)
-            a = c - r * (t - beta + 1)
+        row = np.arange(k)
+        for i in range(0, len(codes), BLOCK):
+            h = mix(codes[i : i + BLOCK][None, :] ^ self.seeds)
+            # The 16-bit parts of h, lowest first.
+            parts = h.astype("<u8", copy=False).view("<u2").reshape(*h.shape, 4)
+            r, c = self.gamma.take(parts[..., 0]), self.log_c.take(parts[..., 1])
+            h >>= np.uint64(32)
+            beta = h.astype(np.float64)
+            beta *= 2.0**-32
+            t = log_w[i : i + BLOCK][None, :] / r
+            t += beta
+            np.floor(t, out=t)
+            np.subtract(t, beta, out=beta)
+            beta += 1
+            beta *= r
+            a = np.subtract(c, beta, out=c)
             at = a.argmin(axis=1)
-            row = np.arange(k)
             better = a[row, at] < least
             least = np.where(better, a[row, at], least)
             chosen = np.where(better, codes[i + at], chosen)
@@ -161,7 +190,7 @@ def _vectors(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [shingles(t, size) for t in b["text"]]
+            found = list(shingles_of(b["text"], size))
             yield pd.DataFrame({"k": b["k"], "codes": [c.view(np.int64) for c, _ in found], "counts": [n.astype(np.int32) for _, n in found]})
 
     wanted = materialize(wanted.distinct(), "near-wanted")
@@ -271,7 +300,7 @@ def near_groups(
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, s = weights.value, Sampler(bands, rows)
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "h": b["h"], "bands": [s.bands_of(*weigh(t, size, w)) for t in b["text"]]})
+            yield pd.DataFrame({"k": b["k"], "h": b["h"], "bands": [s.bands_of(codes, n * w[cell_of(codes, len(w))]) for codes, n in shingles_of(b["text"], size)]})
 
     signed = materialize(texts.select("k", F.unhex(F.md5("text")).alias("h"), "text").mapInPandas(sign, "k long, h binary, bands array<long>"), "near-signatures")
     same = materialize(signed.groupBy("h").agg(F.min("k").alias("node")), "near-texts")
