@@ -40,11 +40,7 @@ class Memo:
     def many(self, keys: list) -> list:
         """The values of all keys, in order; the young generation may grow by the keys of one call."""
         young, old, make = self.young, self.old, self.make
-        try:
-            return list(map(young.__getitem__, keys))
-        except KeyError:
-            new = {k for k in keys if k not in young}
-        long = {}
+        new, long, size = set(keys).difference(young), {}, 0
         for k in new:
             value = old.get(k)
             if value is None:
@@ -53,7 +49,8 @@ class Memo:
                 long[k] = value
             else:
                 young[k] = value
-                self.size += 2 * len(k) + ENTRY
+                size += 2 * len(k) + ENTRY
+        self.size += size
         out = [long[k] if k in long else young[k] for k in keys] if long else list(map(young.__getitem__, keys))
         self._turn()
         return out

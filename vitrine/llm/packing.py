@@ -15,6 +15,7 @@ import uuid
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ MERGE = 2048
 # The vocabulary's own split pattern, with its character classes spelled out for Latin-1.
 LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\x09-\\x0d \x85\xa0{LETTERS}{DIGITS}]+")
+# The same for words of printable ASCII in lower case, over their bytes.
+SHOWN, SHOWN_SPLIT = re.compile(b"[!-~]+"), re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PIECE = "doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
 
 
@@ -66,6 +69,15 @@ class WordTokenizer:
         self.words = Memo(self._ids, MEMO_BYTES)
 
     def _ids(self, word: bytes) -> bytes:
+        if SHOWN.fullmatch(word):
+            # Printable ASCII stands for itself in the vocabulary, and needs no characters to be cut.
+            low = word.lower()
+            parts = SHOWN_SPLIT.findall(low) if not word.isalpha() else [low]
+            if parts != [word]:
+                known = self.words.young.get
+                return b"".join([known(p) or self.words.one(p) for p in parts])
+            ids = [t.id for t in self.model.tokenize(word.decode())]
+            return pack_ids(f"<{len(ids)}i", *ids)
         text = word.decode()
         if text.isascii() or max(text) <= "\xff":
             low = text.lower()
