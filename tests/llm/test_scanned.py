@@ -53,3 +53,22 @@ def test_shingles_of_a_buffer_are_those_of_its_texts():
         alone = near_dedup.shingles(text, 5)
         assert codes.tolist() == alone[0].tolist() and counts.tolist() == alone[1].tolist()
         assert len(codes) == len(set(runs)) and sorted(counts.tolist()) == sorted(runs.count(r) for r in set(runs))
+
+
+def test_words_of_a_buffer_are_those_of_its_texts(monkeypatch):
+    from vitrine.llm import substring_dedup
+    from vitrine.llm.grams import minimizers, run_hashes
+
+    calls = []
+    monkeypatch.setattr(substring_dedup, "scan", lambda text: calls.append(text) or scanned.scan(text))
+    rng = random.Random(5)
+    texts = ["", " ", "é", " a  b\r\nc ", "a b\xa0c\x1cd"] + ["".join(rng.choice(["a", "bé", " ", "\n", "\t "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    found = list(substring_dedup.worded(texts, lambda h: substring_dedup._anchors(h, 6, 3)))
+    assert len(calls) == 1
+    for text, (joined, begins, first, last, runs, at) in zip(texts, found, strict=True):
+        words = text.encode().split()
+        assert joined == b" ".join(words)
+        assert [joined[i:].split(b" ", 1)[0] for i in begins] == words and last - first == len(words)
+        alone = run_hashes(scanned.scan(joined)[1], 3)
+        assert runs[first : max(first, last - 2)].tolist() == alone.tolist()
+        assert (at[first : max(first, last - 5)] - first).tolist() == minimizers(alone, 4).tolist()

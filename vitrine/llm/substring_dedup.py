@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,16 +26,41 @@ from pyspark.sql import DataFrame, functions as F
 from vitrine.llm.batches import small_batches
 from vitrine.llm.filters import join_touched, maybe_in
 from vitrine.llm.grams import minimizers, run_hashes, word_hashes
+from vitrine.llm.scanned import buffers, scan
 from vitrine.llm.words import LAST_ID, id_key, text_or_empty, words_of
 from vitrine.session import materialize
 
 #: Words in the short runs that windows are found by.
 RUN = 8
+SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def _anchors(words: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """The run hashes of a text and, for each of its windows, the position of the run that it names."""
-    runs = run_hashes(words, run)
+def _joined(text: bytes) -> bytes:
+    """The words joined by one space. Most texts need no more than their blanks turned to spaces."""
+    spaced = text.translate(SPACES)
+    return spaced if b"  " not in spaced and spaced == spaced.strip() else b" ".join(spaced.split())
+
+
+def worded(texts: Iterable[str], derive: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> Iterator[tuple]:
+    """For each text its joined words, the first byte of each, its first word's place in the buffer and the place behind its
+    last one, and what `derive` makes of the buffer's word hashes.
+
+    The words and the runs of a buffer of texts are hashed at once; of what `derive` makes, a text may use only runs inside its places.
+    """
+    for held in buffers(texts):
+        held = [_joined(x) for x in held]
+        begins, hashes = scan(b"\n".join(held))
+        made = derive(hashes)
+        start = first = 0
+        for joined in held:
+            last = int(np.searchsorted(begins, start + len(joined)))
+            yield joined, begins[first:last] - start, first, last, *made
+            start, first = start + len(joined) + 1, last
+
+
+def _anchors(hashes: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run hashes of words and, for each window of them, the position of the run that it names."""
+    runs = run_hashes(hashes, run)
     return runs, minimizers(runs, window - run + 1)
 
 
@@ -43,28 +68,31 @@ def _survey(window: int, run: int):
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, text in zip(b["k"], b["text"], strict=True):
-                words = text.encode().split()
-                joined = b" ".join(words)
-                runs, at = _anchors(word_hashes(words), window, run)
-                rows.append((k, hashlib.md5(joined).digest(), len(words), hashlib.sha256(joined).digest(), runs[np.unique(at)].view(np.int64)))
+            for k, (joined, begins, first, last, runs, at) in zip(b["k"], worded(b["text"], lambda h: _anchors(h, window, run)), strict=True):
+                named = at[first : max(first, last - window + 1)]
+                rows.append((k, hashlib.md5(joined).digest(), len(begins), hashlib.sha256(joined).digest(), runs[np.unique(named)].view(np.int64)))
             yield pd.DataFrame(rows, columns=["k", "h", "n_words", "sha", "anchors"])
 
     return survey
 
 
-def _keys(words: list[bytes], anchors: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and keys of the windows that name one of the recurring runs."""
-    hashes = word_hashes(words)
-    runs, at = _anchors(hashes, window, run)
-    starts = np.flatnonzero(np.isin(runs[at], anchors.view(np.uint64)))
-    return starts, run_hashes(hashes, window, seed=1)[starts].view(np.int64)
+def _keyed(texts: Iterable[str], anchors: Iterable[np.ndarray], window: int, run: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text its joined words, the first byte of each, and starts and keys of the windows that name one of its recurring runs."""
+
+    def derive(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        runs, at = _anchors(hashes, window, run)
+        return runs[at], run_hashes(hashes, window, seed=1)
+
+    for recurring, (joined, begins, first, last, named, keys) in zip(anchors, worded(texts, derive), strict=True):
+        mine = slice(first, max(first, last - window + 1))
+        starts = np.flatnonzero(np.isin(named[mine], np.asarray(recurring, np.int64).view(np.uint64)))
+        yield joined, begins, starts, keys[mine][starts].view(np.int64)
 
 
 def _windows(window: int, run: int):
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [np.unique(_keys(t.encode().split(), np.asarray(a, np.int64), window, run)[1]) for t, a in zip(b["text"], b["anchors"], strict=True)]
+            keys = [np.unique(found) for *_, found in _keyed(b["text"], b["anchors"], window, run)]
             yield pd.DataFrame({"k": np.repeat(b["k"].to_numpy(), [len(x) for x in keys]), "key": np.concatenate([*keys, np.zeros(0, np.int64)])})
 
     return windows
@@ -75,9 +103,7 @@ def _passages(window: int, run: int):
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, text, anchors, known in zip(b["k"], b["text"], b["anchors"], b["keys"], strict=True):
-                words = text.encode().split()
-                starts, keys = _keys(words, np.asarray(anchors, np.int64), window, run)
+            for k, known, (joined, at, starts, keys) in zip(b["k"], b["keys"], _keyed(b["text"], b["anchors"], window, run), strict=True):
                 own = np.isin(keys, np.asarray(known, np.int64))
                 starts, keys = starts[own], keys[own]
                 if not len(starts):
@@ -86,7 +112,8 @@ def _passages(window: int, run: int):
                 first = np.flatnonzero(new)
                 last = np.concatenate([first[1:], [len(starts)]]) - 1
                 begins = starts[first]
-                texts = [b" ".join(words[s : e + window]).decode() for s, e in zip(begins, starts[last], strict=True)]
+                ends = np.append(at[1:] - 1, len(joined))
+                texts = [joined[i:j].decode() for i, j in zip(at[begins], ends[starts[last] + window - 1], strict=True)]
                 text_of = np.full(len(starts), None, object)
                 text_of[first] = texts
                 yield pd.DataFrame({"key": keys, "source": np.full(len(keys), k), "begin": begins[np.cumsum(new) - 1], "passage": text_of})
@@ -94,6 +121,12 @@ def _passages(window: int, run: int):
     return passages
 
 
+def _recurs(keys: np.ndarray) -> bool:
+    """Whether two of the keys are equal."""
+    ordered = np.sort(keys)
+    return bool((ordered[1:] == ordered[:-1]).any())
+
+
 def repeated_in(words: list[bytes], window: int) -> np.ndarray:
     """Which words lie in a window that starts earlier in the same text too; windows are told apart exactly."""
     covered = np.zeros(len(words), bool)
@@ -101,7 +134,7 @@ def repeated_in(words: list[bytes], window: int) -> np.ndarray:
     if count <= 1:
         return covered
     keys = run_hashes(word_hashes(words), window, seed=2)
-    if len(np.unique(keys)) == count:
+    if not _recurs(keys):
         return covered
     # Number the runs of 1, 2, 4, ... words by their two halves, then the windows by the two runs that overlap in them.
     numbers: dict[bytes, int] = {}
@@ -146,8 +179,10 @@ class Automaton:
         covered = np.zeros(len(words), bool)
         if self.empty or len(words) < self.window:
             return covered
-        shown = b" ".join([b"", *words, b""]).decode()
-        blanks = np.flatnonzero(np.frombuffer(shown.encode("utf-32-le"), "<u4") == 32)  # the i-th is before the i-th word
+        raw = b" ".join([b"", *words, b""])
+        shown = raw.decode()
+        codes = np.frombuffer(raw, np.uint8) if len(raw) == len(shown) else np.frombuffer(shown.encode("utf-32-le"), "<u4")
+        blanks = np.flatnonzero(codes == 32)  # the i-th is before the i-th word
         done: dict[tuple[int, int], int] = {}
         for end, (length, found) in self.machine.iter(shown):
             j = int(np.searchsorted(blanks, end - length + 1))
@@ -180,13 +215,17 @@ def _locate(window: int):
             share = {(p["source"], p["begin"]): p["passage"] for listed in b["passages"] if listed is not None for p in listed}
             machine = Automaton([(source, text) for (source, _), text in share.items()], window)
             rows = []
-            for k, text, listed in zip(b["k"], b["text"], b["passages"], strict=True):
-                words = text.encode().split()
-                covered = repeated_in(words, window)
+            found = worded(b["text"], lambda h: (run_hashes(h, window, seed=2),))
+            for k, listed, (joined, _, start, end, keys) in zip(b["k"], b["passages"], found, strict=True):
+                recurs = _recurs(keys[start : max(start, end - window + 1)])
+                if listed is None and not recurs:
+                    continue
+                words = joined.split()
+                covered = repeated_in(words, window) if recurs else np.zeros(len(words), bool)
                 if listed is not None:
                     covered |= machine.cover(k, words)
                 if covered.any():
-                    h = hashlib.md5(b" ".join(words)).digest()
+                    h = hashlib.md5(joined).digest()
                     kept = b" ".join([w for w, out in zip(words, covered, strict=True) if not out])
                     rows.append((k, h, _spans(covered), int(covered.sum()), hashlib.sha256(kept).digest()))
             yield pd.DataFrame(rows, columns=["k", "h", "spans", "n_removed", "kept_sha"])
