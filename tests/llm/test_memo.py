@@ -46,3 +46,19 @@ def test_the_packing_tokenizer_stays_in_its_bound(monkeypatch):
 def test_hashes_are_those_of_the_words():
     words = [b"a", b"", b"b" * 5000, b"a"]
     assert grams.word_hashes(words).tolist() == [xxhash.xxh64_intdigest(x) for x in words]
+
+
+def test_known_words_are_looked_up_once():
+    class Counted(str):
+        looked = 0
+
+        def __hash__(self):
+            Counted.looked += 1
+            return super().__hash__()
+
+    m = memo.Memo(str.upper)
+    words = [Counted(w) for w in ("a", "b", "a", "c")]
+    assert m.many(words) == ["A", "B", "A", "C"] and len(m.young) == 3
+    Counted.looked = 0
+    assert m.many(words) == ["A", "B", "A", "C"]
+    assert Counted.looked == len(words)

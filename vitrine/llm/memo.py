@@ -39,18 +39,20 @@ class Memo:
 
     def many(self, keys: list) -> list:
         """The values of all keys, in order; the young generation may grow by the keys of one call."""
-        young, old, make = self.young, self.old, self.make
-        new, long, size = set(keys).difference(young), {}, 0
-        for k in new:
-            value = old.get(k)
-            if value is None:
-                value = make(k)
-            if len(k) > self.longest:
-                long[k] = value
-            else:
-                young[k] = value
-                size += 2 * len(k) + ENTRY
-        self.size += size
-        out = [long[k] if k in long else young[k] for k in keys] if long else list(map(young.__getitem__, keys))
-        self._turn()
+        young, old, make, size = self.young, self.old, self.make, 0
+        out = list(map(young.get, keys))
+        if None in out:
+            for i in [i for i, value in enumerate(out) if value is None]:
+                k = keys[i]
+                value = young.get(k)  # it may have come further up in the same call
+                if value is None:
+                    value = old.get(k)
+                    if value is None:
+                        value = make(k)
+                    if len(k) <= self.longest:
+                        young[k] = value
+                        size += 2 * len(k) + ENTRY
+                out[i] = value
+            self.size += size
+            self._turn()
         return out

@@ -9,6 +9,7 @@ writes its table before the next one reads it, so a task that runs again cannot
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import uuid
@@ -18,9 +19,9 @@ from collections.abc import Iterator
 from struct import pack as pack_ids
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.llm.batches import small_batches
 from vitrine.llm.memo import Memo
@@ -29,6 +30,7 @@ from vitrine.session import shared_dir
 
 #: Bytes of each of the two generations of words that a worker remembers.
 MEMO_BYTES = 64 << 20
+OPEN_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 #: Windows that one task of a merging round reads.
 MERGE = 2048
 # The vocabulary's own split pattern, with its character classes spelled out for Latin-1.
@@ -36,8 +38,13 @@ LETTERS, DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\x09-\\x0d \x85\xa0{LETTERS}{DIGITS}]+")
 # The same for words of printable ASCII in lower case, over their bytes.
 SHOWN, SHOWN_SPLIT = re.compile(b"[!-~]+"), re.compile(b"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# UTF-8 of Latin-1.
+LATIN = re.compile(b"(?:[\x00-\x7f]|[\xc2\xc3][\x80-\xbf])*")
 PIECE = "doc_id {kind}, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long, closed boolean"
 
+#: The columns of a piece; the types of ids come with them.
+COLUMNS = {"doc_id": None, "start": pa.int64(), "length": pa.int64(), "ids": None, "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "closed": pa.bool_()}
+
 
 def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next letter from 256 on."""
@@ -79,7 +86,7 @@ class WordTokenizer:
             ids = [t.id for t in self.model.tokenize(word.decode())]
             return pack_ids(f"<{len(ids)}i", *ids)
         text = word.decode()
-        if text.isascii() or max(text) <= "\xff":
+        if LATIN.fullmatch(word):
             low = text.lower()
             parts = SPLIT.findall(low)
             if parts == [text]:
@@ -169,9 +176,25 @@ class Packer:
                 room -= len(pieces[-1][2])
             self._close(self._sequence(), pieces)
 
-    def frame(self) -> pd.DataFrame:
+    def batch(self, kind: pa.DataType) -> pa.RecordBatch:
+        """The finished rows; `kind` is the type of the ids of documents."""
         rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset", "closed"])
+        columns = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in COLUMNS]
+        ends = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *columns[3]])))
+        made = [pa.array(c, t) for c, t in zip(columns, COLUMNS.values(), strict=True) if t is not None]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *made[:2], ids, *made[2:]], list(COLUMNS))
+
+
+@contextlib.contextmanager
+def two_open_files(spark: SparkSession) -> Iterator[None]:
+    """Rows of two folders are written as they come, by a writer for each folder, instead of being sorted by folder first."""
+    before = spark.conf.get(OPEN_FILES)
+    spark.conf.set(OPEN_FILES, "2")
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_FILES, before)
 
 
 def pack(
@@ -196,43 +219,51 @@ def pack(
     piece = PIECE.format(kind=read.schema["doc_id"].dataType.simpleString())
     place = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, p, end = tokenizer(tokenizer_path), Packer(window, space, TaskContext.get().partitionId()), np.array([end_id], "<i4")
+        kind = None
         for b in batches:
-            for doc, text in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["text"], strict=True):
-                ids = np.concatenate([t.encode(text), end])
+            kind = b.column("doc_id").type
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                ids = np.concatenate([t.encode(text.as_py()), end])
                 p.add(doc, 0, ids, len(ids))
                 if len(p.rows) >= 512:
-                    yield p.frame()
+                    yield p.batch(kind)
         p.leave()
-        yield p.frame()
+        if p.rows:
+            yield p.batch(kind)
 
     def again(last: bool, level: int):
-        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = Packer(window, space, (level << 21) + TaskContext.get().partitionId())
+            kind = None
             for b in batches:
-                for doc, start, ids, total in zip(b["doc_id"].astype(object).where(b["doc_id"].notna(), None), b["start"], b["ids"], b["doc_tokens"], strict=True):
-                    p.add(doc, start, np.asarray(ids, "<i4"), total)
+                kind, held = b.column("doc_id").type, b.column("ids")
+                values, ends = held.values.to_numpy(), held.offsets.to_numpy()
+                for n, (doc, start, total) in enumerate(zip(*[b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")], strict=True)):
+                    p.add(doc, start, values[ends[n] : ends[n + 1]], total)
                 if len(p.rows) >= 512:
-                    yield p.frame()
+                    yield p.batch(kind)
             p.finish() if last else p.leave()
-            yield p.frame()
+            if p.rows:
+                yield p.batch(kind)
 
         return merge
 
     def write(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         """The finished and the open pieces of a round, from folders of their own."""
         path = f"{place}/{level}"
-        rows.write.partitionBy("closed").parquet(path)
+        with two_open_files(spark):
+            rows.write.partitionBy("closed").parquet(path)
         table = spark.read.schema(piece).parquet(path)
         return table.where("closed").drop("closed"), table.where("not closed").drop("closed")
 
     level = 0
-    done, left = write(read.mapInPandas(first, piece), level)
+    done, left = write(read.mapInArrow(first, piece), level)
     while n := left.select("sequence_id").distinct().count():
         level += 1
         tasks = -(-n // MERGE)
         dealt = left.repartition(tasks, "sequence_id") if tasks > 1 else left.coalesce(1)
-        more, left = write(dealt.sortWithinPartitions("sequence_id", "offset").mapInPandas(again(tasks == 1, level), piece), level)
+        more, left = write(dealt.sortWithinPartitions("sequence_id", "offset").mapInArrow(again(tasks == 1, level), piece), level)
         done = done.unionByName(more)
     return done.withColumnRenamed("doc_id", id_col)
