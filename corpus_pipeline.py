@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -9,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from vitrine.llm import line_dedup, near_dedup, packing, substring_dedup, weak_labels
-from vitrine.session import configure, shared_dir
+from vitrine.session import configure, own_folder, shared_dir
+from vitrine.sinks import tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,12 +42,40 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: What the last stage of a run has left in the shared folder: its number and its folder, by thread, session and inputs.
+_LEFT: dict[tuple, tuple[int, str]] = {}
+
+
+def _staged(number: int, name: str, stage: Stage) -> Stage:
+    """The stage, with its intermediates in a folder that goes when the next stage starts: by then its rows are written.
+
+    If the next stage's documents still read from that folder, it stays. So do the last stage's intermediates.
+    """
+
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run_of = threading.get_ident(), spark.sparkContext.applicationId, sf_dir
+        before, folder = _LEFT.pop(run_of, (None, ""))
+        if before is not None and before + 1 == number and not any(os.path.basename(folder) in file for file in docs.inputFiles()):
+            tables.remove(spark, folder)
+        with own_folder(spark, f"pipeline-{name.replace(' ', '-')}-work") as folder:
+            out = stage(spark, docs, sf_dir)
+        _LEFT[run_of] = number, folder
+        return out
+
+    return begin
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", quality),
-    ("line dedup", lines),
-    ("near dedup", near_copies),
-    ("substring dedup", passages),
-    ("packing", sequences),
+    (name, _staged(number, name, stage))
+    for number, (name, stage) in enumerate(
+        [
+            ("quality classifier", quality),
+            ("line dedup", lines),
+            ("near dedup", near_copies),
+            ("substring dedup", passages),
+            ("packing", sequences),
+        ]
+    )
 ]
 
 #: SQL cannot express the classifier, the sampling or the tokenizer; tests hold each stage against brute force.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,8 +44,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return configure(spark)
 
 
+_INSIDE: contextvars.ContextVar[str | None] = contextvars.ContextVar("inside", default=None)
+
+
+@contextlib.contextmanager
+def own_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """What is written to the shared folder inside lies in one folder there, which can be removed as a whole."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    mark = _INSIDE.set(path)
+    try:
+        yield path
+    finally:
+        _INSIDE.reset(mark)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; a fresh temporary one only for a local master."""
+    """The folder named by `spark.checkpoint.dir`; a fresh temporary one only for a local master. Inside `own_folder` that one."""
+    if inside := _INSIDE.get():
+        return inside
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")

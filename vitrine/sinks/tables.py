@@ -33,6 +33,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that it holds; nothing happens where there is none."""
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
 def replace_scan(df: DataFrame, path: str, partition: list[str] | None = None, scans: list | None = None) -> None:
     """Replace the partitions the batch touches; others stay. Running it twice changes nothing.
 
