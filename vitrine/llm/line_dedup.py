@@ -17,6 +17,7 @@ time (see the README).
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -36,6 +37,8 @@ CELLS = 1 << 18
 EPS = 1e-9
 #: Keys of a line by which it meets the heads of families. The result does not depend on it.
 RAREST = 4
+#: Shares of the keys that the whole join takes one after the other; a power of two. The result does not depend on it.
+SHARES = 4
 #: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
 
@@ -203,7 +206,10 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     index = _entries(first, F.col("prefix"))
 
     # One earlier match is enough: every open line is held against the earliest line that passes the filters.
-    tried = materialize(_earliest(_met(index, index, t)), "line-pairs")
+    # A share of the keys at a time: what the join shuffles is most of this step's disk, and it goes with each write.
+    shares = [index.where(F.col("key").bitwiseAND(SHARES - 1) == share) for share in range(SHARES)]
+    met = [materialize(_earliest(_met(some, some, t)), "line-met") for some in shares]
+    tried = materialize(_earliest(functools.reduce(DataFrame.unionByName, met)), "line-pairs")
     found = materialize(_alike(docs_text, tried, t), "line-alike").select(*_second(PLACE))
     # The lines that this has refused are held against all.
     still = materialize(tried.join(found, _second(PLACE), "left_anti").select(*_second(PLACE)).toDF(*PLACE), "line-still")
