@@ -1,6 +1,7 @@
 """Exact, line and substring dedup against brute force, over corpora with every hard case."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +94,16 @@ def test_empty_tables(documents):
     assert line_dedup.line_dedup(none).count() == 0
     assert substring_dedup.repeated_spans(none).count() == 0
     assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_the_whole_join_of_lines_takes_every_key_once(documents, monkeypatch):
+    taken, made, real, entries = [], [], line_dedup._met, line_dedup._entries
+    monkeypatch.setattr(line_dedup, "_entries", lambda *a: made.append(entries(*a)) or made[-1])
+    monkeypatch.setattr(line_dedup, "_met", lambda index, later, t: taken.append(index) or real(index, later, t))
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(rng.sample("abcdefghijkl", 6)) for _ in range(2))) for i in range(12)]
+    line_dedup.removed_lines(documents(rows))
+    keys = lambda table: {r.key for r in table.select("key").distinct().collect()}
+    shares, whole = [keys(x) for x in taken[1 : 1 + line_dedup.SHARES]], keys(made[1])
+    assert len(shares) == line_dedup.SHARES > 1 and max(map(len, shares)) < len(whole)
+    assert set().union(*shares) == whole and sum(map(len, shares)) == len(whole)
