@@ -107,3 +107,39 @@ def test_the_whole_join_of_lines_takes_every_key_once(documents, monkeypatch):
     shares, whole = [keys(x) for x in taken[1 : 1 + line_dedup.SHARES]], keys(made[1])
     assert len(shares) == line_dedup.SHARES > 1 and max(map(len, shares)) < len(whole)
     assert set().union(*shares) == whole and sum(map(len, shares)) == len(whole)
+
+
+def test_line_dedup_runs_no_python_on_the_executors(documents, monkeypatch):
+    written, real = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    out = line_dedup.line_dedup(documents([(1, "a b c d\nkeep this"), (2, "x y z\na b c d"), (3, "a b c d e")]))
+    plans = "\n".join([*written, out._jdf.queryExecution().executedPlan().toString()])
+    assert written and not any(word in plans for word in ("Python", "Pandas", "MapInArrow"))
+
+
+def test_refused_lines_of_a_family_make_no_row_for_each_pair(documents, monkeypatch):
+    rng = random.Random(9)
+    base = [f"word{i}" for i in range(20)]
+    rows = [(i, " ".join([w for w in base if rng.random() > 0.1] + [f"own{i}x{j}" for j in range(rng.randint(0, 2))])) for i in range(120)]
+    made, real = {}, line_dedup.materialize
+
+    def counted(df, name):
+        table = real(df, name)
+        made[name] = max(made.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    got = {r.k: r.removed for r in line_dedup.removed_lines(documents(rows)).collect()}
+    assert got == {k: v[1] for (k, _), v in brute.later_lines(rows, lambda t: 0).items()}
+    keys = max(len(t.split()) for _, t in rows)
+    assert max(made.values()) <= keys * len(rows)
+
+
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.65, 0.8, 0.95, 1.0])
+def test_lines_of_any_similarity_share_a_key(documents, similarity):
+    rng = random.Random(10)
+    letters = "abcdefghijklmnop"
+    rows = [(i, "\n".join(" ".join(rng.sample(letters[: rng.randint(2, 16)] + "xyz", rng.randint(1, 5))) for _ in range(4))) for i in range(30)]
+    rows += [(i, " ".join(rng.sample(letters, rng.randint(12, 16)))) for i in range(30, 60)]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(documents(rows), similarity=similarity).collect()}
+    assert got == {k: v[1] for (k, _), v in brute.later_lines(rows, lambda t: 0, similarity).items()}

@@ -1,116 +1,61 @@
 """Line dedup: an exact set-similarity join of lines, from which later matches are removed.
 
-Equal lines meet first, through an aggregate that keeps the earliest, so a line that a third of all documents
-hold is one row afterwards. The earliest lines are ordered inside by word rarity and indexed by their prefix:
-two sets with Jaccard similarity t share a word among the first |x| - ceil(t |x|) + 1 words of both. The length
-filter, the positional filter and a filter on word signatures, all of them lossless, are conditions of that
-join, so what they refuse never leaves it; what passes is verified on the words themselves.
-
-Rarity is counted over all lines in a table of fixed size, indexed by a hash of the word: words that share a
-cell are a little less rare than they could be, which costs time and never a match, since any order that all
-lines agree on gives right prefixes.
-
-Keys, prefixes and signatures are computed with numpy in batches; joins, filters and the verification are
-DataFrame operations. Written with array functions alone this step took more than twice its budget of CPU
-time (see the README).
+Equal lines meet first, by hash, so a line that a third of all documents hold is one row afterwards. Of each
+remaining line the different words are put in one order, long words first, and neighbours in that order are its
+keys. Two sets of n and m words with c of them in common differ by a = n - c and b = m - c words. Among the first
+a + b + 2 common words (the order ends in words that every line has) some two have none of the a + b others between
+them, so they are neighbours in both sets, and come after at most 2a + b words of the first set and a + 2b of the
+second. Lines of the similarity therefore share a key among the first `_reach` of each, and pairs of long words
+are rare enough that few other lines share one.
+
+The length filter, the positional filter and a filter on word signatures, all of them lossless, are conditions of
+semi joins: an entry stays if any partner passes, and no row is made for each partner. What is left, a small part of
+the lines, is verified by the words, in semi joins again: with one key a line first, then with all.
+
+Everything is DataFrame work. Words are told apart by a hash of 56 bits and their lengths.
 """
 
 from __future__ import annotations
 
+import contextlib
 import functools
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-
-from vitrine.llm.batches import small_batches
-from vitrine.llm.counting import cell_totals
-from vitrine.llm.filters import join_touched, maybe_in
-from vitrine.llm.scanned import buffers, scan
-from vitrine.llm.words import id_key, text_or_empty, words_of
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from vitrine.llm.filters import bit, join_touched, maybe_in
+from vitrine.llm.words import BLANKS, id_key, split_blanks, text_or_empty
 from vitrine.session import materialize
 
-#: Cells of the rarity table; with 4 bytes a cell it is the only thing that is sent to every task.
-CELLS = 1 << 18
+#: Bits of the bitmaps that spare rows a shuffle. The result does not depend on it.
+CELLS = 1 << 22
 EPS = 1e-9
-#: Keys of a line by which it meets the heads of families. The result does not depend on it.
-RAREST = 4
+HASH = (1 << 56) - 1
 #: Shares of the keys that the whole join takes one after the other; a power of two. The result does not depend on it.
-SHARES = 4
+SHARES = 2
 #: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
+FINE = ["sig0", "sig1", "sig2", "sig3"]
+LOCAL_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
-def _second(columns: list[str]) -> list[str]:
-    return [c + "2" for c in columns]
-
+def _numbered(line: Column) -> Column:
+    """The different words of a line as negative numbers in order: the longer word first, words of one length by hash."""
 
-def _rarity(texts: DataFrame, cells: int) -> np.ndarray:
-    """How often the words of each cell occur; `cells` numbers reach the driver."""
+    def number(word: Column) -> Column:
+        length = F.least(F.octet_length(word), F.lit(127)).cast("long")
+        return F.xxhash64(word).bitwiseAND(HASH).bitwiseOR(F.shiftleft(-length, 56))
 
-    def count(text: bytes) -> np.ndarray:
-        return np.bincount((scan(text)[1] & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    # The empty pieces between blanks have no length, and so a number that no word has.
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(split_blanks(line), number), F.xxhash64(F.lit("")).bitwiseAND(HASH))))
 
-    return np.minimum(cell_totals(texts, count, cells), 2**20 - 1).astype(np.uint64)
 
+def _reach(n: Column, t: float) -> Column:
+    """How many of its first keys a line of n words shares one of with any line of the similarity: the most that 2a + b can be, and 1.
 
-def prefixes(line: np.ndarray, h: np.ndarray, rarity: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For words of hashes h in the lines 0, 1, ..., each with a word: the number of different words, two signatures, and
-    the keys of the prefixes with the length of each line's.
-
-    A key is 20 bits of rarity over 43 bits of hash. The signatures hold half of the words in 128 bits: a bit
-    in which two lines differ stands for a word that one of them lacks.
+    It is linear in the other line's size, so the most lies at the least or the greatest size, t * n or n / t.
     """
-    keys = (rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)] << np.uint64(43)) | (h >> np.uint64(21))
-    order = np.lexsort((h, keys, line))
-    h, keys, line = h[order], keys[order], line[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])])
-    keys, line = keys[new], line[new]
-    n = np.bincount(line)
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    bit = np.where(keys & np.uint64(0x80), np.uint64(0), np.uint64(1) << (keys & np.uint64(63)))
-    upper = (keys & np.uint64(0x40)).astype(bool)
-    bits, more = (np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts).view(np.int64) for side in (~upper, upper))
-    length = n - np.ceil(n * t - EPS).astype(np.int64) + 1
-    first = np.arange(len(keys)) - starts[line] < length[line]
-    return n, bits, more, keys[first].view(np.int64), length
-
-
-def _first_lines(texts: DataFrame, t: float, cells: int) -> DataFrame:
-    """(k, d, no, n, bits, more, prefix): of lines that are equal byte for byte the earliest."""
-    rarity = texts.sparkSession.sparkContext.broadcast(_rarity(texts, cells))  # `cells` numbers
-
-    def rows(ids: np.ndarray, ranks: np.ndarray, held: list[bytes]) -> pa.RecordBatch | None:
-        text = b"\n".join(held)
-        begins, h = scan(text)
-        if not len(h):
-            return None
-        feeds = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-        at, line = np.unique(np.searchsorted(feeds, begins), return_inverse=True)
-        counts = np.array([x.count(b"\n") + 1 for x in held])
-        doc = np.repeat(np.arange(len(held)), counts)[at]
-        no = at - (np.cumsum(counts) - counts)[doc]
-        low, high = np.concatenate([[0], feeds + 1])[at], np.concatenate([feeds, [len(text)]])[at]
-        digests = [hashlib.md5(text[i:j]).digest() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-        n, bits, more, keys, length = prefixes(line, h, rarity.value, t)
-        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(keys))
-        columns = [pa.array(ids[doc]), pa.array(ranks[doc]), pa.array(no.astype(np.int32)), pa.array(digests, pa.binary()), pa.array(n.astype(np.int32)), pa.array(bits), pa.array(more), prefix]
-        return pa.RecordBatch.from_arrays(columns, ["k", "d", "no", "h", "n", "bits", "more", "prefix"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, ranks = b.column("k").to_numpy(), b.column("d").to_numpy()
-            done = 0
-            for held in buffers(x.as_py() for x in b.column("text")):
-                made = rows(ids[done : done + len(held)], ranks[done : done + len(held)], held)
-                done += len(held)
-                if made is not None:
-                    yield made
-
-    lines = texts.select("k", "d", "text").mapInArrow(keyed, "k long, d long, no int, h binary, n int, bits long, more long, prefix array<long>")
-    return lines.groupBy("h").agg(F.min(F.struct(*PLACE, "n", "bits", "more", "prefix")).alias("line")).select("line.*")
+    return (F.floor(F.greatest(n * (2 * (1 - t)), n * (1 / t - 1)) + 1e-6) + 1).cast("int")
 
 
 def _least_overlap(n: Column, m: Column, t: float) -> Column:
@@ -118,60 +63,132 @@ def _least_overlap(n: Column, m: Column, t: float) -> Column:
     return F.ceil((n + m) * F.lit(t / (1 + t)) - EPS)
 
 
-def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
-    """Rows (k, d, no, k2, d2, no2) of prefix entries of different lines, the first one earlier, that pass every filter.
+def _pieces(docs_text: DataFrame) -> DataFrame:
+    """(k, d, no, line) of all lines."""
+    return docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
-    Both sides are named anew in the same way: where they are one table, their plans are alike and Spark writes one exchange for both.
-    """
-    one, two = (side.select(*[F.col(c).alias(c + end) for c in index.columns]) for side, end in ((index, "1"), (later, "2")))
-    first, second = ([c + end for c in PLACE] for end in ("1", "2"))
-    n, m = F.col("n1"), F.col("n2")
+
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit("".join(BLANKS))) != ""
+
+
+def _repeats(places: DataFrame, cells: int) -> DataFrame:
+    """The places of lines that an earlier line equals byte for byte, of (k, d, no, h)."""
+    several = materialize(places.groupBy("h").agg(F.min("k").alias("low"), F.count("*").alias("c")).where("c > 1").select("h", "low"), "line-several")
+    some = materialize(places.where(maybe_in("h", several.select("h"), cells)).join(several, "h"), "line-some")
+    # Most of them are in other documents than the first.
+    near, inside = some.where("k = low"), F.struct("d", "no")
+    first = near.groupBy("h").agg(F.min(inside).alias("at"), F.max(inside).alias("last")).where("at < last").select("h", "at")
+    later = some.where("k > low").select(*PLACE).unionByName(near.join(first, "h").where(F.col("at") != inside).select(*PLACE))
+    return materialize(later.distinct(), "line-repeats")
+
+
+def _without(lines: DataFrame, places: DataFrame, cells: int) -> DataFrame:
+    """The lines at other places; only those that may be at one of these are shuffled."""
+    here = F.xxhash64(*PLACE)
+    maybe = F.coalesce(maybe_in(here, places.select(here), cells), F.lit(False))
+    return lines.where(~maybe).unionByName(lines.where(maybe).join(places, PLACE, "left_anti"))
+
+
+def _sets(lines: DataFrame, t: float) -> DataFrame:
+    """(id, k, d, no, n, sig, prefix) of lines with a word: an id, the number of different words, a signature, and the words of the first keys."""
+    sets = lines.where(_has_word(F.col("line"))).select(*PLACE, _numbered(F.col("line")).alias("words"))
+    prefix = F.slice("words", F.lit(1), _reach(F.size("words"), t) + 1)
+    return sets.select(F.monotonically_increasing_id().alias("id"), *PLACE, F.size("words").alias("n"), _signature(F.col("words")).alias("sig"), prefix.alias("prefix"))
+
+
+def _signature(words: Column, own: Callable[[Column], Column] | None = None) -> Column:
+    """Each word, or each for which `own` is true, turns over one of 64 bits, so two lines differ by as many words as bits, at least."""
+    none = F.lit(0).cast("long")
+    turn = (lambda word: F.when(own(word), bit(word)).otherwise(none)) if own else bit
+    return F.aggregate(words, none, lambda all_, word: all_.bitwiseXOR(turn(word)))
+
+
+def _fine(words: Column) -> list[Column]:
+    """The words dealt to four signatures, which tell more of them apart than one."""
+    return [_signature(words, lambda word: F.shiftright(word, 6).bitwiseAND(3) == part).alias(c) for part, c in enumerate(FINE)]  # noqa: B023
+
+
+def _entries(lines: DataFrame, begin: Column, end: Column) -> DataFrame:
+    """A row for each of the lines' keys from number `begin` to before `end`; behind a line's last word stand 0, 1, ..., as in every line."""
+    word = lambda pos: F.coalesce(F.get("prefix", pos), (pos - F.col("n")).cast("long"))
+    pos = F.col("pos")
+    placed = lines.where(begin < end).select("id", "n", "sig", "prefix", F.explode(F.sequence(begin, end - 1)).alias("pos"))
+    return placed.select("id", "n", "sig", "pos", F.xxhash64(word(pos), word(pos + 1)).alias("key"))
+
+
+def _place(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}") for c in PLACE])
+
+
+def _passes(t: float, signatures: list[str]) -> Column:
+    """Entries `one` and `two` of different lines share a key and pass the filters on sizes, positions and signatures."""
+    n, m = F.col("one.n"), F.col("two.n")
     need = _least_overlap(n, m, t)
-    differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits2"))) + F.bit_count(F.col("more1").bitwiseXOR(F.col("more2")))
-    met = (
-        (F.col("key1") == F.col("key2"))
-        & (F.struct(*[F.col(c).alias(p) for c, p in zip(first, PLACE, strict=True)]) < F.struct(*[F.col(c).alias(p) for c, p in zip(second, PLACE, strict=True)]))
+    return (
+        (F.col("one.key") == F.col("two.key"))
+        & (F.col("one.id") != F.col("two.id"))
         & (F.least(n, m) >= F.greatest(n, m) * t - EPS)
-        & (F.least(n - F.col("pos1"), m - F.col("pos2")) >= need)
-        & (differ <= n + m - 2 * need)
+        & (functools.reduce(Column.__add__, [F.bit_count(F.col(f"one.{c}").bitwiseXOR(F.col(f"two.{c}"))) for c in signatures]) <= n + m - 2 * need)
+        & (F.col("one.pos") <= 2 * n + m - 3 * need)
+        & (F.col("two.pos") <= n + 2 * m - 3 * need)
     )
-    if "open" in later.columns:
-        met &= F.col("open2")
-    return one.join(two, met).select(*[F.col(c).alias(p) for c, p in zip(first, PLACE, strict=True)], *second)
 
 
-def _entries(lines: DataFrame, prefix: Column) -> DataFrame:
-    """A row for each key of the lines' prefixes."""
-    return lines.select(*[c for c in lines.columns if c != "prefix"], F.posexplode(prefix).alias("pos", "key"))
+def _similar(words: Column, other: Column, t: float) -> Column:
+    return F.size(F.array_intersect(words, other)) >= _least_overlap(F.size(words), F.size(other), t)
 
 
-def _earliest(pairs: DataFrame) -> DataFrame:
-    """For each later line of the pairs the pair with the earliest line."""
-    return pairs.groupBy(*_second(PLACE)).agg(F.min(F.struct(*PLACE)).alias("at")).select("at.*", *_second(PLACE))
+def _met(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
+    """The entries of `later` that an entry of another line in `index` meets, which passes every filter.
+
+    Columns keep their names: where both are one table, their plans are alike and Spark writes one exchange for both.
+    """
+    return later.alias("two").join(index.alias("one"), _passes(t, ["sig"]), "left_semi")
+
 
+def _met_before(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
+    """The entries of `later` that an entry of an earlier line in `index` meets, by words too where both sides have them."""
+    met = _passes(t, FINE) & (_place("one") < _place("two"))
+    if "words" in later.columns:
+        met &= _similar(F.col("one.words"), F.col("two.words"), t)
+    return later.alias("two").join(index.alias("one"), met, "left_semi")
 
-def _fetch(docs_text: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, d, no, words) of the wanted (k, d, no): texts are cut where they lie, and only lines that may be wanted are shuffled."""
-    wanted, here = materialize(wanted.distinct(), "line-wanted"), F.xxhash64(*PLACE)
-    lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(maybe_in(here, wanted.select(here), 1 << 22))
+
+def _leads(index: DataFrame, later: DataFrame, t: float, cells: int) -> DataFrame:
+    """The entries of `index` that meet an entry of a later line in `later`."""
+    some = index.where(maybe_in("key", later.select("key"), cells))
+    return some.alias("one").join(later.alias("two"), _passes(t, FINE) & (_place("one") < _place("two")), "left_semi")
+
+
+def _fetch(docs_text: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
+    """(id, k, d, no, words, fine signatures) of the wanted (id, k, d, no): texts are cut where they lie, and only lines that may be wanted are shuffled."""
+    here = F.xxhash64(*PLACE)
+    lines = _pieces(docs_text).where(maybe_in(here, wanted.select(here), cells))
     # Rows that repeat an id and its text repeat their lines.
-    return lines.join(wanted, PLACE, "left_semi").select(*PLACE, F.array_distinct(words_of(F.col("line"))).alias("words"))
+    words = lines.join(wanted, PLACE).select("id", *PLACE, "line").distinct().select("id", *PLACE, _numbered(F.col("line")).alias("words"))
+    return materialize(words.select("*", *_fine(F.col("words"))), "line-words")
 
 
-def _alike(docs_text: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """Of the pairs those whose lines have the similarity, by their words."""
-    ends = pairs.select(*PLACE).union(pairs.select(*_second(PLACE)).toDF(*PLACE))
-    words = materialize(_fetch(docs_text, ends), "line-words").dropDuplicates([*PLACE, "words"])
-    other = words.toDF(*_second([*PLACE, "words"]))
-    common = F.size(F.array_intersect("words", "words2"))
-    both = pairs.join(words, PLACE).join(other, _second(PLACE))
-    return both.where(common >= (F.size("words") + F.size("words2") - common) * t - EPS).select(*PLACE, *_second(PLACE)).distinct()
+@contextlib.contextmanager
+def _hashed(spark: SparkSession) -> Iterator[None]:
+    """A shuffled join whose partitions have all turned out small is a hash join, without a sort of both sides; AQE measures them first."""
+    before = spark.conf.get(LOCAL_MAP)
+    spark.conf.set(LOCAL_MAP, spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(LOCAL_MAP, before)
 
 
 def _apart(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """A hash of the text for rows whose id may stand on different texts, 0 for all others, whose lines are then narrower rows."""
+    twice = materialize(docs.select(id_key(id_col).alias("k")).groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "line-ids")
+    if twice.isEmpty():
+        return F.lit(0).cast("long")
     text = F.xxhash64(text_or_empty(text_col))
-    several = docs.select(id_key(id_col).alias("k"), text.alias("d")).groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
+    some = docs.where(maybe_in(id_key(id_col), twice)).select(id_key(id_col).alias("k"), text.alias("d"))
+    several = some.groupBy("k").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
     return F.when(maybe_in(id_key(id_col), several.select("k")), text).otherwise(F.lit(0).cast("long"))
 
 
@@ -184,52 +201,52 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed itself. Earlier is the smaller id, then the smaller hash of the text, then the smaller number. Lines without words
     are no lines here: they match nothing and stay. Rows that repeat an id and its text are one document; rows of
     one id with other texts are documents of their own, in the order of their hashes; null ids come after all others.
+    `cells` is the size of the bitmaps that spare rows a shuffle.
     """
-    small_batches(docs.sparkSession)
-    return _removed(docs.select(id_key(id_col).alias("k"), _apart(docs, id_col, text_col).alias("d"), text_or_empty(text_col).alias("text")), similarity, cells)
+    with _hashed(docs.sparkSession):
+        return _removed(docs.select(id_key(id_col).alias("k"), _apart(docs, id_col, text_col).alias("d"), text_or_empty(text_col).alias("text")), similarity, max(cells, 64))
 
 
 def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     """`removed_lines` of documents (k, d, text)."""
-    lines = docs_text.select("k", "d", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-
-    first = materialize(_first_lines(docs_text, t, cells), "line-firsts")
-
-    # Families of thousands of like lines first: a line is held against the earliest lines of its rarest words, one for
-    # each size. What this matches needs no other match; the rest, whatever it has met here, goes on to the whole join.
-    rarest = _entries(first, F.slice("prefix", 1, RAREST))
-    heads = rarest.groupBy("key", "n").agg(F.min(F.struct(*PLACE, "bits", "more", "pos")).alias("head")).select("head.*", "n", "key").select(*rarest.columns)
-    led = materialize(_earliest(_met(heads, rarest, t)), "line-heads")
-    led = materialize(_alike(docs_text, led, t).select(*_second(PLACE)), "line-led")
-    marked = first.join(led.toDF(*PLACE).withColumn("led", F.lit(True)), PLACE, "left")
-    first = materialize(marked.withColumn("open", F.col("led").isNull()).drop("led"), "line-open")
-    index = _entries(first, F.col("prefix"))
-
-    # One earlier match is enough: every open line is held against the earliest line that passes the filters.
-    # A share of the keys at a time: what the join shuffles is most of this step's disk, and it goes with each write.
+    counted = docs_text.withColumn("n_lines", F.size(F.filter(F.split("text", "\n"), _has_word)).cast("long"))
+    lines = counted.select("k", "d", "n_lines", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(_has_word(F.col("line")))
+    places = materialize(lines.select(*PLACE, "n_lines", F.unhex(F.md5("line")).alias("h")), "line-places")
+    repeats = _repeats(places.drop("n_lines"), cells)
+
+    first = materialize(_sets(_without(_pieces(docs_text), repeats, cells), t), "line-firsts")
+
+    # Keys that reach behind a line's last word, which at 0.8 only lines of one word have, then the others,
+    # a share at a time: what the join shuffles is most of this step's disk, and it goes with each write.
+    reach, last = _reach(F.col("n"), t), F.col("n") - 1
+    short = _entries(first, last, reach)
+    index = _entries(first, F.lit(0), F.least(reach, last))
     shares = [index.where(F.col("key").bitwiseAND(SHARES - 1) == share) for share in range(SHARES)]
-    met = [materialize(_earliest(_met(some, some, t)), "line-met") for some in shares]
-    tried = materialize(_earliest(functools.reduce(DataFrame.unionByName, met)), "line-pairs")
-    found = materialize(_alike(docs_text, tried, t), "line-alike").select(*_second(PLACE))
-    # The lines that this has refused are held against all.
-    still = materialize(tried.join(found, _second(PLACE), "left_anti").select(*_second(PLACE)).toDF(*PLACE), "line-still")
-    if not still.isEmpty():
-        few = first.where(maybe_in(F.xxhash64(*PLACE), still.select(F.xxhash64(*PLACE)), 1 << 22)).join(still.hint("merge"), PLACE, "left_semi")
-        later = materialize(_entries(few, F.col("prefix")), "line-later")
-        rest = _met(index.where(maybe_in("key", later.select("key"), 1 << 22)), later, t).distinct()
-        rest = materialize(rest.join(tried, [*PLACE, *_second(PLACE)], "left_anti"), "line-pairs")
-        found = found.unionByName(_alike(docs_text, rest, t).select(*_second(PLACE)))
-    matched = found.unionByName(led).toDF(*PLACE).select(F.struct(*PLACE).alias("at")).distinct().withColumn("later", F.lit(True))
-
-    occurrences = materialize(lines.select(*PLACE, F.unhex(F.md5("line")).alias("h")), "line-places")
-    firsts = occurrences.groupBy("h").agg(F.min(F.struct(*PLACE)).alias("at"))
-    firsts = materialize(firsts.join(matched, "at", "left").select("h", "at", F.coalesce("later", F.lit(False)).alias("later")), "line-firsts")
-    judged = occurrences.join(firsts, "h").select(*PLACE, (F.col("later") | (F.col("at") != F.struct(*PLACE))).alias("out")).distinct()
-    return judged.groupBy("k", "d").agg(
-        F.count("*").alias("n_lines"),
-        F.count_if("out").alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("out"), F.col("no")))).alias("removed"),
-    )
+    met = functools.reduce(DataFrame.unionByName, [materialize(_met(some, some, t), "line-met") for some in [short, *shares]])
+
+    # From here on only lines that may be alike, with their words.
+    words = _fetch(docs_text, materialize(first.select("id", *PLACE).join(met.select("id").distinct(), "id", "left_semi"), "line-wanted"), cells)
+    near = materialize(met.drop("sig").join(words.drop("words"), "id"), "line-near")
+    words = words.select("id", "words")
+
+    def verified(some: DataFrame, left: DataFrame) -> DataFrame:
+        """The lines of the entries `left` that an earlier line of the entries `some` matches."""
+        left = materialize(left.join(words, "id"), "line-left")
+        found = _met_before(_leads(some, left, t, cells).join(words, "id"), left, t)
+        return materialize(found.select("id", *PLACE).distinct(), "line-found")
+
+    # One key for each line matches most of them, and spares their others. The rest is held against all by every key.
+    front = near.where("pos < 2")
+    keyed = _met_before(front, front, t).groupBy(*[c for c in near.columns if c not in ("key", "pos")])
+    led = verified(front, keyed.agg(F.min("pos").alias("pos"), F.min_by("key", "pos").alias("key")).select(*near.columns))
+    still = materialize(_met_before(near, near.join(led, "id", "left_anti"), t), "line-still")
+    found = [repeats, led] if still.isEmpty() else [repeats, led, verified(near, still)]
+    matched = functools.reduce(DataFrame.unionByName, [f.select(*PLACE) for f in found])
+
+    out = materialize(matched.groupBy("k", "d").agg(F.sort_array(F.collect_set("no")).alias("removed")), "line-out")
+    totals = places.groupBy("k", "d").agg(F.max("n_lines").alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return totals.join(out, ["k", "d"], "left").select("k", "d", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
@@ -237,7 +254,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null. See `removed_lines` for what is removed.
     """
-    small_batches(docs.sparkSession)
     apart = _apart(docs, id_col, text_col)
     docs_text = docs.select(id_key(id_col).alias("k"), apart.alias("d"), text_or_empty(text_col).alias("text"))
     place = F.struct(id_key(id_col).alias("k"), apart.alias("d"))
