@@ -62,3 +62,14 @@ def test_known_words_are_looked_up_once():
     Counted.looked = 0
     assert m.many(words) == ["A", "B", "A", "C"]
     assert Counted.looked == len(words)
+
+
+def test_a_word_and_the_sign_behind_it_are_cut_without_a_pattern(monkeypatch):
+    w = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["Then,", "then", "THEN.", "a1", "A~", "x'", "-", "7", "don't", "we'll,", "né,", "a\x01", "\x7f", "a\x7f", "(so)", "'s", "s'", "Re's"]
+    want = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in words]
+    assert [w.encode(x).tolist() for x in words] == want
+    cut = []
+    monkeypatch.setattr(packing, "SHOWN_SPLIT", type("Pattern", (), {"findall": staticmethod(lambda word: cut.append(word) or [word])}))
+    again = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert [again.encode(x).tolist() for x in words[:6]] == want[:6] and not [x for x in cut if len(x) > 1]

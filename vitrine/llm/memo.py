@@ -42,16 +42,18 @@ class Memo:
         young, old, make, size = self.young, self.old, self.make, 0
         out = list(map(young.get, keys))
         if None in out:
+            longest, last = self.longest, old.get
             for i in [i for i, value in enumerate(out) if value is None]:
                 k = keys[i]
                 value = young.get(k)  # it may have come further up in the same call
                 if value is None:
-                    value = old.get(k)
+                    value = last(k)
                     if value is None:
                         value = make(k)
-                    if len(k) <= self.longest:
+                    n = len(k)
+                    if n <= longest:
                         young[k] = value
-                        size += 2 * len(k) + ENTRY
+                        size += 2 * n + ENTRY
                 out[i] = value
             self.size += size
             self._turn()

@@ -75,23 +75,30 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.words = Memo(self._ids, MEMO_BYTES)
 
+    def _model_ids(self, text: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text)]
+        return pack_ids(f"<{len(ids)}i", *ids)
+
     def _ids(self, word: bytes) -> bytes:
+        # Most words are letters, or letters and one other sign behind them, and need no pattern to be cut.
+        if word.isalpha():
+            low = word.lower()
+            return self._model_ids(word.decode()) if low == word else self.words.one(low)
+        known = self.words.young.get
+        if word[:-1].isalpha() and 33 <= word[-1] <= 126:
+            low, sign = word[:-1].lower(), word[-1:]
+            return (known(low) or self.words.one(low)) + (known(sign) or self.words.one(sign))
         if SHOWN.fullmatch(word):
             # Printable ASCII stands for itself in the vocabulary, and needs no characters to be cut.
-            low = word.lower()
-            parts = SHOWN_SPLIT.findall(low) if not word.isalpha() else [low]
+            parts = SHOWN_SPLIT.findall(word.lower())
             if parts != [word]:
-                known = self.words.young.get
                 return b"".join([known(p) or self.words.one(p) for p in parts])
-            ids = [t.id for t in self.model.tokenize(word.decode())]
-            return pack_ids(f"<{len(ids)}i", *ids)
+            return self._model_ids(word.decode())
         text = word.decode()
         if LATIN.fullmatch(word):
-            low = text.lower()
-            parts = SPLIT.findall(low)
+            parts = SPLIT.findall(text.lower())
             if parts == [text]:
-                shown = word.decode("latin-1").translate(self.letters)
-                return np.array([t.id for t in self.model.tokenize(shown)], "<i4").tobytes()
+                return self._model_ids(word.decode("latin-1").translate(self.letters))
             # A pre-token is a word of its own and has the same ids there.
             return b"".join([self.words.one(p.encode()) for p in parts])
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
