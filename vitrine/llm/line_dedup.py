@@ -35,7 +35,7 @@ HASH = (1 << 56) - 1
 SHARES = 2
 #: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
-FINE = ["sig0", "sig1", "sig2", "sig3"]
+FINE = ["sig0", "sig1"]
 LOCAL_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
@@ -105,8 +105,8 @@ def _signature(words: Column, own: Callable[[Column], Column] | None = None) ->
 
 
 def _fine(words: Column) -> list[Column]:
-    """The words dealt to four signatures, which tell more of them apart than one."""
-    return [_signature(words, lambda word: F.shiftright(word, 6).bitwiseAND(3) == part).alias(c) for part, c in enumerate(FINE)]  # noqa: B023
+    """The words dealt to two signatures, which tell more of them apart than one."""
+    return [_signature(words, lambda word: F.shiftright(word, 6).bitwiseAND(1) == part).alias(c) for part, c in enumerate(FINE)]  # noqa: B023
 
 
 def _entries(lines: DataFrame, begin: Column, end: Column) -> DataFrame:
@@ -232,7 +232,8 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     def verified(some: DataFrame, left: DataFrame) -> DataFrame:
         """The lines of the entries `left` that an earlier line of the entries `some` matches."""
         left = materialize(left.join(words, "id"), "line-left")
-        found = _met_before(_leads(some, left, t, cells).join(words, "id"), left, t)
+        ahead = materialize(_leads(some, left, t, cells), "line-ahead")
+        found = _met_before(ahead.join(words, "id"), left, t)
         return materialize(found.select("id", *PLACE).distinct(), "line-found")
 
     # One key for each line matches most of them, and spares their others. The rest is held against all by every key.
