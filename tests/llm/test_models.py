@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
@@ -273,6 +274,22 @@ def test_licences(documents):
     assert license_scan.license_scan(documents(rows).where("doc_id > 9")).count() == 0
 
 
+
+def test_texts_without_a_word_of_a_known_sentence_are_not_cut(documents, monkeypatch):
+    known = [license_scan.plain(s) for s in license_scan.SENTENCES]
+    words = license_scan.anchors(known)
+    assert all(any(w in s.split(" ") for w in words) for s in known) and len(words) < len(known) / 2
+    hidden = ["ALL RIGHTS RESERVED.", "all rights re\rserved.", "all\nrights\nreserved.", "All rights re\u017ferved.", "Licen\u212aed", "Licensed under the MIT Licen\rse.", "(all)rights--reserved!\nbye", "a. b"]
+    rows = [*enumerate(hidden), (98, None), (99, "plain words. " * 50)]
+    scan = lambda: sorted(tuple(r) for r in license_scan.license_scan(documents(rows)).collect())
+    got = scan()
+    monkeypatch.setattr(license_scan, "_may_hold", lambda text, known: F.lit(True))
+    assert got == scan() and {r[0] for r in got if r[1]} == {0, 1, 2, 5, 6}
+    monkeypatch.undo()
+    plan = documents(rows).select(license_scan._may_hold(F.col("text"), known).alias("may"), "doc_id")
+    assert {r.doc_id for r in plan.where("may").collect()} <= set(range(len(hidden))) - {7}
+
+
 GNU = "    This program is free software{0} you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation{1} either version {2} of the License, or\n    (at your option) any later version.\n\n    This program is distributed in the hope that it will be useful,\n    but WITHOUT ANY WARRANTY; without even the implied warranty of\n    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n    GNU General Public License for more details.\n\n    You should have received a copy of the GNU General Public License\n    along with this program.  If not, see <https://www.gnu.org/licenses/>.\n"
 BSD = "Copyright (c) 2020, A. Nyone\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n{0}Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n{2}\n{1}Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
 NOTICES = {
