@@ -117,6 +117,24 @@ def test_line_dedup_runs_no_python_on_the_executors(documents, monkeypatch):
     assert written and not any(word in plans for word in ("Python", "Pandas", "MapInArrow"))
 
 
+
+def test_line_texts_are_cut_once_into_sets_and_words_go_only_to_lines_to_verify(documents, monkeypatch):
+    plans, made, real = {}, {}, line_dedup.materialize
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    rows = [(i, f"a b c d e f g h i{i % 3}\nown{i} words{i} of{i} this{i} line{i}") for i in range(30)]
+    got = {r.k: r.removed for r in line_dedup.removed_lines(documents(rows), cells=1 << 10).collect()}
+    assert got == {k: v[1] for (k, _), v in brute.later_lines(rows, lambda t: 0).items()}
+    assert "hashpartitioning" not in plans["line-sets"] and plans["line-sets"].count("Scan ExistingRDD") == 1
+    one = made["line-one"].collect()
+    assert len({r.id for r in one}) == len(one) == made["line-left"].count() == 2
+
+
 def test_refused_lines_of_a_family_make_no_row_for_each_pair(documents, monkeypatch):
     rng = random.Random(9)
     base = [f"word{i}" for i in range(20)]

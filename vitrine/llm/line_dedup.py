@@ -27,12 +27,12 @@ from vitrine.llm.filters import bit, join_touched, maybe_in
 from vitrine.llm.words import BLANKS, id_key, split_blanks, text_or_empty
 from vitrine.session import materialize
 
-#: Bits of the bitmaps that spare rows a shuffle. The result does not depend on it.
-CELLS = 1 << 22
+#: The bitmaps that spare rows a shuffle have at least `CELLS` bits for each value they hold, up to `MOST` bits. The result does not depend on it.
+CELLS, MOST = 12, 1 << 25
 EPS = 1e-9
 HASH = (1 << 56) - 1
 #: Shares of the keys that the whole join takes one after the other; a power of two. The result does not depend on it.
-SHARES = 2
+SHARES = 4
 #: A line's place: its document's id, a hash that tells different texts of one id apart (see `_apart`), and its number.
 PLACE = ["k", "d", "no"]
 FINE = ["sig0", "sig1"]
@@ -40,14 +40,14 @@ LOCAL_MAP = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 
 
 def _numbered(line: Column) -> Column:
-    """The different words of a line as negative numbers in order: the longer word first, words of one length by hash."""
+    """The different words of a line as numbers in order: of words of up to 127 bytes, whose numbers are negative, the longer first, words of one length by hash."""
 
     def number(word: Column) -> Column:
-        length = F.least(F.octet_length(word), F.lit(127)).cast("long")
-        return F.xxhash64(word).bitwiseAND(HASH).bitwiseOR(F.shiftleft(-length, 56))
+        length = F.octet_length(word)
+        return F.xxhash64(word).bitwiseAND(HASH).bitwiseOR(F.shiftleft(F.bitwise_not(length).cast("long"), 56))
 
-    # The empty pieces between blanks have no length, and so a number that no word has.
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(split_blanks(line), number), F.xxhash64(F.lit("")).bitwiseAND(HASH))))
+    # The empty pieces between blanks have no length.
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(split_blanks(line), number), number(F.lit("")))))
 
 
 def _reach(n: Column, t: float) -> Column:
@@ -72,10 +72,10 @@ def _has_word(line: Column) -> Column:
     return F.ltrim(line, F.lit("".join(BLANKS))) != ""
 
 
-def _repeats(places: DataFrame, cells: int) -> DataFrame:
+def _repeats(places: DataFrame, cells: int | None) -> DataFrame:
     """The places of lines that an earlier line equals byte for byte, of (k, d, no, h)."""
     several = materialize(places.groupBy("h").agg(F.min("k").alias("low"), F.count("*").alias("c")).where("c > 1").select("h", "low"), "line-several")
-    some = materialize(places.where(maybe_in("h", several.select("h"), cells)).join(several, "h"), "line-some")
+    some = materialize(places.where(_maybe("h", several.select("h"), cells)).join(several, "h"), "line-some")
     # Most of them are in other documents than the first.
     near, inside = some.where("k = low"), F.struct("d", "no")
     first = near.groupBy("h").agg(F.min(inside).alias("at"), F.max(inside).alias("last")).where("at < last").select("h", "at")
@@ -83,18 +83,32 @@ def _repeats(places: DataFrame, cells: int) -> DataFrame:
     return materialize(later.distinct(), "line-repeats")
 
 
-def _without(lines: DataFrame, places: DataFrame, cells: int) -> DataFrame:
-    """The lines at other places; only those that may be at one of these are shuffled."""
+def _maybe(column: str | Column, known: DataFrame, cells: int | None) -> Column:
+    """False only where `column` is not in `known`, whose rows say how large the bitmap is if `cells` does not."""
+    cells = min(1 << max(14, (CELLS * known.count() - 1).bit_length()), MOST) if cells is None else max(cells, 64)
+    return F.coalesce(maybe_in(column, known, cells), F.lit(False))
+
+
+def _firsts(docs_text: DataFrame, places: DataFrame, repeats: DataFrame, t: float, cells: int | None) -> DataFrame:
+    """`_sets` of the lines at those of `places` that `repeats` does not hold.
+
+    What a bitmap of the repeats holds back is told from them by places alone. Where such a line may be, its set is
+    made with the others and held against these places afterwards: no line's text is shuffled, and texts are cut once.
+    """
     here = F.xxhash64(*PLACE)
-    maybe = F.coalesce(maybe_in(here, places.select(here), cells), F.lit(False))
-    return lines.where(~maybe).unionByName(lines.where(maybe).join(places, PLACE, "left_anti"))
+    maybe = _maybe(here, repeats.select(here), cells)
+    spared = materialize(places.where(maybe).select(*PLACE).join(repeats, PLACE, "left_anti"), "line-spared")
+    lines = _pieces(docs_text).withColumn("maybe", maybe).where(~F.col("maybe") | _maybe(here, spared.select(here), cells))
+    sets = materialize(_sets(lines, t), "line-sets")
+    kept = materialize(sets.where("maybe").join(spared, PLACE, "left_semi").select(*sets.columns), "line-spared-sets")
+    return sets.where("not maybe").unionByName(kept).drop("maybe")
 
 
 def _sets(lines: DataFrame, t: float) -> DataFrame:
-    """(id, k, d, no, n, sig, prefix) of lines with a word: an id, the number of different words, a signature, and the words of the first keys."""
-    sets = lines.where(_has_word(F.col("line"))).select(*PLACE, _numbered(F.col("line")).alias("words"))
-    prefix = F.slice("words", F.lit(1), _reach(F.size("words"), t) + 1)
-    return sets.select(F.monotonically_increasing_id().alias("id"), *PLACE, F.size("words").alias("n"), _signature(F.col("words")).alias("sig"), prefix.alias("prefix"))
+    """(id, k, d, no, maybe, n, sig, prefix) of lines with a word: an id, the number of different words, a signature, and of the words of the first keys 31 bits."""
+    sets = lines.where(_has_word(F.col("line"))).select(*PLACE, "maybe", _numbered(F.col("line")).alias("words"))
+    prefix = F.transform(F.slice("words", F.lit(1), _reach(F.size("words"), t) + 1), lambda word: word.bitwiseAND((1 << 31) - 1).cast("int"))
+    return sets.select(F.monotonically_increasing_id().alias("id"), *PLACE, "maybe", F.size("words").alias("n"), _signature(F.col("words")).alias("sig"), prefix.alias("prefix"))
 
 
 def _signature(words: Column, own: Callable[[Column], Column] | None = None) -> Column:
@@ -110,28 +124,40 @@ def _fine(words: Column) -> list[Column]:
 
 
 def _entries(lines: DataFrame, begin: Column, end: Column) -> DataFrame:
-    """A row for each of the lines' keys from number `begin` to before `end`; behind a line's last word stand 0, 1, ..., as in every line."""
-    word = lambda pos: F.coalesce(F.get("prefix", pos), (pos - F.col("n")).cast("long"))
+    """A row for each of the lines' keys from number `begin` to before `end`; behind a line's last word stand 0, 1, ..., as in every line.
+
+    `span` is the line's number of words and the key's number in one, since rows of these columns are most of what is shuffled.
+    """
+    word = lambda pos: F.coalesce(F.get("prefix", pos), pos - F.col("n"))
     pos = F.col("pos")
     placed = lines.where(begin < end).select("id", "n", "sig", "prefix", F.explode(F.sequence(begin, end - 1)).alias("pos"))
-    return placed.select("id", "n", "sig", "pos", F.xxhash64(word(pos), word(pos + 1)).alias("key"))
+    span = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(pos.cast("long"))
+    return placed.select("id", "sig", span.alias("span"), F.xxhash64(word(pos), word(pos + 1)).alias("key"))
 
 
 def _place(side: str) -> Column:
     return F.struct(*[F.col(f"{side}.{c}") for c in PLACE])
 
 
+def _size(span: str) -> Column:
+    return F.shiftright(span, 32).cast("int")
+
+
+def _number(span: str) -> Column:
+    return F.col(span).bitwiseAND((1 << 32) - 1).cast("int")
+
+
 def _passes(t: float, signatures: list[str]) -> Column:
     """Entries `one` and `two` of different lines share a key and pass the filters on sizes, positions and signatures."""
-    n, m = F.col("one.n"), F.col("two.n")
+    n, m = _size("one.span"), _size("two.span")
     need = _least_overlap(n, m, t)
     return (
         (F.col("one.key") == F.col("two.key"))
         & (F.col("one.id") != F.col("two.id"))
         & (F.least(n, m) >= F.greatest(n, m) * t - EPS)
         & (functools.reduce(Column.__add__, [F.bit_count(F.col(f"one.{c}").bitwiseXOR(F.col(f"two.{c}"))) for c in signatures]) <= n + m - 2 * need)
-        & (F.col("one.pos") <= 2 * n + m - 3 * need)
-        & (F.col("two.pos") <= n + 2 * m - 3 * need)
+        & (_number("one.span") <= 2 * n + m - 3 * need)
+        & (_number("two.span") <= n + 2 * m - 3 * need)
     )
 
 
@@ -155,16 +181,16 @@ def _met_before(index: DataFrame, later: DataFrame, t: float) -> DataFrame:
     return later.alias("two").join(index.alias("one"), met, "left_semi")
 
 
-def _leads(index: DataFrame, later: DataFrame, t: float, cells: int) -> DataFrame:
+def _leads(index: DataFrame, later: DataFrame, t: float, cells: int | None) -> DataFrame:
     """The entries of `index` that meet an entry of a later line in `later`."""
-    some = index.where(maybe_in("key", later.select("key"), cells))
+    some = index.where(_maybe("key", later.select("key"), cells))
     return some.alias("one").join(later.alias("two"), _passes(t, FINE) & (_place("one") < _place("two")), "left_semi")
 
 
-def _fetch(docs_text: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
+def _fetch(docs_text: DataFrame, wanted: DataFrame, cells: int | None) -> DataFrame:
     """(id, k, d, no, words, fine signatures) of the wanted (id, k, d, no): texts are cut where they lie, and only lines that may be wanted are shuffled."""
     here = F.xxhash64(*PLACE)
-    lines = _pieces(docs_text).where(maybe_in(here, wanted.select(here), cells))
+    lines = _pieces(docs_text).where(_maybe(here, wanted.select(here), cells))
     # Rows that repeat an id and its text repeat their lines.
     words = lines.join(wanted, PLACE).select("id", *PLACE, "line").distinct().select("id", *PLACE, _numbered(F.col("line")).alias("words"))
     return materialize(words.select("*", *_fine(F.col("words"))), "line-words")
@@ -192,7 +218,7 @@ def _apart(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.when(maybe_in(id_key(id_col), several.select("k")), text).otherwise(F.lit(0).cast("long"))
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int | None = None) -> DataFrame:
     """One row per id and text that have a line with a word: k (the id, null as the largest), d (a hash that tells the texts
     of one id apart), n_lines, n_removed, removed (line numbers from 0).
 
@@ -201,20 +227,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     removed itself. Earlier is the smaller id, then the smaller hash of the text, then the smaller number. Lines without words
     are no lines here: they match nothing and stay. Rows that repeat an id and its text are one document; rows of
     one id with other texts are documents of their own, in the order of their hashes; null ids come after all others.
-    `cells` is the size of the bitmaps that spare rows a shuffle.
+    `cells` is the size of the bitmaps that spare rows a shuffle; by default it follows the number of lines.
     """
     with _hashed(docs.sparkSession):
-        return _removed(docs.select(id_key(id_col).alias("k"), _apart(docs, id_col, text_col).alias("d"), text_or_empty(text_col).alias("text")), similarity, max(cells, 64))
+        return _removed(docs.select(id_key(id_col).alias("k"), _apart(docs, id_col, text_col).alias("d"), text_or_empty(text_col).alias("text")), similarity, cells)
 
 
-def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
+def _removed(docs_text: DataFrame, t: float, cells: int | None) -> DataFrame:
     """`removed_lines` of documents (k, d, text)."""
     counted = docs_text.withColumn("n_lines", F.size(F.filter(F.split("text", "\n"), _has_word)).cast("long"))
     lines = counted.select("k", "d", "n_lines", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(_has_word(F.col("line")))
     places = materialize(lines.select(*PLACE, "n_lines", F.unhex(F.md5("line")).alias("h")), "line-places")
     repeats = _repeats(places.drop("n_lines"), cells)
-
-    first = materialize(_sets(_without(_pieces(docs_text), repeats, cells), t), "line-firsts")
+    first = _firsts(docs_text, places, repeats, t, cells)
 
     # Keys that reach behind a line's last word, which at 0.8 only lines of one word have, then the others,
     # a share at a time: what the join shuffles is most of this step's disk, and it goes with each write.
@@ -224,24 +249,28 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     shares = [index.where(F.col("key").bitwiseAND(SHARES - 1) == share) for share in range(SHARES)]
     met = functools.reduce(DataFrame.unionByName, [materialize(_met(some, some, t), "line-met") for some in [short, *shares]])
 
+    wanted = materialize(first.select("id", *PLACE).join(met.select("id").distinct(), "id", "left_semi"), "line-wanted")
+
     # From here on only lines that may be alike, with their words.
-    words = _fetch(docs_text, materialize(first.select("id", *PLACE).join(met.select("id").distinct(), "id", "left_semi"), "line-wanted"), cells)
+    words = _fetch(docs_text, wanted, cells)
     near = materialize(met.drop("sig").join(words.drop("words"), "id"), "line-near")
     words = words.select("id", "words")
-
-    def verified(some: DataFrame, left: DataFrame) -> DataFrame:
-        """The lines of the entries `left` that an earlier line of the entries `some` matches."""
-        left = materialize(left.join(words, "id"), "line-left")
-        ahead = materialize(_leads(some, left, t, cells), "line-ahead")
-        found = _met_before(ahead.join(words, "id"), left, t)
+    alike = materialize(_met_before(near, near, t), "line-alike")
+    one = alike.groupBy(*[c for c in near.columns if c not in ("key", "span")])
+    one = materialize(one.agg(F.min("span").alias("span"), F.min_by("key", "span").alias("key")).select(*near.columns), "line-one")
+    later = words.where(_maybe("id", one.select("id"), cells))
+
+    def verified(left: DataFrame) -> DataFrame:
+        """The lines of the entries `left` that an earlier line matches."""
+        left = materialize(left.join(later, "id"), "line-left")
+        ahead = materialize(_leads(near, left, t, cells), "line-ahead")
+        found = _met_before(ahead.join(words.where(_maybe("id", ahead.select("id"), cells)), "id"), left, t)
         return materialize(found.select("id", *PLACE).distinct(), "line-found")
 
     # One key for each line matches most of them, and spares their others. The rest is held against all by every key.
-    front = near.where("pos < 2")
-    keyed = _met_before(front, front, t).groupBy(*[c for c in near.columns if c not in ("key", "pos")])
-    led = verified(front, keyed.agg(F.min("pos").alias("pos"), F.min_by("key", "pos").alias("key")).select(*near.columns))
-    still = materialize(_met_before(near, near.join(led, "id", "left_anti"), t), "line-still")
-    found = [repeats, led] if still.isEmpty() else [repeats, led, verified(near, still)]
+    led = verified(one)
+    still = materialize(alike.join(led, "id", "left_anti"), "line-still")
+    found = [repeats, led] if still.isEmpty() else [repeats, led, verified(still)]
     matched = functools.reduce(DataFrame.unionByName, [f.select(*PLACE) for f in found])
 
     out = materialize(matched.groupBy("k", "d").agg(F.sort_array(F.collect_set("no")).alias("removed")), "line-out")
@@ -250,7 +279,7 @@ def _removed(docs_text: DataFrame, t: float, cells: int) -> DataFrame:
     return totals.join(out, ["k", "d"], "left").select("k", "d", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int = CELLS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, cells: int | None = None) -> DataFrame:
     """The documents, all columns and rows, their texts without the removed lines; a text of which nothing is left is empty.
 
     A null text stays null. See `removed_lines` for what is removed.
